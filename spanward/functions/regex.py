@@ -18,9 +18,10 @@ _INSIDE = {"d": r"\p{Nd}", "s": r"\s\x0b\x1c-\x1f\x85\p{Z}", "w": r"\p{L}\p{N}_"
 def jvm_pattern(pattern: str, ignore_case: bool = False, dotall: bool = False) -> str:
     """Rewrite a Python pattern for ``rlike``/``split``/``regexp_extract_all``.
 
-    ``\\b`` is kept: up to Java 18 it follows letters of every script, as Python's does.
+    ``\\b`` is kept: up to Java 18 it follows letters of every script, as Python's does. Only
+    a line feed ends a line.
     """
-    out, in_class = [], False
+    out, in_class, lines = [], False, False
     for token in re.findall(r"\\.|\(\?P<|.", pattern, re.DOTALL):
         kind = token[1:].lower() if token[0] == "\\" else ""
         if kind in _INSIDE:
@@ -42,8 +43,9 @@ def jvm_pattern(pattern: str, ignore_case: bool = False, dotall: bool = False) -
         elif token == "&" and in_class:
             out.append(r"\&")
         else:
+            lines = lines or (token in ".$^" and not in_class)
             out.append(token)
-    flags = ("iu" if ignore_case else "") + ("s" if dotall else "")
+    flags = ("iu" if ignore_case else "") + ("s" if dotall else "") + ("d" if lines else "")
     return (f"(?{flags})" if flags else "") + "".join(out)
 
 
@@ -114,3 +116,16 @@ def may_match(text: Column, pattern: str, ignore_case: bool = False) -> Column:
 def found(text: Column, low: Column, pattern: str) -> Column:
     """Case-insensitive search over line breaks, behind the literal test."""
     return may_match(low, pattern, True) & text.rlike(jvm_pattern(pattern, True, True))
+
+
+_SPACE = "[" + _INSIDE["s"] + "]"
+
+
+def strip(text: Column) -> Column:
+    """Remove white space of every kind from both ends."""
+    return F.regexp_replace(text, rf"\A{_SPACE}+|{_SPACE}+\z", "")
+
+
+def words(text: Column) -> Column:
+    """Non-empty pieces between white space."""
+    return F.filter(F.split(text, f"{_SPACE}+", -1), lambda w: w != "")

@@ -79,3 +79,36 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         if isinstance(f.dataType, T.TimestampNTZType)
     }
     return df.withColumns(casts) if casts else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores for per-row work on a table stored in fewer splits than that.
+
+    Large tables already have more splits than cores and pass through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.rdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
+
+
+def read_texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    return spread(read_table(spark, sf_dir, name), key)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable on the workers, for the few operators with Python tasks."""
+    import shutil
+    from pathlib import Path
+
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="spanward-")) / package.name
+    archive = shutil.make_archive(str(target), "zip", package.parent, package.name)
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)
