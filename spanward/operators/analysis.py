@@ -50,9 +50,12 @@ def tier(context: Column, high: Column, medium: Column, is_long: Column) -> Colu
     )
 
 
-def analyze_requests(messages: DataFrame, requests: DataFrame | None = None, text: str = "text") -> DataFrame:
+def analyze_requests(messages: DataFrame, max_tokens: Column | DataFrame | None = None, text: str = "text") -> DataFrame:
     """Per request: prompt_tokens, required_context, high_count, medium_count, complexity.
 
+    ``max_tokens``: an expression over conv_id, or a table (conv_id, max_tokens, ...) whose columns
+    are kept; the default limit applies where it is missing.
+
     Keyword features are taken per message; the last user message is then the largest of a
     packed long (turn, high, medium, long), so that the one shuffle carries numbers, never texts.
     """
@@ -74,11 +77,13 @@ def analyze_requests(messages: DataFrame, requests: DataFrame | None = None, tex
         (F.sum("n") + g.REQUEST_OVERHEAD).alias("prompt_tokens"),
         F.coalesce(F.max("packed"), F.lit(0)).alias("packed"),
     )
-    if requests is not None:
-        per_request = requests.join(per_request, "conv_id")
-        limit = F.coalesce(F.col("max_tokens"), F.lit(g.DEFAULT_MAX_TOKENS))
-    else:
-        limit = F.lit(g.DEFAULT_MAX_TOKENS)
+    limit = F.lit(None).cast("long")
+    if isinstance(max_tokens, DataFrame):
+        per_request = max_tokens.join(per_request, "conv_id")
+        limit = F.col("max_tokens")
+    elif max_tokens is not None:
+        limit = max_tokens
+    limit = F.coalesce(limit, F.lit(g.DEFAULT_MAX_TOKENS))
     out = per_request.withColumns(
         {
             "required_context": F.col("prompt_tokens") + limit.cast("long"),

@@ -28,17 +28,20 @@ def screen(
     """Add flagged, guard, tier, rule, reason and should_block.
 
     The first rule that hits, in guard order, decides: a guard that only logs still ends the
-    search. Each regex runs only on texts that contain one of its necessary literals.
+    search. Each regex runs only on texts that contain one of its necessary literals. The rules
+    sit in a lambda over the folded text: folded once, and kept out of generated code, whose
+    method size sixty-five branches would exceed.
     """
     enabled = safety.DEFAULT_ENABLED if enabled is None else enabled
     action = safety.DEFAULT_ACTIONS if action is None else action
     active = [r for r in RULES if enabled.get(r[0], False)]
-    out = df.withColumn("_low", folded(F.col(text)))
-    checks = [
-        F.when(found(F.col(text), F.col("_low"), pattern), F.lit(ord_))
-        for _, _, ord_, pattern, _ in active
-    ]
-    rule = F.coalesce(*checks) if checks else F.lit(None).cast("int")
+
+    def first_hit(low):
+        return F.coalesce(
+            *[F.when(found(F.col(text), low, pattern), F.lit(ord_)) for _, _, ord_, pattern, _ in active]
+        )
+
+    rule = F.get(F.transform(F.array(folded(F.col(text))), first_hit), F.lit(0)) if active else F.lit(None).cast("int")
     facts = F.array(
         *[
             F.struct(
@@ -50,7 +53,7 @@ def screen(
             for guard, tier, _, _, reason in RULES
         ]
     )
-    out = out.withColumn("rule", rule).drop("_low")
+    out = df.withColumn("rule", rule)
     fact = F.element_at(facts, F.col("rule") + 1)
     return out.withColumn("_fact", F.when(F.col("rule").isNotNull(), fact)).select(
         "*",
