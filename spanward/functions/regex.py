@@ -97,25 +97,29 @@ def required_literals(pattern: str, ignore_case: bool = False) -> tuple[str, ...
     return tuple(sorted({f.lower() if ignore_case else f for f in found}))
 
 
-def folded(text: Column) -> Column:
+def sql_literal(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def folded_sql(text: str) -> str:
     """Lower case, with the letters that case-insensitive matching treats as i, s and k."""
-    return F.lower(F.translate(text, "\u0130\u0131\u017f\u212a", "iisk"))
+    return f"lower(translate({text}, '\u0130\u0131\u017f\u212a', 'iisk'))"
 
 
-def may_match(text: Column, pattern: str, ignore_case: bool = False) -> Column:
+def may_match_sql(text: str, pattern: str, ignore_case: bool = False) -> str:
     """False only where ``pattern`` cannot match: a byte search, far cheaper than the regex.
 
-    With ``ignore_case``, ``text`` must already be ``folded``.
+    With ``ignore_case``, ``text`` must already be folded.
     """
     literals = required_literals(pattern, ignore_case)
     if literals is None:
-        return F.lit(True)
-    return functools.reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in literals])
+        return "true"
+    return "(" + " OR ".join(f"contains({text}, {sql_literal(x)})" for x in literals) + ")"
 
 
-def found(text: Column, low: Column, pattern: str) -> Column:
+def found_sql(text: str, low: str, pattern: str) -> str:
     """Case-insensitive search over line breaks, behind the literal test."""
-    return may_match(low, pattern, True) & text.rlike(jvm_pattern(pattern, True, True))
+    return f"{may_match_sql(low, pattern, True)} AND {text} RLIKE {sql_literal(jvm_pattern(pattern, True, True))}"
 
 
 _SPACE = "[" + _INSIDE["s"] + "]"

@@ -1,17 +1,22 @@
-"""Span kernels on arrays: one row in, one row out, no shuffle and no Python."""
+"""Span kernels on arrays: one row in, one row out, no shuffle and no Python.
+
+The kernels are SQL expressions over a named text column; a whole detection profile is one
+expression, sent to the JVM once.
+"""
 
 from __future__ import annotations
 
 import functools
+import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import ENTITIES_DDL, ENTITY
-from .regex import jvm_pattern, may_match
+from .regex import jvm_pattern, may_match_sql, sql_literal
 
-_FIELDS = ENTITY.fieldNames()
-_SPAN_DDL = "struct<start:int,end:int,value:string>"
+NO_ENTITIES = f"cast(array() as {ENTITIES_DDL})"
+_RAW = "array<struct<start:int,end:int,value:string>>"
 
 
 def entity(label, start, end, score, value) -> Column:
@@ -20,80 +25,104 @@ def entity(label, start, end, score, value) -> Column:
 
 
 def no_entities() -> Column:
-    return F.array().cast(ENTITIES_DDL)
+    return F.expr(NO_ENTITIES)
+
+
+def name(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
 
 
-def raw_spans(text: Column, pattern: str) -> Column:
-    """All matches as array<struct<start,end,value>>.
+def _fold(text: str, pattern: str, item: str, empty: str) -> str:
+    """Matches with their offsets; ``item`` builds one from begin, finish and p.value.
 
-    The gaps between matches and the matches themselves give every offset by addition.
+    The gaps between matches and the matches themselves give every offset by addition. The
+    additions run in chunks of about the square root of the number of matches, so that a long
+    text with a match on every word does not copy an ever longer array at each step.
     A pattern that matches the empty string has no gaps and is refused.
     """
-    import re
-
     if re.compile(pattern).match(""):
         raise ValueError(f"pattern matches the empty string: {pattern!r}")
-    jvm = jvm_pattern(pattern)
-    gaps = F.split(text, jvm, -1)
-    values = F.regexp_extract_all(text, F.lit(jvm), F.lit(0))
-    pieces = F.zip_with(
-        gaps, values, lambda g, v: F.struct(F.char_length(g).alias("gap"), v.alias("value"))
-    )
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{_SPAN_DDL}>").alias("out"))
-
-    def step(acc, piece):
-        begin = acc["pos"] + piece["gap"]
-        finish = begin + F.char_length(piece["value"])
-        span = F.struct(begin.alias("start"), finish.alias("end"), piece["value"].alias("value"))
-        return F.struct(
-            F.coalesce(finish, begin).alias("pos"),
-            F.when(piece["value"].isNull(), acc["out"])
-            .otherwise(F.concat(acc["out"], F.array(span)))
-            .alias("out"),
+    jvm = sql_literal(jvm_pattern(pattern))
+    begin, width = "(acc.pos + p.gap)", "char_length(p.value)"
+    made = item.format(begin=begin, finish=f"({begin} + {width})")
+    size = "cast(ceil(sqrt(size(ps))) AS int)"
+    chunks = f"transform(sequence(0, cast((size(ps) - 1) div {size} AS int)), c -> slice(ps, c * {size} + 1, {size}))"
+    placed = f"""aggregate({chunks},
+        named_struct('pos', 0, 'out', cast(array() as array<struct<pos:int,ps:array<struct<gap:int,value:string>>>>)),
+        (a, ch) -> named_struct(
+            'pos', a.pos + aggregate(ch, 0, (n, q) -> n + q.gap + coalesce(char_length(q.value), 0)),
+            'out', concat(a.out, array(named_struct('pos', a.pos, 'ps', ch)))),
+        a -> a.out)"""
+    one_chunk = f"""aggregate(k.ps, named_struct('pos', k.pos, 'out', {empty}),
+        (acc, p) -> named_struct(
+            'pos', {begin} + coalesce({width}, 0),
+            'out', CASE WHEN p.value IS NULL THEN acc.out ELSE concat(acc.out, array({made})) END),
+        acc -> acc.out)"""
+    pieces = f"""zip_with(split({text}, {jvm}, -1), regexp_extract_all({text}, {jvm}, 0),
+        (g, v) -> named_struct('gap', char_length(g), 'value', v))"""
+    return f"""CASE WHEN {may_match_sql(text, pattern)}
+        THEN get(transform(array({pieces}), ps -> flatten(transform({placed}, k -> {one_chunk}))), 0) ELSE {empty} END"""
+
+
+def raw_spans(column: str, pattern: str) -> Column:
+    """All matches as array<struct<start,end,value>>."""
+    item = "named_struct('start', {begin}, 'end', {finish}, 'value', p.value)"
+    return F.expr(_fold(name(column), pattern, item, f"cast(array() as {_RAW})"))
+
+
+def entities_sql(text: str, found: list[tuple[str, str, float]]) -> str:
+    """All matches of (label, pattern, score), in the order given."""
+    parts = []
+    for label, pattern, score in found:
+        item = (
+            f"named_struct('label', {sql_literal(label).replace('{', '{{').replace('}', '}}')}, 'start', {{begin}}, "
+            f"'end', {{finish}}, 'score', {float(score)!r}D, 'value', p.value)"
         )
+        parts.append(_fold(text, pattern, item, NO_ENTITIES))
+    return f"concat({', '.join(parts)})" if parts else NO_ENTITIES
 
-    spans = F.aggregate(pieces, start, step, lambda acc: acc["out"])
-    return F.when(may_match(text, pattern), spans).otherwise(F.array().cast(f"array<{_SPAN_DDL}>"))
 
-
-def pattern_entities(text: Column, pattern: str, label: str, score: float) -> Column:
-    return F.transform(
-        raw_spans(text, pattern),
-        lambda s: entity(F.lit(label), s["start"], s["end"], F.lit(score), s["value"]),
-    )
+def sort_sql(entities: str) -> str:
+    """Stable sort by start: ties keep the order in which they were given."""
+    keyed = f"transform({entities}, (e, i) -> named_struct('s', e.start, 'i', i, 'e', e))"
+    return f"transform(array_sort({keyed}), k -> k.e)"
 
 
-def sort_by_start(entities: Column) -> Column:
-    """Stable sort by start: ties keep the order in which they were given."""
-    keyed = F.transform(
-        entities, lambda e, i: F.struct(e["start"].alias("s"), i.alias("i"), e.alias("e"))
-    )
-    return F.transform(F.array_sort(keyed), lambda k: k["e"])
+def sort_by_start(column: str) -> Column:
+    return F.expr(sort_sql(name(column)))
 
 
-def resolve(entities: Column, target: Column | None = None) -> Column:
+def resolve_sql(entities: str, target: str | None = None) -> str:
     """Left fold over spans in start order, keeping at most one of two that overlap.
 
     The target label wins over others; between equals the strictly longer one replaces
     the last kept; else the newcomer is dropped.
     """
-    target = F.lit(None).cast("string") if target is None else F.lower(target)
-
-    def step(kept, e):
-        last = F.try_element_at(kept, F.lit(-1))
-        e_hit = F.coalesce(e["label"] == target, F.lit(False))
-        last_hit = F.coalesce(last["label"] == target, F.lit(False))
-        longer = (e["end"] - e["start"]) > (last["end"] - last["start"])
-        replaced = F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(e))
-        return (
-            F.when((F.size(kept) == 0) | (e["start"] >= last["end"]), F.concat(kept, F.array(e)))
-            .when(e_hit & ~last_hit, replaced)
-            .when(last_hit & ~e_hit, kept)
-            .when(longer, replaced)
-            .otherwise(kept)
-        )
+    last = "try_element_at(kept, -1)"
+    swapped = "concat(slice(kept, 1, size(kept) - 1), array(e))"
+    aimed = ""
+    if target is not None:
+        mine, its = f"coalesce(e.label = lower({target}), false)", f"coalesce({last}.label = lower({target}), false)"
+        aimed = f"WHEN {mine} AND NOT {its} THEN {swapped} WHEN {its} AND NOT {mine} THEN kept"
+    return f"""aggregate({sort_sql(entities)}, {NO_ENTITIES}, (kept, e) -> CASE
+        WHEN size(kept) = 0 OR e.start >= {last}.end THEN concat(kept, array(e))
+        {aimed}
+        WHEN e.end - e.start > {last}.end - {last}.start THEN {swapped}
+        ELSE kept END)"""
+
 
-    return F.aggregate(sort_by_start(entities), no_entities(), step)
+def resolve(column: str, target: str | None = None) -> Column:
+    return F.expr(resolve_sql(name(column), None if target is None else name(target)))
+
+
+def flatten(df: DataFrame, array, item: str, *keep, pos: str | None = None) -> DataFrame:
+    """One row per element, as ``item`` next to the kept columns; null elements are left out.
+
+    An outer generator on purpose: for the inner one the optimizer adds a filter on the array's
+    size and pushes it through the projections below, which computes the array several times.
+    """
+    made = F.explode_outer(array).alias(item) if pos is None else F.posexplode_outer(array).alias(pos, item)
+    return df.select(*keep, made).filter(F.col(item).isNotNull())
 
 
 def mask_token(label: Column) -> Column:
@@ -106,11 +135,8 @@ def replace_spans(text: Column, spans: Column, token) -> Column:
     ``spans`` must be sorted and free of overlaps; ``token(span)`` gives the substitute, and
     null leaves that span as it is.
     """
-    state = F.struct(
-        F.array().cast("array<string>").alias("parts"),
-        F.lit(0).alias("last"),
-        F.lit(0).alias("shift"),
-        no_entities().alias("spans"),
+    state = F.expr(
+        f"named_struct('parts', cast(array() as array<string>), 'last', 0, 'shift', 0, 'spans', {NO_ENTITIES})"
     )
 
     def step(acc, e):

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import gateway as g
+from ..functions.regex import sql_literal
+from ..functions.spans import name
 
 
 def tokens(text: Column) -> Column:
@@ -23,19 +25,17 @@ def request_tokens(messages: DataFrame, text: str = "text") -> DataFrame:
     return messages.groupBy("conv_id").agg(total)
 
 
-def _hits(low: Column, words: list[str]) -> Column:
-    return functools.reduce(
-        lambda a, b: a + b, [F.contains(low, F.lit(w)).cast("long") for w in words]
-    )
+def _hits(low: str, words: list[str]) -> Column:
+    return F.expr(" + ".join(f"cast(contains({name(low)}, {sql_literal(w)}) AS bigint)" for w in words))
 
 
-def _count_char(low: Column, char: str) -> Column:
-    return F.char_length(low) - F.char_length(F.replace(low, F.lit(char), F.lit("")))
+def _count_char(low: str, char: str) -> Column:
+    return F.char_length(low) - F.char_length(F.replace(F.col(low), F.lit(char), F.lit("")))
 
 
-def high_hits(low: Column) -> Column:
+def high_hits(low: str) -> Column:
     """Keywords contained (each once), plus three for anything that looks like code."""
-    code = functools.reduce(lambda a, b: a | b, [F.contains(low, F.lit(m)) for m in g.CODE_MARKERS])
+    code = functools.reduce(lambda a, b: a | b, [F.contains(F.col(low), F.lit(m)) for m in g.CODE_MARKERS])
     braces = (_count_char(low, "{") > g.BRACES_OVER) & (_count_char(low, "}") > g.BRACES_OVER)
     bonus = F.when(code | braces, F.lit(g.CODE_MARKER_WEIGHT)).otherwise(F.lit(0))
     return _hits(low, g.HIGH_KEYWORDS) + bonus
@@ -68,8 +68,8 @@ def analyze_requests(messages: DataFrame, max_tokens: Column | DataFrame | None
         F.when(
             F.col("role") == "user",
             F.col("turn") * 8192
-            + F.coalesce(high_hits(F.col("_low")), F.lit(0)) * 64
-            + F.coalesce(_hits(F.col("_low"), g.MEDIUM_KEYWORDS), F.lit(0)) * 2
+            + F.coalesce(high_hits("_low"), F.lit(0)) * 64
+            + F.coalesce(_hits("_low", g.MEDIUM_KEYWORDS), F.lit(0)) * 2
             + F.coalesce((F.char_length(text) > g.LONG_MESSAGE).cast("long"), F.lit(0)),
         ).alias("packed"),
     )

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import pii
-from ..functions.spans import lookup, no_entities, pattern_entities, resolve, sort_by_start
+from ..functions.regex import sql_literal
+from ..functions.spans import NO_ENTITIES, entities_sql, flatten, lookup, name, resolve_sql, sort_sql
 from ..schemas import ENTITIES, POLICY
 
 MAX_POLICY_LABELS = 1000
@@ -49,10 +50,9 @@ class Policy:
     def action(self, label: Column) -> Column:
         return lookup(label, self.actions, F.lit(self.default_action).cast("string"))
 
-    def admits(self, label: Column) -> Column:
-        if self.default_action is not None:
-            return F.lit(True)
-        return label.isin(list(self.actions)) if self.actions else F.lit(False)
+    def admits(self, label: str) -> bool:
+        """Labels without any action are not detected at all."""
+        return self.default_action is not None or label in self.actions
 
     def frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(sorted(self.actions.items()), POLICY)
@@ -69,32 +69,32 @@ def load_policy(
 
 
 def detected(
-    text: Column,
+    text: str,
     detectors: list[Detector],
     threshold: float = pii.DEFAULT_THRESHOLD,
     policy: Policy | None = None,
-    target: Column | None = None,
+    target: str | None = None,
     overlaps: bool = False,
 ) -> Column:
     """Entities of one text sorted by start, overlaps resolved unless they are asked for."""
     policy = Policy() if policy is None else policy
-    strong = [d for d in detectors if d.score >= threshold]
-    if not strong:
-        return no_entities()
-    found = F.concat(*[pattern_entities(text, d.pattern, d.label, d.score) for d in strong])
-    if policy.default_action is None:
-        found = F.filter(found, lambda e: policy.admits(e["label"]))
-    found = sort_by_start(found) if overlaps else resolve(found, target)
-    return F.when(F.coalesce(F.char_length(text), F.lit(0)) > 0, found).otherwise(no_entities())
+    usable = [
+        (d.label, d.pattern, d.score) for d in detectors if d.score >= threshold and policy.admits(d.label)
+    ]
+    if not usable:
+        return F.expr(NO_ENTITIES)
+    found = entities_sql(name(text), usable)
+    found = sort_sql(found) if overlaps else resolve_sql(found, None if target is None else name(target))
+    return F.expr(f"CASE WHEN coalesce({name(text)}, '') <> '' THEN {found} ELSE {NO_ENTITIES} END")
 
 
 def with_entities(df: DataFrame, text: str, detectors: list[Detector], **options) -> DataFrame:
-    return df.withColumn("entities", detected(F.col(text), detectors, **options))
+    return df.withColumn("entities", detected(text, detectors, **options))
 
 
 def exploded(df: DataFrame, *ids: str, column: str = "entities") -> DataFrame:
     """Long form: one row per span."""
-    return df.select(*ids, F.explode(column).alias("_e")).select(*ids, "_e.*")
+    return flatten(df, column, "_e", *ids).select(*ids, "_e.*")
 
 
 def detect(df: DataFrame, id_col: str, text: str, detectors: list[Detector], **options) -> DataFrame:
@@ -110,40 +110,42 @@ def scan_catalog(
 ) -> DataFrame:
     """Every catalogue pattern except the row's own label, overlapping hits included."""
     detectors = catalogue_detectors(list(pii.PATTERNS) if labels is None else labels)
-    hits = detected(F.col(text), detectors, overlaps=True)
-    if exclude is not None:
-        hits = F.filter(hits, lambda e: e["label"] != F.coalesce(F.lower(exclude), F.lit("")))
-    return exploded(df.withColumn("entities", hits), id_col)
+    hits = df.withColumn("entities", detected(text, detectors, overlaps=True))
+    if exclude is None:
+        return exploded(hits, id_col)
+    rows = exploded(hits.withColumn("_own", F.coalesce(F.lower(exclude), F.lit(""))), id_col, "_own")
+    return rows.filter(F.col("label") != F.col("_own")).drop("_own")
 
 
-def canonical(label: Column, custom: list[str] = ()) -> Column:
+def canonical_sql(label: str, custom: list[str] = ()) -> str:
     """Canonical name of a model label.
 
     Custom labels are kept (underscores become spaces); others go through the ordered
     fragment rules and, if none applies, are only lower-cased.
     """
-    bare = F.when(label.startswith("B-") | label.startswith("I-"), F.substring(label, 3, 1 << 30))
-    bare = bare.otherwise(label)
 
-    def squeeze(name: str) -> str:
-        return name.upper().replace("_", "").replace(" ", "")
+    def squeeze(label_name: str) -> str:
+        return label_name.upper().replace("_", "").replace(" ", "")
 
-    squeezed = F.translate(F.upper(bare), "_ ", "")
-    out = F
+    bare = f"(CASE WHEN {label} LIKE 'B-%' OR {label} LIKE 'I-%' THEN substring({label}, 3) ELSE {label} END)"
+    squeezed = f"translate(upper({bare}), '_ ', '')"
+    whens = ""
     if custom:
-        own = squeezed.isin(sorted({squeeze(c) for c in custom}))
-        out = F.when(own, F.replace(F.lower(bare), F.lit("_"), F.lit(" ")))
-    for fragments, name in pii.CANONICAL_RULES:
-        hit = F.lit(False)
-        for fragment in fragments:
-            hit = hit | F.contains(squeezed, F.lit(fragment))
-        out = out.when(hit, F.lit(name))
-    return out.otherwise(F.lower(bare))
+        own = ", ".join(sql_literal(c) for c in sorted({squeeze(c) for c in custom}))
+        whens = f"WHEN {squeezed} IN ({own}) THEN replace(lower({bare}), '_', ' ') "
+    for fragments, name_ in pii.CANONICAL_RULES:
+        hit = " OR ".join(f"contains({squeezed}, '{x}')" for x in fragments)
+        whens += f"WHEN {hit} THEN {sql_literal(name_)} "
+    return f"CASE {whens} ELSE lower({bare}) END"
+
+
+def canonical(column: str, custom: list[str] = ()) -> Column:
+    return F.expr(canonical_sql(name(column), custom))
 
 
-def canonicalize(df: DataFrame, label_col: str, custom: list[str] = (), name: str = "canonical_label"):
+def canonicalize(df: DataFrame, label_col: str, custom: list[str] = (), out: str = "canonical_label"):
     """Row-local: the rules are one expression, so no dimension has to be built or joined."""
-    return df.withColumn(name, canonical(F.col(label_col), custom))
+    return df.withColumn(out, canonical(label_col, custom))
 
 
 def block_report(df: DataFrame, id_col: str, policy: Policy) -> DataFrame:
@@ -170,8 +172,7 @@ def pii_audit(df: DataFrame, policy: Policy) -> DataFrame:
     and only a handful of partial rows per task are shuffled.
     """
     per_text = (
-        df.select(F.explode(F.array_distinct(F.transform("entities", lambda e: e["label"]))).alias("label"),
-                  "entities")
+        flatten(df, F.array_distinct(F.transform("entities", lambda e: e["label"])), "label", "entities")
         .select("label", F.filter("entities", lambda e: e["label"] == F.col("label")).alias("own"))
         .select(
             "label",

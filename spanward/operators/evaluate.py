@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..catalog import pii
 from ..functions.matching import MIN_IOU, agreeing_chars, greedy_pairs, iou
-from ..functions.spans import entity, sort_by_start
-from .detect import Detector, canonical, detected
+from ..functions.spans import flatten, name
+from .detect import Detector, canonical_sql, detected
 
 EXAMPLES = 5
 
@@ -21,9 +21,11 @@ def eval_set(samples: DataFrame) -> DataFrame:
     return samples.filter((F.size("entities") > 0) & ~F.coalesce("is_hard_negative", F.lit(False)))
 
 
-def canonical_spans(entities: Column, custom: list[str] = ()) -> Column:
-    return F.transform(
-        entities, lambda e: entity(canonical(e["label"], custom), e["start"], e["end"], e["score"], e["value"])
+def canonical_spans(column: str, custom: list[str] = ()) -> Column:
+    label = canonical_sql("e.label", custom)
+    return F.expr(
+        f"transform({name(column)}, e -> named_struct('label', {label}, 'start', e.start, 'end', e.end, "
+        "'score', e.score, 'value', e.value))"
     )
 
 
@@ -32,8 +34,8 @@ def predict(
     custom: list[str] = (),
 ) -> DataFrame:
     """(run_id, sample_id, pred): canonical labels, in start order."""
-    spans = canonical_spans(detected(F.col("text"), detectors, threshold), custom)
-    return samples.select(F.lit(run_id).alias("run_id"), "sample_id", sort_by_start(spans).alias("pred"))
+    found = samples.select("sample_id", detected("text", detectors, threshold).alias("_p"))
+    return found.select(F.lit(run_id).alias("run_id"), "sample_id", canonical_spans("_p", custom).alias("pred"))
 
 
 def paired(
@@ -43,23 +45,19 @@ def paired(
     """Samples with truth and pred, one row per run, without a join: runs share the scan."""
     runs = F.array(
         *[
-            F.struct(
-                F.lit(run).alias("run_id"),
-                sort_by_start(canonical_spans(detected(F.col("text"), found, threshold), custom)).alias("pred"),
-            )
+            F.struct(F.lit(run).alias("run_id"), detected("text", found, threshold).alias("pred"))
             for run, found in detectors.items()
         ]
     )
-    return (
-        samples.withColumn("truth", canonical_spans(F.col("entities"), custom))
-        .select("sample_id", "text", "domain", "truth", F.explode(runs).alias("r"))
-        .select("r.run_id", "sample_id", "text", "domain", "truth", "r.pred")
-    )
+    rows = samples.withColumns({"truth": canonical_spans("entities", custom), "_runs": runs})
+    rows = flatten(rows, "_runs", "_r", "sample_id", "text", "domain", "truth")
+    rows = rows.select("_r.run_id", "sample_id", "text", "domain", "truth", F.col("_r.pred").alias("_p"))
+    return rows.withColumn("pred", canonical_spans("_p", custom)).drop("_p")
 
 
 def join_predictions(samples: DataFrame, predictions: DataFrame, custom: list[str] = ()) -> DataFrame:
     """Samples with predictions that are stored in a table."""
-    truth = samples.select("sample_id", "text", "domain", canonical_spans(F.col("entities"), custom).alias("truth"))
+    truth = samples.select("sample_id", "text", "domain", canonical_spans("entities", custom).alias("truth"))
     return truth.join(predictions, "sample_id")
 
 
@@ -97,7 +95,7 @@ def entity_metrics(matches: DataFrame) -> DataFrame:
         F.transform("false_positives", lambda e: _count_row(e["label"], fp=1)),
         F.transform("false_negatives", lambda e: _count_row(e["label"], fn=1, support=1)),
     )
-    counts = matches.select("run_id", F.explode(rows).alias("c")).groupBy("run_id", "c.label").agg(
+    counts = flatten(matches, rows, "c", "run_id").groupBy("run_id", "c.label").agg(
         *[F.sum(f"c.{k}").alias(k) for k in ("tp", "fp", "fn", "support")]
     )
     return counts.select("*", *_rates(F.col("tp"), F.col("fp"), F.col("fn")))
@@ -141,12 +139,11 @@ def confusion(matches: DataFrame, run_id: str | None = None) -> DataFrame:
     than the data, and is grouped before the cells are laid out.
     """
     runs = matches if run_id is None else matches.filter(F.col("run_id") == run_id)
-    cells = runs.select("run_id", F.explode("matched").alias("m")).groupBy(
+    cells = flatten(runs, "matched", "m", "run_id").groupBy(
         "run_id", F.col("m.gt.label").alias("gt_label"), F.col("m.pred.label").alias("pred_label")
     ).agg(F.count(F.lit(1)).alias("n"))
-    seen = matches.select(
-        F.explode(F.array_distinct(F.concat(F.transform("truth", lambda e: e["label"]), F.transform("pred", lambda e: e["label"])))).alias("label")
-    ).distinct()
+    both = F.concat(F.transform("truth", lambda e: e["label"]), F.transform("pred", lambda e: e["label"]))
+    seen = flatten(matches, F.array_distinct(both), "label").distinct()
     axis = seen.groupBy(F.lit(1).alias("_k")).agg(F.array_sort(F.collect_set("label")).alias("axis"))
     grid = (
         runs.select("run_id").distinct().withColumn("_k", F.lit(1)).join(axis, "_k")
@@ -179,9 +176,7 @@ def error_analysis(matches: DataFrame, base: str, new: str, k: int | None = EXAM
         return F.exists(spans, lambda p: iou(e, p) >= MIN_IOU)
 
     def listed(kind, entities):
-        return both.select(
-            F.lit(kind).alias("kind"), "sample_id", "domain", "text", F.posexplode(entities).alias("pos", "entity")
-        )
+        return flatten(both, entities, "entity", F.lit(kind).alias("kind"), "sample_id", "domain", "text", pos="pos")
 
     fixed = listed("fixed_miss", F.filter("missed", lambda e: touched("pred", e)))
     broken = listed("new_false_positive", F.filter("false_positives", lambda e: ~touched("base_pred", e)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.spans import flatten
+
 
 def resolve_failover(routed: DataFrame, attempts: DataFrame) -> DataFrame:
     """First attempt that worked, in failover order; null answered_by where none did.
@@ -46,7 +48,7 @@ def resolve_failover(routed: DataFrame, attempts: DataFrame) -> DataFrame:
             lambda s: s["model"].isNotNull(),
         ).alias("steps"),
     )
-    steps = order.select("request_id", F.explode("steps").alias("s")).select("request_id", "s.*")
+    steps = flatten(order, "steps", "s", "request_id").select("request_id", "s.*")
     worked = (
         attempts.filter("ok").select("request_id", "cluster", "model")
         .join(steps, ["request_id", "cluster", "model"])

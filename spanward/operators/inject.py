@@ -59,10 +59,13 @@ def inject(df: DataFrame, sentence: str = "sentence", cross_label: bool = False)
         }
     )
     if cross_label:
-        others = detected(F.col("text"), catalogue_detectors(list(pii.PATTERNS)), overlaps=True)
-        others = F.filter(others, lambda e: e["label"] != F.lower("label"))
-        both = resolve(F.concat("entities", others), F.col("label"))
-        out = out.withColumn("entities", F.when(neutral, F.col("entities")).otherwise(both))
+        others = detected("text", catalogue_detectors(list(pii.PATTERNS)), overlaps=True)
+        out = out.withColumn("_o", others)
+        out = out.withColumn(
+            "_o", F.concat("entities", F.filter("_o", lambda e: e["label"] != F.lower("label")))
+        )
+        both = resolve("_o", "label")
+        out = out.withColumn("entities", F.when(neutral, F.col("entities")).otherwise(both)).drop("_o")
     return out.drop("_gaps", "_f")
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..catalog.factory import LEAKAGE_JACCARD
 from ..functions.regex import words
+from ..functions.spans import flatten
 from ..functions.scale import salted_join
 from ..session import materialise
 
@@ -61,7 +62,7 @@ def leakage(
     bounds = known.agg(F.min("n"), F.max("n")).first()
     low, high = bounds[0] or 0, bounds[1] or 0
 
-    vocab = known.select(F.explode("tokens").alias("token")).groupBy("token").agg(
+    vocab = flatten(known, "tokens", "token").groupBy("token").agg(
         F.count(F.lit(1)).alias("df")
     )
     vocab = materialise(vocab, "vocabulary")
@@ -102,7 +103,7 @@ def _ranked(sets: DataFrame, vocab: DataFrame, threshold: float) -> DataFrame:
 
     The regrouping is by text and holds one text's distinct tokens at most.
     """
-    tokens = sets.select("id", "n", F.explode("tokens").alias("token")).join(vocab, "token")
+    tokens = flatten(sets, "tokens", "token", "id", "n").join(vocab, "token")
     grouped = tokens.groupBy("id", "n").agg(
         F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked")
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import gateway as g
 from ..functions.scale import numbered, running_totals
+from ..functions.spans import flatten
 
 
 def prices(endpoints: DataFrame) -> DataFrame:
@@ -70,7 +71,7 @@ def routing_events(routed: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("model"), F.col("complexity").alias("detail"),
     )
     rejected = (
-        routed.select(*base, "visited_rank", F.posexplode("candidates").alias("pos", "c"))
+        flatten(routed, "candidates", "c", *base, "visited_rank", pos="pos")
         .filter((F.col("c.cluster_rank") <= F.col("visited_rank")) & F.col("c.reject_reason").isNotNull())
         .select(
             *base, (F.col("pos") + 1).alias("seq"), F.lit("warning").alias("type"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog.factory import UNKNOWN_DOMAIN
 from ..functions.regex import compiles, full_pattern
+from ..functions.spans import flatten
 
 
 def checked(samples: DataFrame, configs: list[tuple[str, str]] = ()) -> DataFrame:
@@ -60,7 +61,7 @@ def domain_distribution(samples: DataFrame) -> DataFrame:
 
 
 def label_distribution(samples: DataFrame) -> DataFrame:
-    spans = samples.select(F.explode("entities.label").alias("label"))
+    spans = flatten(samples, "entities.label", "label")
     counts = spans.groupBy(F.upper("label").alias("label")).agg(F.count(F.lit(1)).alias("entities"))
     return _with_share(counts, "entities", "percent")
 
@@ -82,7 +83,7 @@ def balance(samples: DataFrame) -> DataFrame:
         F.when(F.size("entities") == 0, F.array(F.lit("\0neutral"))).otherwise(F.array().cast("array<string>")),
         F.transform("entities", lambda e: F.lower(e["label"])),
     )
-    counts = samples.select(F.explode(tags).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+    counts = flatten(samples, tags, "tag").groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
     total = counts.filter(F.col("tag") == "\0all").select(F.lit(1).alias("_k"), F.col("n").alias("_total"))
     rows = counts.filter(F.col("tag") != "\0all").withColumn("_k", F.lit(1)).join(total, "_k")
     neutral = F.col("tag") == "\0neutral"

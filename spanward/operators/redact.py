@@ -65,7 +65,7 @@ def guard_texts(
     threshold: float = pii.DEFAULT_THRESHOLD,
 ) -> DataFrame:
     """Detect and redact; also valid on a streaming DataFrame."""
-    spans = detected(F.col(text), detectors, threshold, policy)
+    spans = detected(text, detectors, threshold, policy)
     return redact(df.withColumn("entities", spans), text, policy, rewrite_map)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import gateway as g
-from ..functions.spans import lookup
+from ..functions.spans import flatten, lookup
 from ..sources.config import search_chains
 
 
@@ -64,9 +64,7 @@ def with_candidates(requests: DataFrame, endpoints: DataFrame, fallbacks: DataFr
 def candidates(requests: DataFrame, endpoints: DataFrame, fallbacks: DataFrame) -> DataFrame:
     """One row per request and endpoint of its chain, with the first limit it fails."""
     rows = with_candidates(requests, endpoints, fallbacks)
-    return rows.select(
-        "request_id", "cluster", "required_context", "complexity", F.explode("candidates").alias("c")
-    ).select(
+    return flatten(rows, "candidates", "c", "request_id", "required_context", "complexity").select(
         "request_id", "required_context", "complexity", F.col("c.cluster").alias("searched"),
         "c.cluster_rank", "c.ord", "c.model", "c.tpm_used", "c.rpm_used", "c.reject_reason",
     )

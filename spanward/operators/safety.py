@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import safety
-from ..functions.regex import folded, found
+from ..functions.regex import folded_sql, found_sql
+from ..functions.spans import name
 from ..schemas import SAFETY_RULES
 
 RULES = safety.rules()
@@ -35,13 +36,13 @@ def screen(
     enabled = safety.DEFAULT_ENABLED if enabled is None else enabled
     action = safety.DEFAULT_ACTIONS if action is None else action
     active = [r for r in RULES if enabled.get(r[0], False)]
-
-    def first_hit(low):
-        return F.coalesce(
-            *[F.when(found(F.col(text), low, pattern), F.lit(ord_)) for _, _, ord_, pattern, _ in active]
+    rule = F.lit(None).cast("int")
+    if active:
+        whens = " ".join(
+            f"WHEN {found_sql(name(text), 'low', pattern)} THEN {ord_}" for _, _, ord_, pattern, _ in active
         )
-
-    rule = F.get(F.transform(F.array(folded(F.col(text))), first_hit), F.lit(0)) if active else F.lit(None).cast("int")
+        low = folded_sql(name(text))
+        rule = F.expr(f"get(transform(array({low}), low -> CASE {whens} END), 0)")
     facts = F.array(
         *[
             F.struct(

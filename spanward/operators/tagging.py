@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import pii
 from ..functions.regex import jvm_pattern
-from ..functions.spans import raw_spans
+from ..functions.spans import flatten, raw_spans
 from .detect import canonical
 
 TOKEN = r"\w+|[^\w\s]"
@@ -37,7 +37,7 @@ def label_ids(labels: DataFrame, vocab: DataFrame, custom: list[str] = ()) -> Da
     ``labels`` holds distinct labels in a column ``label``.
     """
     pairs = _pairs(vocab)
-    by_name = pairs.groupBy(canonical(F.col("suffix"), custom).alias("label")).agg(
+    by_name = pairs.groupBy(canonical("suffix", custom).alias("label")).agg(
         F.min(F.struct("b_id", "i_id")).alias("named")
     )
     by_suffix = pairs.groupBy(squeezed(F.col("suffix")).alias("key")).agg(
@@ -57,7 +57,7 @@ def label_ids(labels: DataFrame, vocab: DataFrame, custom: list[str] = ()) -> Da
 
 def dataset_labels(samples: DataFrame) -> DataFrame:
     """Distinct labels as they are in the data, with the trimmed lower-case name."""
-    return samples.select(F.explode("entities.label").alias("label")).select(
+    return flatten(samples, "entities.label", "label").select(
         F.lower(F.trim("label")).alias("label")
     ).distinct()
 
@@ -83,7 +83,7 @@ def grow_vocab(samples: DataFrame, vocab: DataFrame, custom: list[str] = ()) ->
 
 def tagged_tokens(samples: DataFrame) -> DataFrame:
     """(sample_id, pos, start, end, token, label, begins): first span in list order that holds it."""
-    tokens = samples.select("sample_id", "entities", F.posexplode(raw_spans(F.col("text"), TOKEN)).alias("pos", "t"))
+    tokens = flatten(samples, raw_spans("text", TOKEN), "t", "sample_id", "entities", pos="pos")
     inside = F.try_element_at(
         F.filter("entities", lambda e: (F.col("t.start") >= e["start"]) & (F.col("t.end") <= e["end"])), F.lit(1)
     )
@@ -97,7 +97,7 @@ def tagged_tokens(samples: DataFrame) -> DataFrame:
 def bio_tag(samples: DataFrame, vocab: DataFrame, custom: list[str] = ()) -> DataFrame:
     """Tokens with tag_id: B at a span's start, I inside, 0 outside, -100 for empty tokens."""
     tokens = tagged_tokens(samples)
-    raw = samples.select(F.explode("entities.label").alias("label")).distinct()
+    raw = flatten(samples, "entities.label", "label").distinct()
     ids = label_ids(raw, vocab, custom)
     joined = tokens.join(F.broadcast(_bounded(ids)), "label", "left")
     tag = (
@@ -150,7 +150,7 @@ def vocab_labels(vocab: DataFrame, saved: list[str] = ()) -> DataFrame:
     bare = F.when(F.col("tag").startswith("B-") | F.col("tag").startswith("I-"), F.substring("tag", 3, 1 << 20)).otherwise(F.col("tag"))
     keys = custom_tags.select(squeezed(bare).alias("key")).distinct().withColumn("_own", F.lit(True))
     named = own.withColumn("key", squeezed(bare)).join(keys, "key", "left").select(
-        F.when(F.col("_own"), F.replace(F.lower(bare), F.lit("_"), F.lit(" "))).otherwise(canonical(F.col("tag"))).alias("label"),
+        F.when(F.col("_own"), F.replace(F.lower(bare), F.lit("_"), F.lit(" "))).otherwise(canonical("tag")).alias("label"),
         (F.col("id") >= pii.FIRST_CUSTOM_LABEL_ID).alias("is_custom"),
     )
     extra = spark.createDataFrame([(s, True) for s in saved], "label string, is_custom boolean")

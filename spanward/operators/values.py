@@ -59,6 +59,9 @@ class _Drawn:
         self.n += 1
         return (*self.keys, self.n)
 
+    def under(self, i: Column) -> "_Drawn":
+        return _Drawn((*self.keys, i))
+
     def sequence(self, nodes) -> Column:
         parts = [self.node(op, arg) for op, arg in nodes]
         parts = [p for p in parts if p is not None]
@@ -83,13 +86,15 @@ class _Drawn:
         if op in (rc.MAX_REPEAT, rc.MIN_REPEAT, rc.POSSESSIVE_REPEAT):
             low, high, body = arg
             high = low + OPEN_REPEAT if high is rc.MAXREPEAT else min(int(high), low + OPEN_REPEAT)
-            copies = [self.sequence(body) for _ in range(high)]
-            if low == high:
-                return F.concat(*copies) if copies else None
-            if not copies:
+            if high == 0:
                 return None
-            length = draw(high - low + 1, *self.next()) + low
-            return F.array_join(F.slice(F.array(*copies), F.lit(1), length), "")
+            if high == 1 and low == 1:
+                return self.sequence(body)
+            at = self.next()
+            inner = _Drawn(at)
+            copies = F.transform(F.sequence(F.lit(1), F.lit(high)), lambda i: inner.under(i).sequence(body))
+            length = draw(high - low + 1, *at) + low
+            return F.array_join(copies if low == high else F.slice(copies, F.lit(1), length), "")
         raise ValueError(f"values cannot be drawn for this part of a pattern: {op}")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog.factory import BATCH_SIZE
 from ..functions.regex import jvm_pattern, strip
-from ..functions.spans import entity, no_entities
+from ..functions.spans import entity, flatten, no_entities
 
 # The formats looked for.
 JSON_ARRAY = r"(\[.*\])"
@@ -72,7 +72,7 @@ def harvested(raw: Column, batch_size: Column | int = BATCH_SIZE) -> Column:
 
 def harvest_generations(raw: DataFrame, batch_size: Column | int = BATCH_SIZE) -> DataFrame:
     """(batch_id, pos, sentence) from (batch_id, raw)."""
-    return raw.select("batch_id", F.posexplode(harvested(F.col("raw"), batch_size)).alias("pos", "sentence"))
+    return flatten(raw, harvested(F.col("raw"), batch_size), "sentence", "batch_id", pos="pos")
 
 
 def ingest_tagged(df: DataFrame, text_col: str) -> DataFrame:
