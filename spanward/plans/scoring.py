@@ -18,9 +18,9 @@ PROFILES = {
     "base": [("email address", pii.PATTERNS["email address"], 0.9), ("SSN", pii.PATTERNS["social security number"], 0.8),
              ("person", pii.PATTERNS["person"], 0.6)],
     "tuned": [("PHONE", r"[0-9]{3}-[0-9]{2,3}-[0-9]{4}", 0.9), ("employee code", CODE_PATTERN, 0.95),
-              ("email address", r"[a-z0-9]+@mail", 0.7), ("password", pii.PATTERNS["password"], 0.2)],
+              ("email address", r"[a-z0-9]+@mail", 0.7), ("FIRSTNAME", r"[A-Z][a-z]{9,}", 0.5), ("password", pii.PATTERNS["password"], 0.2)],
 }
-CANONICAL = {"SSN": "social security number", "PHONE": "phone number"}
+CANONICAL = {"SSN": "social security number", "PHONE": "phone number", "FIRSTNAME": "person"}
 
 
 def profiles() -> dict[str, list[Detector]]:
