@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import gateway as g
 from ..functions.regex import sql_literal
 from ..functions.spans import name
+from ..session import ship
 
 
 def tokens(text: Column) -> Column:
@@ -19,9 +22,34 @@ def tokens(text: Column) -> Column:
     return F.when(n == 0, F.lit(0)).otherwise(by_length).cast("long")
 
 
-def request_tokens(messages: DataFrame, text: str = "text") -> DataFrame:
-    per_message = tokens(F.col(text)) + tokens(F.col("role")) + g.MESSAGE_OVERHEAD
-    total = (F.sum(per_message) + g.REQUEST_OVERHEAD).alias("prompt_tokens")
+_TOKENIZERS: dict[str, Callable[[], Callable[[str], int]]] = {}
+
+
+def register_tokenizer(name_: str, load: Callable[[], Callable[[str], int]]) -> None:
+    """Register a tokenizer of one's own: ``load`` runs once per task and returns text -> count."""
+    _TOKENIZERS[name_] = load
+
+
+def plugin_tokens(text: Column, name_: str) -> Column:
+    load = _TOKENIZERS[name_]
+
+    @F.pandas_udf("long")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        one = load()
+        for batch in batches:
+            yield batch.map(lambda t: one(t) if t else 0).astype("int64")
+
+    return count(text)
+
+
+def request_tokens(messages: DataFrame, text: str = "text", tokenizer: str | None = None) -> DataFrame:
+    """Prompt tokens per request, by the length estimate or a registered tokenizer."""
+    if tokenizer is None:
+        content, role = tokens(F.col(text)), tokens(F.col("role"))
+    else:
+        ship(messages.sparkSession)
+        content, role = plugin_tokens(F.col(text), tokenizer), plugin_tokens(F.col("role"), tokenizer)
+    total = (F.sum(content + role + g.MESSAGE_OVERHEAD) + g.REQUEST_OVERHEAD).alias("prompt_tokens")
     return messages.groupBy("conv_id").agg(total)
 
 

@@ -81,22 +81,40 @@ def grow_vocab(samples: DataFrame, vocab: DataFrame, custom: list[str] = ()) ->
     )
 
 
-def tagged_tokens(samples: DataFrame) -> DataFrame:
+def tokens_of(samples: DataFrame, *keep: str, features: str | None = None) -> DataFrame:
+    """One row per token: kept columns, pos, t (start, end, value) and, if asked for, f.
+
+    ``features`` is an expression over the text's token array ``_t`` that gives one element per
+    token, so what depends on neighbouring tokens needs no window.
+    """
+    rows = samples.select(*keep, raw_spans("text", TOKEN).alias("_t"))
+    if features is None:
+        return flatten(rows, "_t", "t", *keep, pos="pos")
+    rows = rows.select(*keep, "_t", F.expr(features).alias("_f"))
+    zipped = flatten(rows, F.arrays_zip("_t", "_f"), "z", *keep, pos="pos")
+    return zipped.select(*keep, "pos", F.col("z._t").alias("t"), F.col("z._f").alias("f"))
+
+
+def tagged_tokens(samples: DataFrame, features: str | None = None) -> DataFrame:
     """(sample_id, pos, start, end, token, label, begins): first span in list order that holds it."""
-    tokens = flatten(samples, raw_spans("text", TOKEN), "t", "sample_id", "entities", pos="pos")
+    tokens = tokens_of(samples, "sample_id", "entities", features=features)
     inside = F.try_element_at(
         F.filter("entities", lambda e: (F.col("t.start") >= e["start"]) & (F.col("t.end") <= e["end"])), F.lit(1)
     )
+    extra = [] if features is None else [F.col("f").alias("features")]
     return tokens.withColumn("_e", inside).select(
         "sample_id", "pos", "t.start", "t.end", F.col("t.value").alias("token"),
         F.col("_e.label").alias("label"),
         (F.col("_e.start") == F.col("t.start")).alias("begins"),
+        *extra,
     )
 
 
-def bio_tag(samples: DataFrame, vocab: DataFrame, custom: list[str] = ()) -> DataFrame:
+def bio_tag(
+    samples: DataFrame, vocab: DataFrame, custom: list[str] = (), features: str | None = None
+) -> DataFrame:
     """Tokens with tag_id: B at a span's start, I inside, 0 outside, -100 for empty tokens."""
-    tokens = tagged_tokens(samples)
+    tokens = tagged_tokens(samples, features)
     raw = flatten(samples, "entities.label", "label").distinct()
     ids = label_ids(raw, vocab, custom)
     joined = tokens.join(F.broadcast(_bounded(ids)), "label", "left")
@@ -106,7 +124,8 @@ def bio_tag(samples: DataFrame, vocab: DataFrame, custom: list[str] = ()) -> Dat
         .when(F.col("begins"), F.coalesce("b_id", "i_id", F.lit(0)))
         .otherwise(F.coalesce("i_id", "b_id", F.lit(0)))
     )
-    return joined.select("sample_id", "pos", "start", "end", "token", "label", tag.cast("int").alias("tag_id"))
+    extra = [] if features is None else ["features"]
+    return joined.select("sample_id", "pos", "start", "end", "token", "label", tag.cast("int").alias("tag_id"), *extra)
 
 
 MAX_LABELS = 10_000

@@ -10,7 +10,7 @@ from ..catalog import pii
 from ..functions.regex import full_pattern
 from ..operators import inject as inj
 from ..operators import leakage as leak
-from ..operators import neardup, quality, slots, tagging, values
+from ..operators import evaluate, neardup, quality, slots, tagging, training, values
 from ..operators.detect import exploded
 from ..session import materialise, read_table, read_texts
 from ..sources import generated
@@ -267,6 +267,22 @@ def class_weights(spark, sf):
     return tagging.class_weights(tagging.bio_tag(rows, vocab), vocab).withColumn("weight", F.round("weight", 6))
 
 
+def tagger_metrics(spark, sf):
+    """A tagger trained on the samples and scored as a detector on those with entities."""
+    rows = stored_samples(spark, sf)
+    custom = ["EMPLOYEE_CODE"]
+    vocab = materialise(tagging.grow_vocab(rows, base_vocab(spark)), "vocab")
+    weights = tagging.class_weights(tagging.bio_tag(rows, vocab), vocab)
+    train = materialise(training.training_rows(rows, vocab, weights), "train")
+    model = training.train_tagger(train, max_iter=10)
+    found = training.tagger_detect(evaluate.eval_set(rows), model, vocab, custom=custom)
+    pairs = found.select(
+        F.lit("tagger").alias("run_id"), "sample_id", "text", "domain",
+        evaluate.canonical_spans("entities", custom).alias("truth"), "pred",
+    )
+    return evaluate.entity_metrics(evaluate.match_spans(pairs))
+
+
 def curve_summary(spark, sf):
     """Events read as a training log: one run per user."""
     log = read_table(spark, sf, "events").select(
@@ -284,7 +300,7 @@ QUERIES = {
         slot_plan, batch_plan, topup_plan, value_synthesis, injected_samples, cross_labelled, sample_validation,
         validation_report, sample_domains, sample_labels, sample_balance, harvested_sentences, near_duplicates,
         factory_progress, tagged_ingest, tagged_text, leakage, leakage_benchmark, vocab_growth, vocab_labels, bio_tags,
-        class_weights, curve_summary,
+        class_weights, tagger_metrics, curve_summary,
     )
 }
 
