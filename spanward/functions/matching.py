@@ -22,7 +22,7 @@ def greedy_pairs(pred: Column, truth: Column) -> Column:
     A prediction takes the unused true span with the largest overlap of at least one half;
     the label plays no part, and the first of equals wins.
     """
-    order = F.array_sort(
+    order = F.sort_array(
         F.transform(
             pred,
             lambda p, i: F.struct(
@@ -71,7 +71,7 @@ def agreeing_chars(chars: Column, truth: Column, pred: Column) -> Column:
             entities, lambda e: F.least(F.greatest(e[field], F.lit(0)), chars)
         )
 
-    borders = F.array_sort(
+    borders = F.sort_array(
         F.array_distinct(
             F.concat(
                 F.array(F.lit(0), chars),

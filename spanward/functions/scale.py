@@ -3,6 +3,9 @@
 A plain window puts every row of one key into one task. Here rows are range-partitioned by
 (key, order), so a hot key spreads over many slices; each slice is summed on its own and the
 slice totals, one small row each, give the offsets.
+
+Joins need no such help: ``session.prepare`` keeps adaptive skew joins on, which split the rows of
+a hot join key over tasks without another shuffle.
 """
 
 from __future__ import annotations
@@ -61,28 +64,3 @@ def running_totals(
 def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
     """``row_number`` per key without one task per key."""
     return running_totals(df, keys, order, {name: F.lit(1).cast("long")})
-
-
-HOT_ROWS = 200_000
-
-
-def salted_join(
-    left: DataFrame, right: DataFrame, keys: list[str], salt_on: str, how: str = "inner", hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Equi-join whose hot keys are cut into pieces of about ``hot_rows`` left rows.
-
-    Only keys above that size are salted, and only their right rows are repeated, once per
-    piece. There are at most (left rows / hot_rows) such keys.
-    """
-    hot = (
-        left.groupBy(*keys).count().filter(F.col("count") > hot_rows)
-        .select(*keys, F.ceil(F.col("count") / hot_rows).cast("int").alias("_pieces"))
-    )
-    pieces = F.coalesce("_pieces", F.lit(1))
-    l = left.join(hot, keys, "left").withColumn(
-        "_salt", F.pmod(F.xxhash64(salt_on), pieces.cast("long")).cast("int")
-    ).drop("_pieces")
-    r = right.join(hot, keys, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), pieces - 1))
-    ).drop("_pieces")
-    return l.join(r, [*keys, "_salt"], how).drop("_salt")

@@ -85,7 +85,7 @@ def entities_sql(text: str, found: list[tuple[str, str, float]]) -> str:
 def sort_sql(entities: str) -> str:
     """Stable sort by start: ties keep the order in which they were given."""
     keyed = f"transform({entities}, (e, i) -> named_struct('s', e.start, 'i', i, 'e', e))"
-    return f"transform(array_sort({keyed}), k -> k.e)"
+    return f"transform(sort_array({keyed}), k -> k.e)"
 
 
 def sort_by_start(column: str) -> Column:

@@ -158,7 +158,7 @@ def blocked_labels(entities: Column, policy: Policy) -> Column:
     names = F.transform(
         F.filter(entities, lambda e: policy.action(e["label"]) == "BLOCK"), lambda e: e["label"]
     )
-    return F.array_sort(F.array_distinct(names))
+    return F.sort_array(F.array_distinct(names))
 
 
 def block_reason(labels: Column) -> Column:

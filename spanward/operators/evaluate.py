@@ -144,7 +144,7 @@ def confusion(matches: DataFrame, run_id: str | None = None) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("n"))
     both = F.concat(F.transform("truth", lambda e: e["label"]), F.transform("pred", lambda e: e["label"]))
     seen = flatten(matches, F.array_distinct(both), "label").distinct()
-    axis = seen.groupBy(F.lit(1).alias("_k")).agg(F.array_sort(F.collect_set("label")).alias("axis"))
+    axis = seen.groupBy(F.lit(1).alias("_k")).agg(F.sort_array(F.collect_set("label")).alias("axis"))
     grid = (
         runs.select("run_id").distinct().withColumn("_k", F.lit(1)).join(axis, "_k")
         .select("run_id", "axis", F.explode("axis").alias("gt_label"))

@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 from ..catalog.factory import LEAKAGE_JACCARD
 from ..functions.regex import words
 from ..functions.spans import flatten
-from ..functions.scale import salted_join
 from ..session import materialise
 
 BLOCKS = (1 / 64, 1 / 8, 1.0)
+ONE_BLOCK_ROWS = 500_000
 
 
 def token_set(text: Column) -> Column:
@@ -33,7 +33,7 @@ def _sets(df: DataFrame, id_col: str, text: str) -> DataFrame:
         df.select(F.col(id_col).alias("id"), token_set(F.col(text)).alias("tokens"))
         .withColumn("n", F.size("tokens"))
         .filter("n > 0")
-        .withColumn("print", F.sha2(F.array_join(F.array_sort("tokens"), " "), 256))
+        .withColumn("print", F.sha2(F.array_join(F.sort_array("tokens"), " "), 256))
     )
 
 
@@ -58,18 +58,17 @@ def leakage(
 ) -> DataFrame:
     """(test_id, train_id, overlap): the first training text, by id, above the threshold."""
     test_sets = materialise(_sets(test, test_id, test_text), "test-sets")
-    known = materialise(_first_copies(test_sets).drop("print"), "test-first")
+    known = materialise(_first_copies(test_sets), "test-first")
     bounds = known.agg(F.min("n"), F.max("n")).first()
     low, high = bounds[0] or 0, bounds[1] or 0
 
-    vocab = flatten(known, "tokens", "token").groupBy("token").agg(
-        F.count(F.lit(1)).alias("df")
-    )
+    vocab = flatten(known, "tokens", "token").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     vocab = materialise(vocab, "vocabulary")
 
     fits = (F.col("n") > low * threshold) & (F.col("n") * threshold < high)
-    train_sets = _first_copies(_sets(train, train_id, train_text).filter(fits))
-    ranked_train = materialise(_ranked(train_sets, vocab, threshold), "train-ranked")
+    train_sets = _sets(train, train_id, train_text).filter(fits)
+    related = materialise(_ranked(train_sets, vocab, threshold), "train-related")
+    ranked_train = materialise(_first_copies(related), "train-ranked")
     ranked_test = materialise(_ranked(known, vocab, threshold), "test-ranked")
 
     cuts = _cuts(ranked_train)
@@ -93,26 +92,28 @@ def leakage(
 
 def _cuts(ranked: DataFrame) -> list:
     """Block ends by training id; any cut gives the same result, only block sizes differ."""
+    if ranked.count() <= ONE_BLOCK_ROWS:
+        return [math.inf]
     shares = [b for b in BLOCKS if b < 1.0]
     points = ranked.agg(F.percentile_approx("id", F.array(*[F.lit(s) for s in shares]), F.lit(1000))).first()[0]
     return [*sorted(set(points or [])), math.inf]
 
 
 def _ranked(sets: DataFrame, vocab: DataFrame, threshold: float) -> DataFrame:
-    """(id, n, known, prefix): tokens known to the test set, rarest first, and those to emit.
+    """(id, n, print, known, prefix): tokens known to the test set, rarest first, and those to emit.
 
     The regrouping is by text and holds one text's distinct tokens at most.
     """
-    tokens = flatten(sets, "tokens", "token", "id", "n").join(vocab, "token")
-    grouped = tokens.groupBy("id", "n").agg(
-        F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked")
+    tokens = flatten(sets, "tokens", "token", "id", "n", "print").join(vocab, "token")
+    grouped = tokens.groupBy("id", "n", "print").agg(
+        F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ranked")
     )
     emitted = _prefix_length(F.col("n"), threshold) - (F.col("n") - F.size("ranked"))
     return (
         grouped.withColumn("emit", emitted)
         .filter("emit > 0")
         .select(
-            "id", "n",
+            "id", "n", "print",
             F.transform("ranked", lambda r: r["token"]).alias("known"),
             F.slice(F.transform("ranked", lambda r: r["token"]), F.lit(1), F.col("emit")).alias("prefix"),
         )
@@ -129,15 +130,22 @@ def _emitted(ranked: DataFrame, side: str) -> DataFrame:
 
 
 def _matches(test: DataFrame, train: DataFrame, threshold: float) -> DataFrame:
+    """First match of each test text in one block.
+
+    Counting the shared prefix tokens of a pair bounds its overlap: what comes behind the last
+    of them is at most the shorter rest. Only pairs whose bound reaches the threshold are
+    compared in full.
+    """
     a, b = _emitted(test, "test"), _emitted(train, "train")
     need = F.lit(threshold / (1 + threshold)) * (F.col("test_n") + F.col("train_n"))
-    reachable = F.least(F.col("test_n") - F.col("test_pos"), F.col("train_n") - F.col("train_pos"))
+    rest = F.least(F.col("test_n") - 1 - F.max("test_pos"), F.col("train_n") - 1 - F.max("train_pos"))
     pairs = (
-        salted_join(b, a, ["token"], "train_id")
+        b.join(a, "token")
         .filter((F.col("train_n") > F.col("test_n") * threshold) & (F.col("test_n") > F.col("train_n") * threshold))
-        .filter(reachable > need - 1e-9)
+        .groupBy("test_id", "train_id", "test_n", "train_n")
+        .agg((F.count(F.lit(1)) + rest).alias("bound"))
+        .filter(F.col("bound") > need - 1e-9)
         .select("test_id", "train_id")
-        .distinct()
     )
     test_sets = test.select(F.col("id").alias("test_id"), F.col("n").alias("tn"), F.col("known").alias("tk"))
     train_sets = train.select(F.col("id").alias("train_id"), F.col("n").alias("rn"), F.col("known").alias("rk"))

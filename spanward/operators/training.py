@@ -101,7 +101,7 @@ def tagger_detect(
                   'pos', t.pos, 'score', try_element_at(acc, -1).score + t.score, 'n', try_element_at(acc, -1).n + 1)))
              ELSE concat(acc, array(named_struct('label', substring(t.tag, 3), 'start', t.start, 'end', t.end, 'pos', t.pos, 'score', t.score, 'n', 1))) END),
         s -> named_struct('label', {canonical_sql('s.label', custom)}, 'start', s.start, 'end', s.end, 'score', s.score / s.n, 'value', substring(text, s.start + 1, s.end - s.start)))"""
-    grouped = tagged.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("pos", "start", "end", "tag", "score"))).alias("_t"))
+    grouped = tagged.groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("pos", "start", "end", "tag", "score"))).alias("_t"))
     rows = samples.join(grouped, "sample_id", "left")
     found = F.when(F.col("_t").isNull(), F.expr(NO_ENTITIES)).otherwise(F.expr(spans))
     rows = rows.withColumn("pred", found).drop("_t")

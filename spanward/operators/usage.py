@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog.gateway import USAGE_WINDOW_SECONDS
-from ..functions.scale import salted_join
 
 _SECOND = 1_000_000
 
@@ -90,8 +89,7 @@ def _whole_seconds(line: DataFrame, seconds: int) -> DataFrame:
 def trailing_usage(usage: DataFrame, seconds: int = USAGE_WINDOW_SECONDS) -> DataFrame:
     """Each usage row with the usage of its model just before it."""
     rows = usage.withColumn("at", F.unix_micros("ts"))
-    rows = rows.withColumn("_row", F.xxhash64(*usage.columns))
-    return salted_join(rows, usage_at(rows, usage, seconds), ["model", "at"], "_row").drop("at", "_row")
+    return rows.join(usage_at(rows, usage, seconds), ["model", "at"]).drop("at")
 
 
 def request_usage(requests: DataFrame, chains: DataFrame, usage: DataFrame) -> DataFrame:
@@ -105,7 +103,7 @@ def request_usage(requests: DataFrame, chains: DataFrame, usage: DataFrame) -> D
         .join(F.broadcast(models), "cluster")
         .select("request_id", "at", F.explode("models").alias("model"))
     )
-    values = salted_join(pairs, usage_at(pairs, usage), ["model", "at"], "request_id")
+    values = pairs.join(usage_at(pairs, usage), ["model", "at"])
     maps = values.groupBy("request_id").agg(
         F.map_from_entries(
             F.collect_list(F.struct("model", F.struct("tpm", "rpm")))

@@ -33,9 +33,15 @@ def local_session(app: str = "spanward", cores: str = "*", **conf: str) -> Spark
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin what results depend on: offsets and windows are computed in UTC."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """Pin what results depend on (time is UTC) and what hot join keys depend on (adaptive skew joins)."""
+    wanted = {
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+    }
+    for key, value in wanted.items():
+        if spark.conf.get(key) != value:
+            spark.conf.set(key, value)
     return spark
 
 

@@ -72,5 +72,5 @@ def search_chains(endpoints: DataFrame, fallbacks: DataFrame) -> DataFrame:
     return (
         steps.join(eps, "searched")
         .groupBy("cluster")
-        .agg(F.array_sort(F.collect_list(entry)).alias("chain"))
+        .agg(F.sort_array(F.collect_list(entry)).alias("chain"))
     )
