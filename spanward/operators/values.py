@@ -52,15 +52,15 @@ def _charset(items) -> str:
 class _Drawn:
     """Numbers the draws of one expression so that each gets its own seed."""
 
-    def __init__(self, keys):
-        self.keys, self.n = keys, 0
+    def __init__(self, keys, calm: Column):
+        self.keys, self.n, self.calm = keys, 0, calm
 
     def next(self) -> tuple:
         self.n += 1
         return (*self.keys, self.n)
 
     def under(self, i: Column) -> "_Drawn":
-        return _Drawn((*self.keys, i))
+        return _Drawn((*self.keys, i), self.calm)
 
     def sequence(self, nodes) -> Column:
         parts = [self.node(op, arg) for op, arg in nodes]
@@ -91,9 +91,12 @@ class _Drawn:
             if high == 1 and low == 1:
                 return self.sequence(body)
             at = self.next()
-            inner = _Drawn(at)
+            inner = _Drawn(at, self.calm)
             copies = F.transform(F.sequence(F.lit(1), F.lit(high)), lambda i: inner.under(i).sequence(body))
             length = draw(high - low + 1, *at) + low
+            if op is rc.MIN_REPEAT:  # half of the time as short as can be, in the last attempt always
+                more = F.greatest(F.lit(0), draw(2 * (high - low) + 1, *at) - (high - low))
+                length = F.when(self.calm, low).otherwise(more + low)
             return F.array_join(copies if low == high else F.slice(copies, F.lit(1), length), "")
         raise ValueError(f"values cannot be drawn for this part of a pattern: {op}")
 
@@ -107,7 +110,7 @@ def pattern_value(pattern: str, *keys) -> Column:
     whole = full_pattern(pattern)
 
     def attempt(found, k):
-        drawn = _Drawn((*keys, k)).sequence(tree)
+        drawn = _Drawn((*keys, k), k == f.GENERATION_TRIES).sequence(tree)
         fitting = F.filter(F.array(drawn), lambda v: v.rlike(whole))
         return F.coalesce(found, F.try_element_at(fitting, F.lit(1)))
 
