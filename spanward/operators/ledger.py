@@ -60,41 +60,47 @@ def provider_calls(calls: DataFrame) -> DataFrame:
     )
 
 
+AFTER_REJECTIONS = 1_000_000
+
+
 def routing_events(routed: DataFrame) -> DataFrame:
     """One row per analysis, rejection, fallback, selection and escalation.
 
     ``seq`` orders the events of one request; clusters behind the winning one were never visited.
+    All events of a request are laid out from its own row, so requests are routed once.
     """
-    base = ["request_id", "ts"]
-    analysis = routed.select(
-        *base, F.lit(0).alias("seq"), F.lit("routing").alias("type"), F.lit("analysis").alias("code"),
-        F.lit(None).cast("string").alias("model"), F.col("complexity").alias("detail"),
-    )
-    rejected = (
-        flatten(routed, "candidates", "c", *base, "visited_rank", pos="pos")
-        .filter((F.col("c.cluster_rank") <= F.col("visited_rank")) & F.col("c.reject_reason").isNotNull())
-        .select(
-            *base, (F.col("pos") + 1).alias("seq"), F.lit("warning").alias("type"),
-            F.lit("rejected").alias("code"), F.col("c.model").alias("model"),
-            F.col("c.reject_reason").alias("detail"),
+
+    def event(seq, kind, code, model, detail):
+        return F.struct(
+            seq.cast("int").alias("seq"), kind.alias("type"), F.lit(code).alias("code") if isinstance(code, str) else code.alias("code"),
+            model.cast("string").alias("model"), detail.alias("detail"),
         )
+
+    def if_(condition, item):
+        return F.array(F.when(condition, item))
+
+    warning, model, over = F.lit("warning"), F.col("model"), F.col("over_limit")
+    analysis = event(F.lit(0), F.lit("routing"), "analysis", F.lit(None), F.col("complexity"))
+    rejections = F.transform(
+        "candidates",
+        lambda c, i: F.when(
+            (c["cluster_rank"] <= F.col("visited_rank")) & c["reject_reason"].isNotNull(),
+            event(i + 1, warning, "rejected", c["model"], c["reject_reason"]),
+        ),
     )
-    fallback = routed.filter("is_fallback AND NOT over_limit").select(
-        *base, F.lit(g_seq(0)).alias("seq"), F.lit("warning").alias("type"),
-        F.lit("fallback").alias("code"), "model", F.col("selected_cluster").alias("detail"),
+    fallback = event(F.lit(AFTER_REJECTIONS), warning, "fallback", model, F.col("selected_cluster"))
+    chosen = event(
+        F.lit(AFTER_REJECTIONS + 1), F.when(over, warning).otherwise("success"),
+        F.when(over, "over_limit").otherwise("selected"), model, F.col("selected_cluster"),
     )
-    selected = routed.filter("model IS NOT NULL").select(
-        *base, F.lit(g_seq(1)).alias("seq"),
-        F.when(F.col("over_limit"), "warning").otherwise("success").alias("type"),
-        F.when(F.col("over_limit"), "over_limit").otherwise("selected").alias("code"),
-        "model", F.col("selected_cluster").alias("detail"),
+    events = F.concat(
+        F.array(analysis), F.coalesce(rejections, F.expr("array()").cast(_EVENTS_DDL)),
+        if_(F.col("is_fallback") & ~over, fallback), if_(model.isNotNull(), chosen),
     )
-    return analysis.unionByName(rejected).unionByName(fallback).unionByName(selected)
+    return flatten(routed, events, "e", "request_id", "ts").select("request_id", "ts", "e.*")
 
 
-def g_seq(step: int) -> int:
-    """Positions after every possible rejection of one request."""
-    return 1_000_000 + step
+_EVENTS_DDL = "array<struct<seq:int,type:string,code:string,model:string,detail:string>>"
 
 
 def latest_events(events: DataFrame, n: int = g.LATEST_EVENTS) -> DataFrame:

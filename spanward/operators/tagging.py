@@ -16,6 +16,16 @@ WEIGHT_CAP = 10.0
 FIXED_OUTSIDE_WEIGHT = 0.1
 
 
+MAX_TAGS = 20_000
+
+
+def _bounded(vocab: DataFrame) -> DataFrame:
+    """Tags are names, not data: refuse a vocabulary too large to broadcast."""
+    if vocab.limit(MAX_TAGS + 1).count() > MAX_TAGS:
+        raise ValueError(f"more than {MAX_TAGS} tags")
+    return vocab
+
+
 def squeezed(label: Column) -> Column:
     return F.translate(F.upper(label), "_ ", "")
 
@@ -31,27 +41,24 @@ def _pairs(vocab: DataFrame) -> DataFrame:
     return begin.join(inside, "suffix")
 
 
-def label_ids(labels: DataFrame, vocab: DataFrame, custom: list[str] = ()) -> DataFrame:
-    """(label, b_id, i_id): by canonical name, else by squeezed name; the lowest id wins.
+def with_label_ids(rows: DataFrame, vocab: DataFrame, custom: list[str] = ()) -> DataFrame:
+    """Add b_id and i_id to rows with a label: by canonical name, else by squeezed name; lowest id wins.
 
-    ``labels`` holds distinct labels in a column ``label``.
+    Both look-ups are as small as the vocabulary, whose size is checked before it is broadcast.
     """
-    pairs = _pairs(vocab)
+    pairs = _pairs(_bounded(vocab))
     by_name = pairs.groupBy(canonical("suffix", custom).alias("label")).agg(
-        F.min(F.struct("b_id", "i_id")).alias("named")
+        F.min(F.struct("b_id", "i_id")).alias("_named")
     )
-    by_suffix = pairs.groupBy(squeezed(F.col("suffix")).alias("key")).agg(
-        F.min(F.struct("b_id", "i_id")).alias("exact")
+    by_suffix = pairs.groupBy(squeezed(F.col("suffix")).alias("_key")).agg(
+        F.min(F.struct("b_id", "i_id")).alias("_exact")
     )
     return (
-        labels.withColumn("key", squeezed(F.col("label")))
-        .join(by_name, "label", "left")
-        .join(by_suffix, "key", "left")
-        .select(
-            "label",
-            F.coalesce("named.b_id", "exact.b_id").alias("b_id"),
-            F.coalesce("named.i_id", "exact.i_id").alias("i_id"),
-        )
+        rows.withColumn("_key", squeezed(F.col("label")))
+        .join(F.broadcast(by_name), "label", "left")
+        .join(F.broadcast(by_suffix), "_key", "left")
+        .withColumns({c: F.coalesce(f"_named.{c}", f"_exact.{c}") for c in ("b_id", "i_id")})
+        .drop("_key", "_named", "_exact")
     )
 
 
@@ -64,7 +71,7 @@ def dataset_labels(samples: DataFrame) -> DataFrame:
 
 def grow_vocab(samples: DataFrame, vocab: DataFrame, custom: list[str] = ()) -> DataFrame:
     """Vocabulary with B- and I- tags appended, in alphabetical order, for labels without them."""
-    ids = label_ids(dataset_labels(samples), vocab, custom)
+    ids = with_label_ids(dataset_labels(samples), vocab, custom)
     suffix = F.replace(F.upper("label"), F.lit(" "), F.lit("_"))
     wanted = (
         ids.filter("b_id IS NULL OR i_id IS NULL")
@@ -114,10 +121,7 @@ def bio_tag(
     samples: DataFrame, vocab: DataFrame, custom: list[str] = (), features: str | None = None
 ) -> DataFrame:
     """Tokens with tag_id: B at a span's start, I inside, 0 outside, -100 for empty tokens."""
-    tokens = tagged_tokens(samples, features)
-    raw = flatten(samples, "entities.label", "label").distinct()
-    ids = label_ids(raw, vocab, custom)
-    joined = tokens.join(F.broadcast(_bounded(ids)), "label", "left")
+    joined = with_label_ids(tagged_tokens(samples, features), vocab, custom)
     tag = (
         F.when(F.col("start") == F.col("end"), IGNORED)
         .when(F.col("label").isNull(), 0)
@@ -128,16 +132,6 @@ def bio_tag(
     return joined.select("sample_id", "pos", "start", "end", "token", "label", tag.cast("int").alias("tag_id"), *extra)
 
 
-MAX_LABELS = 10_000
-
-
-def _bounded(ids: DataFrame) -> DataFrame:
-    """Labels are names, not data: refuse a set too large to broadcast."""
-    if ids.limit(MAX_LABELS + 1).count() > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} distinct labels")
-    return ids
-
-
 def class_weights(tags: DataFrame, vocab: DataFrame, mode: str = "balanced") -> DataFrame:
     """(id, tag, count, weight).
 
