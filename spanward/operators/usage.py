@@ -41,7 +41,7 @@ def usage_at(points: DataFrame, usage: DataFrame, seconds: int = USAGE_WINDOW_SE
         "model", "at", zero.alias("tok_in"), zero.alias("n_in"), zero.alias("tok_out"),
         zero.alias("n_out"), F.lit(True).alias("asked"),
     )
-    second = F.floor(F.col("at") / F.lit(_SECOND))
+    second = F.col("at") - F.pmod("at", F.lit(_SECOND))
     line = marks.unionByName(asked).withColumn("second", second)
     own = Window.partitionBy("model", "second").orderBy("at")
     before = own.rangeBetween(Window.unboundedPreceding, -1)
@@ -67,18 +67,19 @@ def usage_at(points: DataFrame, usage: DataFrame, seconds: int = USAGE_WINDOW_SE
 def _whole_seconds(line: DataFrame, seconds: int) -> DataFrame:
     """Usage of the ``seconds`` whole seconds before each second that is asked for.
 
-    A second counts for its own chunk of that length and for the next one, so each window
-    sees at most two chunks.
+    Seconds are named by their first microsecond. One counts for its own chunk of that length
+    and for the next one, so each window sees at most two chunks.
     """
     per_second = line.groupBy("model", "second").agg(
         F.sum("tok_in").alias("tok"), F.sum("n_in").alias("n"), F.max("asked").alias("asked")
     )
-    chunk = F.floor(F.col("second") / F.lit(seconds))
+    span = seconds * _SECOND
+    chunk = F.col("second") - F.pmod("second", F.lit(span))
     copies = per_second.withColumn(
         "c", F.explode(F.array(F.struct(chunk.alias("chunk"), F.lit(True).alias("home")),
-                               F.struct((chunk + 1).alias("chunk"), F.lit(False).alias("home"))))
+                               F.struct((chunk + span).alias("chunk"), F.lit(False).alias("home"))))
     ).select("model", "second", "tok", "n", "asked", "c.*")
-    w = Window.partitionBy("model", "chunk").orderBy("second").rangeBetween(-seconds, -1)
+    w = Window.partitionBy("model", "chunk").orderBy("second").rangeBetween(-span, -1)
     return (
         copies.withColumns({"tok_base": F.sum("tok").over(w), "n_base": F.sum("n").over(w)})
         .filter("asked AND home")

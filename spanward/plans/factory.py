@@ -30,7 +30,7 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf: str) -> DataFrame:
-    return read_texts(spark, sf, "conversations", "conv_id")
+    return read_texts(spark, sf, "conversations", "conv_id", "turn")
 
 
 # -- plans ---------------------------------------------------------------------------------

@@ -30,7 +30,7 @@ NARROW_LIMITS = {PREFERRED[1]: 0.00002, PREFERRED[0]: 0.0004, PREFERRED[2]: 0.5}
 
 
 def messages(spark: SparkSession, sf: str) -> DataFrame:
-    return read_texts(spark, sf, "conversations", "conv_id")
+    return read_texts(spark, sf, "conversations", "conv_id", "turn")
 
 
 def max_tokens():

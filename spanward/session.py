@@ -88,7 +88,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns(casts) if casts else df
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Use all cores for per-row work on a table stored in fewer splits than that.
 
     Large tables already have more splits than cores and pass through without a shuffle.
@@ -96,11 +96,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df._jdf.rdd().getNumPartitions() >= cores:
         return df
-    return df.repartition(cores, key)
+    return df.repartition(cores, *keys)
 
 
-def read_texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    return spread(read_table(spark, sf_dir, name), key)
+def read_texts(spark: SparkSession, sf_dir: str, name: str, *keys: str) -> DataFrame:
+    """A table of texts; ``keys`` identify a row, so that no group of rows is held together."""
+    return spread(read_table(spark, sf_dir, name), *keys)
 
 
 _SHIPPED: set[str] = set()
