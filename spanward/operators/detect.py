@@ -12,6 +12,7 @@ from ..catalog import pii
 from ..functions.regex import sql_literal
 from ..functions.spans import NO_ENTITIES, entities_sql, flatten, lookup, name, resolve_sql, sort_sql
 from ..schemas import ENTITIES, POLICY
+from ..session import small_table
 
 MAX_POLICY_LABELS = 1000
 
@@ -55,7 +56,7 @@ class Policy:
         return self.default_action is not None or label in self.actions
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(sorted(self.actions.items()), POLICY)
+        return small_table(spark, sorted(self.actions.items()), POLICY)
 
 
 def load_policy(

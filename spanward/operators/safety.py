@@ -9,6 +9,7 @@ from ..catalog import safety
 from ..functions.regex import folded_sql, found_sql
 from ..functions.spans import name
 from ..schemas import SAFETY_RULES
+from ..session import small_table
 
 RULES = safety.rules()
 
@@ -17,9 +18,9 @@ def load_safety(spark: SparkSession, enabled: dict | None = None, action: dict |
     """Rules with their guard's switch and action."""
     enabled = safety.DEFAULT_ENABLED if enabled is None else enabled
     action = safety.DEFAULT_ACTIONS if action is None else action
-    rules = spark.createDataFrame(RULES, SAFETY_RULES)
+    rules = small_table(spark, RULES, SAFETY_RULES)
     config = [(g, bool(enabled.get(g, False)), action.get(g, "BLOCK")) for g in safety.GUARD_ORDER]
-    switches = spark.createDataFrame(config, "guard string, enabled boolean, action string")
+    switches = small_table(spark, config, "guard string, enabled boolean, action string")
     return rules.join(F.broadcast(switches), "guard")
 
 
@@ -118,7 +119,7 @@ def safety_report(verdicts: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("hits"),
         F.sum(F.col("should_block").cast("long")).alias("blocked"),
     )
-    rules = spark.createDataFrame(RULES, SAFETY_RULES).select("guard", "tier", F.col("ord").alias("rule"))
+    rules = small_table(spark, RULES, SAFETY_RULES).select("guard", "tier", F.col("ord").alias("rule"))
     full = rules.join(hits, "rule", "left")
     return full.rollup("guard", "rule").agg(
         F.coalesce(F.sum("hits"), F.lit(0)).alias("hits"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..catalog import pii
 from ..functions.regex import jvm_pattern
 from ..functions.spans import flatten, raw_spans
+from ..session import small_table
 from .detect import canonical
 
 TOKEN = r"\w+|[^\w\s]"
@@ -166,7 +167,7 @@ def vocab_labels(vocab: DataFrame, saved: list[str] = ()) -> DataFrame:
         F.when(F.col("_own"), F.replace(F.lower(bare), F.lit("_"), F.lit(" "))).otherwise(canonical("tag")).alias("label"),
         (F.col("id") >= pii.FIRST_CUSTOM_LABEL_ID).alias("is_custom"),
     )
-    extra = spark.createDataFrame([(s, True) for s in saved], "label string, is_custom boolean")
+    extra = small_table(spark, [(s, True) for s in saved], "label string, is_custom boolean")
     return named.unionByName(extra).groupBy("label").agg(F.max("is_custom").alias("is_custom"))
 
 

@@ -12,7 +12,7 @@ from ..operators import inject as inj
 from ..operators import leakage as leak
 from ..operators import evaluate, neardup, quality, slots, tagging, training, values
 from ..operators.detect import exploded
-from ..session import materialise, read_table, read_texts
+from ..session import materialise, read_table, read_texts, small_table
 from ..sources import generated
 from . import sqltext as q
 
@@ -241,7 +241,7 @@ BASE_TAGS = ["O", "B-FIRSTNAME", "I-FIRSTNAME", "B-EMAIL", "I-EMAIL", "B-LASTNAM
 
 
 def base_vocab(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(BASE_TAGS)), "id int, tag string")
+    return small_table(spark, list(enumerate(BASE_TAGS)), "id int, tag string")
 
 
 def vocab_growth(spark, sf):

@@ -165,11 +165,15 @@ def preference_replay(spark, sf):
 
 
 def routing_log(spark, sf):
-    return ledger.routing_events(routed(spark, sf)).select("request_id", "seq", "type", "code", "model", "detail")
+    return ledger.routing_events(routed(spark, sf)).select(
+        "request_id", F.col("seq").cast("long").alias("seq"), "type", "code", "model", "detail"
+    )
 
 
 def routing_log_latest(spark, sf):
-    return ledger.latest_events(ledger.routing_events(routed(spark, sf))).select("request_id", "seq", "code", "model", "detail")
+    return ledger.latest_events(ledger.routing_events(routed(spark, sf))).select(
+        "request_id", F.col("seq").cast("long").alias("seq"), "code", "model", "detail"
+    )
 
 
 def model_catalog(spark, sf):

@@ -39,8 +39,8 @@ def matches(spark, sf) -> DataFrame:
 def span_matches(spark, sf):
     out = e.match_spans(pairs(spark, sf))
     return out.select(
-        "run_id", "sample_id", F.size("truth").alias("n_truth"), F.size("pred").alias("n_pred"),
-        F.size("matched").alias("n_matched"), F.size("false_positives").alias("n_fp"), F.size("false_negatives").alias("n_fn"),
+        "run_id", "sample_id", F.size("truth").cast("long").alias("n_truth"), F.size("pred").cast("long").alias("n_pred"),
+        F.size("matched").cast("long").alias("n_matched"), F.size("false_positives").cast("long").alias("n_fp"), F.size("false_negatives").cast("long").alias("n_fn"),
         F.round(F.aggregate("matched", F.lit(0.0), lambda a, m: a + m["iou"]), 6).alias("iou_sum"),
     )
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,6 +89,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns(casts) if casts else df
 
 
+def small_table(spark: SparkSession, rows: list, schema: T.StructType | str) -> DataFrame:
+    """A few driver-side rows as a local relation, which the optimizer folds and sizes exactly."""
+    wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    columns = list(zip(*rows)) or [[] for _ in wanted.fields]
+    nulls = [all(v is None for v in c) for c in columns]
+    table = pa.table(
+        {f.name: pa.array(list(c), pa.string() if n else None) for f, c, n in zip(wanted.fields, columns, nulls)}
+    )
+    return spark.createDataFrame(table).select(*[F.col(f.name).cast(f.dataType) for f in wanted.fields])
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Use all cores for per-row work on a table stored in fewer splits than that.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import gateway
 from ..schemas import ENDPOINTS, FALLBACKS
+from ..session import small_table
 
 MAX_ENDPOINTS = 1000
 _FIELDS = ENDPOINTS.fieldNames()
@@ -28,11 +29,12 @@ def load_endpoints(spark: SparkSession, rows=None, path: str | None = None) -> D
     """
     if path is not None:
         given = spark.read.schema(ENDPOINTS).json(path)
+        size = given.limit(MAX_ENDPOINTS + 1).count()
     else:
         rows = gateway.ENDPOINTS if rows is None else rows
-        table = [(i + 1, *r) for i, r in enumerate(rows)]
-        given = spark.createDataFrame(table, ENDPOINTS)
-    if given.limit(MAX_ENDPOINTS + 1).count() > MAX_ENDPOINTS:
+        size = len(rows)
+        given = small_table(spark, [(i + 1, *r) for i, r in enumerate(rows)], ENDPOINTS)
+    if size > MAX_ENDPOINTS:
         raise ValueError(f"the endpoint catalogue has more than {MAX_ENDPOINTS} rows")
     filled = given.fillna(
         {
@@ -50,7 +52,7 @@ def load_endpoints(spark: SparkSession, rows=None, path: str | None = None) -> D
 def load_fallbacks(spark: SparkSession, chains: dict | None = None) -> DataFrame:
     chains = gateway.FALLBACKS if chains is None else chains
     rows = [(c, i + 1, f) for c, names in chains.items() for i, f in enumerate(names)]
-    return spark.createDataFrame(rows, FALLBACKS)
+    return small_table(spark, rows, FALLBACKS)
 
 
 def search_chains(endpoints: DataFrame, fallbacks: DataFrame) -> DataFrame:
