@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import chat, sharding
+from . import chat, decontam, packing, sharding
 
 #: A conversation made of control strings, added to those of the table.
 HARD_CHAT = r"\### Assistant: </turn> ok"
@@ -27,12 +27,26 @@ def op1_chat_formatting(spark, sf):
     return chat.digests(chat.format_chats(turns))
 
 
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_decontamination(spark, sf):
+    return decontam.decontaminate(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def op4_packing(spark, sf):
+    return packing.harmonic_pack(table(spark, sf, "documents"), tokenizer_file())
+
+
 def op9_sharding(spark, sf):
     out = sharding.shuffle_into_shards(table(spark, sf, "documents"), 8, seed=9)
     return out.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 
-QUERIES = {fn.__name__: fn for fn in (op1_chat_formatting, op9_sharding)}
+QUERIES = {fn.__name__: fn for fn in (op1_chat_formatting, op3_decontamination, op4_packing, op9_sharding)}
 
 ORACLES = {
     "op1_chat_formatting": rf"""WITH rows AS (
