@@ -127,6 +127,6 @@ def strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     np.cumsum(lengths, out=places[1:])
     depth = np.zeros(len(data) + 1, np.int8)
     depth[starts] += 1
-    np.subtract.at(depth, ends, 1) if len(ends) and (ends[:-1] == starts[1:]).any() else depth.__setitem__(ends, depth[ends] - 1)
+    depth[ends] -= 1
     body = data[np.cumsum(depth[:-1], dtype=np.int8).astype(bool)]
     return pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(body))])

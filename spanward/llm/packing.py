@@ -7,8 +7,8 @@ task fills its own bins and keeps one open bin per class. What is left in open b
 however long the task, goes to a second step, where the tails of ``TAIL_PARTS`` tasks are laid end to end and cut at
 the capacity.
 
-Ids are those of the tokenizer over the whole text. No token of this tokenizer crosses white space, so equal words are
-encoded once per task and texts are put together from them.
+Ids are those of the tokenizer over the whole text. This tokenizer never joins certain neighbours, such as words on both
+sides of white space, so equal words are encoded once per task and texts are put together from them.
 
 Defined cases: null or empty text is the end id alone; repeated rows are documents of their own; null ids are kept; no
 rows give no rows; other columns are ignored.
@@ -37,8 +37,16 @@ SMALL = 64
 TAIL_PARTS = 32
 #: Words that a task remembers before it starts anew.
 MEMORY_WORDS = 1 << 20
-_SPACE = np.ones(256, bool)
-_SPACE[[9, 10, 13, 32]] = False
+#: Text encoded at once.
+ENCODE_BYTES = 8 << 20
+# Kinds of bytes: 0 white space, 1 letter, 2 digit, 3 punctuation, 4 anything else.
+_KIND = np.full(256, 4, np.uint8)
+_KIND[[9, 10, 13, 32]] = 0
+_KIND[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = 1
+_KIND[list(b"0123456789")] = 2
+_KIND[list(b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~")] = 3
+_LOWERED = np.arange(256, dtype=np.uint8)
+_LOWERED[65:91] += 32
 
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary, part int"
 
@@ -50,11 +58,46 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _word_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the parts of texts that the tokenizer never joins; first part of each text.
+
+    It never joins across white space, nor a letter, digit or punctuation mark with one of another of these kinds.
+    Quotes, angle brackets and bars (of contractions and special tokens) and all but Latin-1 letters stay with their
+    neighbours.
+    """
+    kind = _KIND[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3) if len(data) else np.zeros(0, np.int64)
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+    kind[lead] = kind[lead + 1] = 1
+    member = kind > 0
+    fresh = np.zeros(len(data) + 1, bool)
+    fresh[offsets] = True
+    if len(data):
+        fresh[1:-1] |= (kind[1:] != kind[:-1]) & (kind[1:] < 4) & (kind[:-1] < 4)
+    starts = np.flatnonzero(member & fresh[:-1] | member & ~np.concatenate([[False], member[:-1]]))
+    ends = np.flatnonzero(member & fresh[1:] | member & ~np.concatenate([member[1:], [False]])) + 1
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+def _lowered(data: np.ndarray) -> np.ndarray:
+    """ASCII in lower case, where that cannot matter: fewer words differ then.
+
+    Special tokens are written in lower case, so nothing changes where one could be meant; a letter in front of a
+    combining mark is composed with it first.
+    """
+    if b"<|" in data.tobytes():
+        return data
+    after = np.append(data[1:], np.uint8(32))
+    return np.where((after < 0x80) | (after == 0xC3), _LOWERED[data], data)
+
+
 class WordIds:
     """Ids of texts of one Arrow column, put together from the ids of their words."""
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -62,34 +105,52 @@ class WordIds:
         self.starts, self.sizes = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _keep(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, m = len(self.place), len(words)
+        while n + m > len(self.starts):
+            self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.starts[n : n + m] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[n : n + m] = sizes
+        self.place.update(zip(words, range(n, n + m)))
+        self.used += len(ids)
+
     def _learn(self, words: list[str]) -> None:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        for word, e in zip(words, found):
-            ids, n = e.ids, len(self.place)
-            if n == len(self.starts):
-                self.starts, self.sizes = np.resize(self.starts, 2 * n), np.resize(self.sizes, 2 * n)
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.resize(self.ids, 2 * len(self.ids))
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.place[word], self.starts[n], self.sizes[n] = n, self.used, len(ids)
-            self.used += len(ids)
+        """Words of letters give one run of ids each, ended by a word-end id, so they are encoded in one text."""
+        plain = [w for w in words if w.isalpha()]
+        if plain:
+            ids = np.array(self._ids([" ".join(plain)])[0], np.uint32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(plain):
+                self._keep(plain, ids, np.diff(ends, prepend=0))
+        rest = [w for w in words if w not in self.place]
+        if rest:
+            found = self._ids(rest)
+            self._keep(rest, np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found]))
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text begins."""
         data, offsets = flat(column)
-        starts, ends, first = word_bounds(data, offsets, _SPACE)
-        coded = strings(data, starts, ends).dictionary_encode()
+        starts, ends, first = _word_places(data, offsets)
+        lower = _lowered(data)
+        coded = strings(lower, starts, ends).dictionary_encode()
         words = coded.dictionary.to_pylist()
         if len(self.place) + len(words) > MEMORY_WORDS:
             self.clear()
         fresh = [w for w in words if w not in self.place]
         if fresh:
             self._learn(fresh)
-        place = np.fromiter((self.place[w] for w in words), np.int64, len(words))[coded.indices.to_numpy()] if words else np.zeros(0, np.int64)
+        place = np.array([self.place[w] for w in words], np.int64)[coded.indices.to_numpy()] if words else np.zeros(0, np.int64)
         sizes = self.sizes[place]
         before = np.zeros(len(sizes) + 1, np.int64)
         np.cumsum(sizes, out=before[1:])
-        take = np.repeat(self.starts[place] - before[:-1], sizes) + np.arange(before[-1])
+        take = np.repeat(self.starts[place] - before[:-1], sizes)
+        take += np.arange(before[-1])
         return self.ids[take], before[first]
 
 
@@ -133,7 +194,7 @@ def pack_task(path: str, capacity: int, end_id: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         coder, rows, bins, made = WordIds(path), _Rows(keep_ids), {}, 0
-        for batch in row_slices(batches, "text"):
+        for batch in row_slices(batches, "text", ENCODE_BYTES):
             ids, first = coder.encode(batch.column(1))
             for i, doc in enumerate(batch.column(0).to_pylist()):
                 own = np.append(ids[first[i] : first[i + 1]], np.uint32(end_id)).astype("<u4", copy=False)
