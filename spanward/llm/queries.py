@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import chat, decontam, packing, sharding
+from . import chat, decontam, jaccard, packing, sharding
 
 #: A conversation made of control strings, added to those of the table.
 HARD_CHAT = r"\### Assistant: </turn> ok"
@@ -41,12 +41,16 @@ def op4_packing(spark, sf):
     return packing.harmonic_pack(table(spark, sf, "documents"), tokenizer_file())
 
 
+def op7_ngram_jaccard_join(spark, sf):
+    return jaccard.link_components(table(spark, sf, "documents"), width=3, num=90, den=100).drop("doc_key")
+
+
 def op9_sharding(spark, sf):
     out = sharding.shuffle_into_shards(table(spark, sf, "documents"), 8, seed=9)
     return out.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 
-QUERIES = {fn.__name__: fn for fn in (op1_chat_formatting, op3_decontamination, op4_packing, op9_sharding)}
+QUERIES = {fn.__name__: fn for fn in (op1_chat_formatting, op3_decontamination, op4_packing, op7_ngram_jaccard_join, op9_sharding)}
 
 ORACLES = {
     "op1_chat_formatting": rf"""WITH rows AS (
