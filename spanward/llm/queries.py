@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import chat, decontam, jaccard, packing, sharding
+from . import chat, decontam, jaccard, packing, sharding, suffix
 
 #: A conversation made of control strings, added to those of the table.
 HARD_CHAT = r"\### Assistant: </turn> ok"
@@ -50,7 +50,11 @@ def op9_sharding(spark, sf):
     return out.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 
-QUERIES = {fn.__name__: fn for fn in (op1_chat_formatting, op3_decontamination, op4_packing, op7_ngram_jaccard_join, op9_sharding)}
+def op10_suffix_array_dedup(spark, sf):
+    return suffix.repeat_digests(table(spark, sf, "documents"))
+
+
+QUERIES = {fn.__name__: fn for fn in (op1_chat_formatting, op3_decontamination, op4_packing, op7_ngram_jaccard_join, op9_sharding, op10_suffix_array_dedup)}
 
 ORACLES = {
     "op1_chat_formatting": rf"""WITH rows AS (
