@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import chat, decontam, jaccard, packing, sharding, suffix
+from . import chat, decontam, jaccard, language, packing, sharding, suffix, toxicity
 
 #: A conversation made of control strings, added to those of the table.
 HARD_CHAT = r"\### Assistant: </turn> ok"
@@ -33,6 +33,11 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_language_id(spark, sf):
+    docs = table(spark, sf, "documents")
+    return language.identify(docs, language.learn_profiles(docs.where(~language.held_out())))
+
+
 def op3_decontamination(spark, sf):
     return decontam.decontaminate(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
@@ -41,6 +46,12 @@ def op4_packing(spark, sf):
     return packing.harmonic_pack(table(spark, sf, "documents"), tokenizer_file())
 
 
+def op6_toxicity(spark, sf):
+    docs = table(spark, sf, "documents")
+    out = toxicity.score(docs, toxicity.train(docs, table(spark, sf, "labels")))
+    return out.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
 def op7_ngram_jaccard_join(spark, sf):
     return jaccard.link_components(table(spark, sf, "documents"), width=3, num=90, den=100).drop("doc_key")
 
@@ -54,7 +65,7 @@ def op10_suffix_array_dedup(spark, sf):
     return suffix.repeat_digests(table(spark, sf, "documents"))
 
 
-QUERIES = {fn.__name__: fn for fn in (op1_chat_formatting, op3_decontamination, op4_packing, op7_ngram_jaccard_join, op9_sharding, op10_suffix_array_dedup)}
+QUERIES = {fn.__name__: fn for fn in (op1_chat_formatting, op2_language_id, op3_decontamination, op4_packing, op6_toxicity, op7_ngram_jaccard_join, op9_sharding, op10_suffix_array_dedup)}
 
 ORACLES = {
     "op1_chat_formatting": rf"""WITH rows AS (
