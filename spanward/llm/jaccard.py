@@ -9,7 +9,8 @@ Equal sets are one class from the start. Signatures meet in hash buckets as pack
 class of each of its signatures and proposes pairs of it with the others, and the bucket does the same with what the
 tasks send, so a signature that a third of all documents share is a row per task and nobody forms all pairs. Proposed
 pairs are checked exactly; those whose classes are joined by then are not. Where a proposed pair fails, members of
-that signature may be linked in other ways, so the signatures of the components it touches are joined in full.
+that signature may be linked in other ways, so the signatures of the components it touches are joined in full, without
+the classes that share too little with all others to be similar to any.
 
 Defined cases: null or empty text, or text without words, has an empty set and is linked with nothing; repeated rows
 are documents of their own; null ids are carried and never name a component unless all are null; no rows give no
@@ -243,6 +244,77 @@ def _resign(num: int, den: int):
     return run
 
 
+def _alone_keys(buckets: int):
+    """Shingles of one task with the class that has them; those of several classes as pairs = true."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, owners, held = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            k = np.concatenate(keys) if keys else np.zeros(0, U)
+            o = np.concatenate(owners) if owners else np.zeros(0, np.int64)
+            order = np.argsort(k)
+            k, o = k[order], o[order]
+            at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+            single = np.diff(np.append(at, len(k))) == 1
+            rows = []
+            for several, part in ((False, at[single]), (True, at[~single])):
+                ends = np.searchsorted(k[part], np.array([(i << 64) // buckets for i in range(1, buckets)], U))
+                ends = np.concatenate([[0], ends, [len(part)]])
+                for i in range(buckets):
+                    own = part[ends[i] : ends[i + 1]]
+                    if len(own):
+                        rows.append((i, several, binary(k[own]), b"" if several else binary(o[own])))
+            columns = list(zip(*rows)) or [[]] * 4
+            kinds = [pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], ["bucket", "pairs", "x", "y"])
+
+        for batch in batches:
+            lists = batch.column(1)
+            sizes = np.diff(lists.offsets.to_numpy())
+            keys.append(lists.flatten().to_numpy().view(U))
+            owners.append(np.repeat(batch.column(0).to_numpy(), sizes))
+            held += len(keys[-1])
+            if held > FLUSH:
+                yield flush()
+                keys, owners, held = [], [], 0
+        yield flush()
+
+    return run
+
+
+def _alone(table: pa.Table) -> pa.Table:
+    """How many shingles of one bucket each class has for itself."""
+    keys, owners = [], []
+    for several, x, y in zip(table["pairs"].to_pylist(), table["x"].to_pylist(), table["y"].to_pylist()):
+        keys.append(np.frombuffer(x, U))
+        owners.append(np.zeros(len(keys[-1]), np.int64) if several else np.frombuffer(y, np.int64))
+        if several:  # twice: never alone
+            keys.append(keys[-1])
+            owners.append(owners[-1])
+    k, o = np.concatenate(keys), np.concatenate(owners)
+    order = np.argsort(k)
+    k, o = k[order], o[order]
+    at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    mine, n = np.unique(o[at[np.diff(np.append(at, len(k))) == 1]], return_counts=True)
+    return pa.table({"fp": pa.array(mine, pa.int64()), "alone": pa.array(n, pa.int64())})
+
+
+def _reach(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(fp, n, low, high): the sizes that a partner of a class can have.
+
+    Shingles that no other proposed class has are in no intersection, so a class with many of them has no partner at
+    all, or none as large as itself. This is what keeps a large group of copies that differ too much from being
+    compared pair by pair.
+    """
+    n = slices(sets.sparkSession)
+    packed = sets.select("fp", "shingles").mapInArrow(_alone_keys(n), "bucket int, pairs boolean, x binary, y binary")
+    alone = packed.groupBy("bucket").applyInArrow(_alone, "fp bigint, alone bigint").groupBy("fp").agg(F.sum("alone").alias("alone"))
+    sized = sets.select("fp", F.size("shingles").cast("long").alias("n")).join(alone, "fp", "left")
+    shared = f"(n - coalesce(alone, 0)) * {num + den} div {num} - n"
+    return sized.selectExpr("fp", "n", f"(n * {num} + {den - 1}) div {den} AS low", f"least(n * {den} div {num}, {shared}) AS high")
+
+
 def row_key(*columns: str) -> Column:
     """A key of whole rows: rows that share it are repeated ones, with equal results."""
     return F.xxhash64(*columns)
@@ -277,26 +349,36 @@ def link_components(
     texts = keyed.select("doc_key", "text").join(wanted, "doc_key").select("fp", "text")
     sets = materialise(texts.mapInArrow(_set_rows(width), "fp bigint, shingles array<bigint>").dropDuplicates(["fp"]), "shingle-sets")
 
+    reach = materialise(_reach(sets, num, den), "reach")
+    ra, rb = (reach.selectExpr(f"fp AS {c}", f"n AS n{c}", f"low AS l{c}", f"high AS h{c}") for c in "ab")
+    fit = "nb BETWEEN la AND ha AND na BETWEEN lb AND hb"
+    fitting = materialise(proposed.join(ra, "a").join(rb, "b").where(fit).select("a", "b", "n"), "fitting")
+
     # first each class with the partner it shares most signatures with, then what still lies between components
-    ends = proposed.selectExpr("a AS x", "b AS y", "n").unionByName(proposed.selectExpr("b AS x", "a AS y", "n"))
+    ends = fitting.selectExpr("a AS x", "b AS y", "n").unionByName(fitting.selectExpr("b AS x", "a AS y", "n"))
     best = ends.groupBy("x").agg(F.max_by("y", F.struct("n", "y")).alias("y")).selectExpr("least(x, y) AS a", "greatest(x, y) AS b").distinct()
     links = materialise(_checked(best, sets, num, den), "links")
     labels = components(links)
-    second = materialise(_checked(_between(proposed, labels).join(best, ["a", "b"], "left_anti"), sets, num, den), "links")
+    second = materialise(_checked(_between(fitting, labels).join(best, ["a", "b"], "left_anti"), sets, num, den), "links")
     links = links.unionByName(second)
     labels = components(links)
     # a pair that is still apart has failed its check: members of its signatures can be linked past it
     apart = _between(proposed, labels)
     touched = _labelled(apart.selectExpr("a AS fp").unionByName(apart.selectExpr("b AS fp")).distinct(), labels).select("label").distinct()
-    members = _labelled(sets.select("fp"), labels).join(touched, "label")
+    members = _labelled(reach.where("low <= high").select("fp"), labels).join(touched, "label").join(reach, "fp")
     signed = materialise(
-        sets.join(members, "fp").select("fp", "shingles").mapInArrow(_resign(num, den), "fp bigint, signature bigint").join(members, "fp"), "signed"
+        sets.join(members.select("fp"), "fp").select("fp", "shingles").mapInArrow(_resign(num, den), "fp bigint, signature bigint").join(members, "fp"), "signed"
+    )
+    # who has, under one signature, a partner of fitting size in another component
+    by_size = signed.groupBy("signature", F.col("n").alias("m")).agg(
+        F.min("label").alias("least_label"), F.max("label").alias("most_label"), F.min("low").alias("m_low"), F.max("high").alias("m_high")
     )
-    mixed = signed.groupBy("signature").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("signature")
-    live = signed.join(mixed, "signature")
-    x, y = live.selectExpr("signature", "fp AS a", "label AS la"), live.selectExpr("signature", "fp AS b", "label AS lb")
-    cross = x.join(y, "signature").where("a < b AND la <> lb").select("a", "b").distinct()
-    third = materialise(_checked(cross.join(proposed, ["a", "b"], "left_anti"), sets, num, den), "links")
+    possible = "m BETWEEN low AND high AND n BETWEEN m_low AND m_high AND NOT (least_label = label AND most_label = label)"
+    live = materialise(signed.join(by_size, "signature").where(possible).select(*signed.columns).distinct(), "live")
+    x = live.selectExpr("signature", "fp AS a", "label AS ca", "n AS na", "low AS la", "high AS ha")
+    y = live.selectExpr("signature", "fp AS b", "label AS cb", "n AS nb", "low AS lb", "high AS hb")
+    cross = x.join(y, "signature").where(f"a < b AND ca <> cb AND {fit}").select("a", "b").distinct()
+    third = materialise(_checked(cross.join(fitting, ["a", "b"], "left_anti"), sets, num, den), "links")
     labels = components(links.unionByName(third))
 
     classed = meta.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select(
