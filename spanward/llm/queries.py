@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import chat, decontam, jaccard, language, packing, sharding, suffix, toxicity
+from . import chat, decontam, html, jaccard, language, packing, sharding, suffix, topk, toxicity
 
 #: A conversation made of control strings, added to those of the table.
 HARD_CHAT = r"\### Assistant: </turn> ok"
@@ -46,6 +46,11 @@ def op4_packing(spark, sf):
     return packing.harmonic_pack(table(spark, sf, "documents"), tokenizer_file())
 
 
+def op5_exact_topk(spark, sf):
+    vectors = topk.integer_vectors(table(spark, sf, "embeddings"))
+    return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op6_toxicity(spark, sf):
     docs = table(spark, sf, "documents")
     out = toxicity.score(docs, toxicity.train(docs, table(spark, sf, "labels")))
@@ -56,6 +61,10 @@ def op7_ngram_jaccard_join(spark, sf):
     return jaccard.link_components(table(spark, sf, "documents"), width=3, num=90, den=100).drop("doc_key")
 
 
+def op8_html_extraction(spark, sf):
+    return html.extract(table(spark, sf, "pages"))
+
+
 def op9_sharding(spark, sf):
     out = sharding.shuffle_into_shards(table(spark, sf, "documents"), 8, seed=9)
     return out.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
@@ -65,7 +74,13 @@ def op10_suffix_array_dedup(spark, sf):
     return suffix.repeat_digests(table(spark, sf, "documents"))
 
 
-QUERIES = {fn.__name__: fn for fn in (op1_chat_formatting, op2_language_id, op3_decontamination, op4_packing, op6_toxicity, op7_ngram_jaccard_join, op9_sharding, op10_suffix_array_dedup)}
+QUERIES = {
+    fn.__name__: fn
+    for fn in (
+        op1_chat_formatting, op2_language_id, op3_decontamination, op4_packing, op5_exact_topk, op6_toxicity,
+        op7_ngram_jaccard_join, op8_html_extraction, op9_sharding, op10_suffix_array_dedup,
+    )
+}
 
 ORACLES = {
     "op1_chat_formatting": rf"""WITH rows AS (
@@ -80,4 +95,11 @@ ORACLES = {
           FROM parts GROUP BY conv_id)
       SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
           formatted_chars, regexp_full_match(roles, '(system )?user assistant( user assistant)*') AS valid FROM folded""",
+    "op5_exact_topk": """WITH v AS (
+        SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+      s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+        FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+      SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
 }
