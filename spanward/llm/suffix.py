@@ -353,9 +353,10 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated strings taken out of their texts, up to whole characters; null stays null."""
-    kept = repeats(_keyed(docs, id_col, text_col), length, keep_text=True).withColumnsRenamed({"doc_key": "_key", "kept": "_kept"})
-    joined = docs.withColumn("_key", F.xxhash64(id_col, text_col)).join(kept, "_key", "left")
-    return joined.withColumn(text_col, F.coalesce("_kept", text_col)).select(*docs.columns)
+    key, new = "_repeats_key", "_repeats_kept"
+    kept = repeats(_keyed(docs, id_col, text_col), length, keep_text=True).withColumnsRenamed({"doc_key": key, "kept": new})
+    joined = docs.withColumn(key, F.xxhash64(id_col, text_col)).join(kept, key, "left")
+    return joined.withColumn(text_col, F.coalesce(new, text_col)).select(*docs.columns)
 
 
 def repeat_digests(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
