@@ -12,14 +12,18 @@ from pyspark.sql import functions as F
 
 # Unicode meaning of the shorthand classes, spelled out because the JVM reads them as ASCII.
 _INSIDE = {"d": r"\p{Nd}", "s": r"\s\x0b\x1c-\x1f\x85\p{Z}", "w": r"\p{L}\p{N}_"}
+_WORD = f"[{_INSIDE['w']}]"
+_BORDERS = {
+    r"\b": f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))",
+    r"\B": f"(?:(?<={_WORD})(?={_WORD})|(?<!{_WORD})(?!{_WORD}))",
+}
 
 
 @functools.lru_cache(maxsize=None)
 def jvm_pattern(pattern: str, ignore_case: bool = False, dotall: bool = False) -> str:
     """Rewrite a Python pattern for ``rlike``/``split``/``regexp_extract_all``.
 
-    ``\\b`` is kept: up to Java 18 it follows letters of every script, as Python's does. Only
-    a line feed ends a line.
+    ``\\b`` and ``\\B`` are written out, since what they mean depends on the JVM. Only a line feed ends a line.
     """
     out, in_class, lines = [], False, False
     for token in re.findall(r"\\.|\(\?P<|.", pattern, re.DOTALL):
@@ -30,6 +34,8 @@ def jvm_pattern(pattern: str, ignore_case: bool = False, dotall: bool = False) -
                 out.append(f"[^{body}]")
             else:
                 out.append(body if in_class else f"[{body}]")
+        elif token in _BORDERS and not in_class:
+            out.append(_BORDERS[token])
         elif token == r"\Z":
             out.append(r"\z")
         elif token == "(?P<":

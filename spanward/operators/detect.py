@@ -14,8 +14,6 @@ from ..functions.spans import NO_ENTITIES, entities_sql, flatten, lookup, name,
 from ..schemas import ENTITIES, POLICY
 from ..session import small_table
 
-MAX_POLICY_LABELS = 1000
-
 
 @dataclass(frozen=True)
 class Detector:
@@ -44,10 +42,6 @@ class Policy:
     actions: dict = field(default_factory=dict)
     default_action: str | None = pii.DEFAULT_ACTION
 
-    def __post_init__(self):
-        if len(self.actions) > MAX_POLICY_LABELS:
-            raise ValueError(f"a policy lists at most {MAX_POLICY_LABELS} labels")
-
     def action(self, label: Column) -> Column:
         return lookup(label, self.actions, F.lit(self.default_action).cast("string"))
 

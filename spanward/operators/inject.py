@@ -19,7 +19,8 @@ def inject(df: DataFrame, sentence: str = "sentence", cross_label: bool = False)
     """Add text and entities to rows with sentence, label, is_hard_negative and values.
 
     Placeholders are filled from left to right; a sentence without any gets the first value
-    at its end. Hard negatives carry no label, neutral rows pass through.
+    at its end. Hard negatives carry no label and always get a value at the end, one more than they have
+    placeholders; neutral rows pass through. If values run out, the last one is used again.
     """
     carrier = F.col(sentence)
     negative = F.col("is_hard_negative")
@@ -28,7 +29,12 @@ def inject(df: DataFrame, sentence: str = "sentence", cross_label: bool = False)
     healed = F.array(
         F.when((carrier == "") | carrier.endswith(" "), carrier).otherwise(F.concat(carrier, F.lit(" "))), blank
     )
-    gaps = F.when(F.size(gaps) > 1, gaps).otherwise(healed)
+    # a hard negative never gets entities, so one more value goes behind those that fill its places
+    last_gap, places = F.element_at(gaps, -1), F.size(gaps) - 1
+    last_value = F.element_at("values", F.least(places, F.size("values")))
+    spaced = F.when(last_gap == "", last_value).otherwise(last_gap).endswith(" ")
+    longer = F.concat(F.slice(gaps, F.lit(1), places), F.array(F.concat(last_gap, F.when(spaced, "").otherwise(" ")), blank))
+    gaps = F.when(places == 0, healed).when(negative, longer).otherwise(gaps)
     state = F.struct(
         F.array().cast("array<string>").alias("parts"),
         F.lit(0).alias("pos"),

@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 
 from ..catalog.factory import LEAKAGE_JACCARD
 from ..functions.regex import words
+from ..functions.scale import SLICE, sliced
 from ..functions.spans import flatten
-from ..session import materialise
+from ..session import materialise, slices
 
+#: Shares of the training slices that each block ends at.
 BLOCKS = (1 / 64, 1 / 8, 1.0)
-ONE_BLOCK_ROWS = 500_000
 
 
 def token_set(text: Column) -> Column:
@@ -71,14 +72,13 @@ def leakage(
     ranked_train = materialise(_first_copies(related), "train-ranked")
     ranked_test = materialise(_ranked(known, vocab, threshold), "test-ranked")
 
-    cuts = _cuts(ranked_train)
+    blocks = sliced(ranked_train, [], ["id"])  # slices of ascending ids of any type
+    n, start = slices(test.sparkSession), 0
     open_test, found = ranked_test, None
-    for i, cut in enumerate(cuts):
-        block = ranked_train
-        if i:
-            block = block.filter(F.col("id") > cuts[i - 1])
-        if i < len(cuts) - 1:
-            block = block.filter(F.col("id") <= cut)
+    for share in BLOCKS:
+        end = max(start, math.ceil(n * share))
+        block = blocks.filter((F.col(SLICE) >= start) & (F.col(SLICE) < end)).drop(SLICE)
+        start = end
         hits = materialise(_matches(open_test, block, threshold), "matches")
         found = hits if found is None else found.unionByName(hits)
         open_test = open_test.join(hits.select("id"), "id", "left_anti")
@@ -90,15 +90,6 @@ def leakage(
     )
 
 
-def _cuts(ranked: DataFrame) -> list:
-    """Block ends by training id; any cut gives the same result, only block sizes differ."""
-    if ranked.count() <= ONE_BLOCK_ROWS:
-        return [math.inf]
-    shares = [b for b in BLOCKS if b < 1.0]
-    points = ranked.agg(F.percentile_approx("id", F.array(*[F.lit(s) for s in shares]), F.lit(1000))).first()[0]
-    return [*sorted(set(points or [])), math.inf]
-
-
 def _ranked(sets: DataFrame, vocab: DataFrame, threshold: float) -> DataFrame:
     """(id, n, print, known, prefix): tokens known to the test set, rarest first, and those to emit.
 

@@ -17,7 +17,7 @@ def prices(endpoints: DataFrame) -> DataFrame:
 
 def with_cost(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
     """Add cost to rows with model, input_tokens and output_tokens."""
-    priced = calls.join(F.broadcast(prices(endpoints)), "model", "left")
+    priced = calls.join(prices(endpoints), "model", "left")
     price = F.coalesce("price", F.lit(g.DEFAULT_COST))
     total = F.col("input_tokens") + F.col("output_tokens")
     return priced.withColumn("cost", total * price / F.lit(1_000_000.0)).drop("price")

@@ -1,6 +1,6 @@
 """Endpoint selection.
 
-A request carries its whole search chain (a bounded array from the broadcast catalogue), so
+A request carries its whole search chain (a bounded array of the catalogue), so
 filtering, ranking and escalation are array expressions on one row: no shuffle, no sort.
 """
 
@@ -28,7 +28,7 @@ def with_candidates(requests: DataFrame, endpoints: DataFrame, fallbacks: DataFr
     """Add ``candidates``: the chain with usage, first failed limit and ranking values."""
     live = "usage" in requests.columns
     chains = search_chains(endpoints, fallbacks)
-    joined = requests.join(F.broadcast(chains), "cluster", "left")
+    joined = requests.join(chains, "cluster", "left")
     context, wanted = F.col("required_context"), F.col("complexity")
     zero = F.lit(0).cast("long")
 

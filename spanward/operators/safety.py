@@ -21,7 +21,7 @@ def load_safety(spark: SparkSession, enabled: dict | None = None, action: dict |
     rules = small_table(spark, RULES, SAFETY_RULES)
     config = [(g, bool(enabled.get(g, False)), action.get(g, "BLOCK")) for g in safety.GUARD_ORDER]
     switches = small_table(spark, config, "guard string, enabled boolean, action string")
-    return rules.join(F.broadcast(switches), "guard")
+    return rules.join(switches, "guard")
 
 
 def screen(

@@ -17,16 +17,6 @@ WEIGHT_CAP = 10.0
 FIXED_OUTSIDE_WEIGHT = 0.1
 
 
-MAX_TAGS = 20_000
-
-
-def _bounded(vocab: DataFrame) -> DataFrame:
-    """Tags are names, not data: refuse a vocabulary too large to broadcast."""
-    if vocab.limit(MAX_TAGS + 1).count() > MAX_TAGS:
-        raise ValueError(f"more than {MAX_TAGS} tags")
-    return vocab
-
-
 def squeezed(label: Column) -> Column:
     return F.translate(F.upper(label), "_ ", "")
 
@@ -45,9 +35,9 @@ def _pairs(vocab: DataFrame) -> DataFrame:
 def with_label_ids(rows: DataFrame, vocab: DataFrame, custom: list[str] = ()) -> DataFrame:
     """Add b_id and i_id to rows with a label: by canonical name, else by squeezed name; lowest id wins.
 
-    Both look-ups are as small as the vocabulary, whose size is checked before it is broadcast.
+    Both look-ups are as small as the vocabulary; how they are joined is left to the optimizer.
     """
-    pairs = _pairs(_bounded(vocab))
+    pairs = _pairs(vocab)
     by_name = pairs.groupBy(canonical("suffix", custom).alias("label")).agg(
         F.min(F.struct("b_id", "i_id")).alias("_named")
     )
@@ -56,8 +46,8 @@ def with_label_ids(rows: DataFrame, vocab: DataFrame, custom: list[str] = ()) ->
     )
     return (
         rows.withColumn("_key", squeezed(F.col("label")))
-        .join(F.broadcast(by_name), "label", "left")
-        .join(F.broadcast(by_suffix), "_key", "left")
+        .join(by_name, "label", "left")
+        .join(by_suffix, "_key", "left")
         .withColumns({c: F.coalesce(f"_named.{c}", f"_exact.{c}") for c in ("b_id", "i_id")})
         .drop("_key", "_named", "_exact")
     )

@@ -96,12 +96,12 @@ def trailing_usage(usage: DataFrame, seconds: int = USAGE_WINDOW_SECONDS) -> Dat
 def request_usage(requests: DataFrame, chains: DataFrame, usage: DataFrame) -> DataFrame:
     """Requests with ``usage``: map from each model of their search chain to (tpm, rpm).
 
-    The map holds at most one entry per endpoint of the checked catalogue.
+    The map holds at most one entry per endpoint of the catalogue.
     """
     models = chains.select("cluster", F.array_distinct(F.col("chain.model")).alias("models"))
     pairs = (
         requests.select("request_id", "cluster", F.unix_micros("ts").alias("at"))
-        .join(F.broadcast(models), "cluster")
+        .join(models, "cluster")
         .select("request_id", "at", F.explode("models").alias("model"))
     )
     values = pairs.join(usage_at(pairs, usage), ["model", "at"])

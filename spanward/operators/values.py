@@ -18,6 +18,7 @@ from ..catalog import factory as f
 from ..functions.draws import draw, pick, pick_char
 from ..functions.regex import compiles, full_pattern
 
+#: How much longer than its least length an open repeat (``*``, ``+``, ``{n,}``) is at most; bounded ones use their bounds.
 OPEN_REPEAT = 12
 _PRINTABLE = "".join(chr(c) for c in range(32, 127))
 _CATEGORY = {
@@ -85,7 +86,7 @@ class _Drawn:
             return F.element_at(F.array(*ways), draw(len(ways), *self.next()) + 1)
         if op in (rc.MAX_REPEAT, rc.MIN_REPEAT, rc.POSSESSIVE_REPEAT):
             low, high, body = arg
-            high = low + OPEN_REPEAT if high is rc.MAXREPEAT else min(int(high), low + OPEN_REPEAT)
+            high = low + OPEN_REPEAT if high is rc.MAXREPEAT else int(high)
             if high == 0:
                 return None
             if high == 1 and low == 1:

@@ -106,7 +106,8 @@ def carriers(spark, sf) -> DataFrame:
         )
         return F.when(F.col("is_hard_negative"), F.concat(F.lit("x"), F.substring(by_label, 2, 100))).otherwise(by_label)
 
-    places = F.greatest(inj.placeholders(F.col("sentence")), F.lit(1))
+    filled = inj.placeholders(F.col("sentence"))
+    places = F.when(F.col("is_hard_negative"), filled + 1).otherwise(F.greatest(filled, F.lit(1)))
     return rows.withColumn("values", F.transform(F.sequence(F.lit(1), places), made))
 
 
@@ -327,8 +328,10 @@ _VALUE = f"""CASE label WHEN 'email address' THEN 'user' || {_n(13, 1000, 9000)}
 SAMPLES_SQL = f"""carriers AS (SELECT *, label <> 'NEUTRAL' AND sample_id % 8 = 3 AS is_hard_negative FROM (
       SELECT conv_id * 16 + turn AS sample_id, replace(text, '.' || chr(10), ' [PII].' || chr(10)) AS sentence,
         {_C_LIST}[(conv_id * 16 + turn) % {len(CARRIER_LABELS)} + 1] AS label, {_D_LIST}[conv_id % {len(f.TRAINING_DOMAINS)} + 1] AS domain FROM conversations)),
-  gaps AS (SELECT *, CASE WHEN contains(sentence, '[PII]') THEN string_split(sentence, '[PII]')
-      ELSE [CASE WHEN sentence = '' OR ends_with(sentence, ' ') THEN sentence ELSE sentence || ' ' END, ''] END AS g FROM carriers),
+  gaps AS (SELECT * EXCLUDE (g), CASE WHEN is_hard_negative AND contains(sentence, '[PII]')
+      THEN g[1:len(g) - 1] || [g[-1] || CASE WHEN ends_with(g[-1], ' ') THEN '' ELSE ' ' END, ''] ELSE g END AS g FROM (
+    SELECT *, CASE WHEN contains(sentence, '[PII]') THEN string_split(sentence, '[PII]')
+      ELSE [CASE WHEN sentence = '' OR ends_with(sentence, ' ') THEN sentence ELSE sentence || ' ' END, ''] END AS g FROM carriers)),
   places AS (SELECT *, unnest(range(1, len(g))) AS i FROM gaps WHERE label <> 'NEUTRAL'),
   valued AS (SELECT * EXCLUDE (v), CASE WHEN is_hard_negative THEN 'x' || substring(v, 2) ELSE v END AS v FROM (SELECT *, {_VALUE} AS v FROM places)),
   filled AS (SELECT *, sum(length(g[i])) OVER w + coalesce(sum(length(v)) OVER (PARTITION BY sample_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s

@@ -6,37 +6,42 @@ from pyspark.sql import functions as F
 
 from ..catalog import pii
 from ..operators.detect import Policy, catalogue_detectors
-from ..session import materialise
+from ..session import fresh_path, materialise
 from ..streaming import budget, feeds, guard, usage
 from . import gateway, privacy, sqltext as q
 
 
-def _stream(spark, sf, table: str):
-    name = f"{table}.parquet"
-    return feeds.read_stream(spark, sf, spark.read.parquet(f"{sf}/{name}").schema, names=name)
+#: Files, in no order of time, and so batches that a table is read in.
+PARTS = 5
+
+
+def _stream(spark, sf, table: str, spread_by: str):
+    """A table as a stream of several batches whose rows are in no order."""
+    rows = spark.read.parquet(f"{sf}/{table}.parquet")
+    path = fresh_path(spark, f"{table}-files")
+    rows.repartition(PARTS, F.expr(f"xxhash64({spread_by})")).write.parquet(path)
+    return feeds.read_stream(spark, path, rows.schema, files_per_batch=1)
 
 
 def stream_usage(spark, sf):
     model = F.element_at(F.create_map(*[F.lit(x) for kv in gateway.MODEL_OF.items() for x in kv]), F.col("event_type"))
-    feed = _stream(spark, sf, "events").select("ts", model.alias("model"), F.floor(F.col("value") * 1000).alias("tokens"))
-    updates = feeds.to_table(usage.stream_usage(feed), "update")
-    out = feeds.latest_per_key(updates, ["window_start", "window_end", "model"])
+    feed = _stream(spark, sf, "events", "event_id").select("ts", model.alias("model"), F.floor(F.col("value") * 1000).alias("tokens"))
+    out = usage.stream_usage(feed)
     return out.select(F.unix_micros("window_start").alias("window_start"), "model", "tpm", "rpm")
 
 
 def stream_counters(spark, sf):
-    updates = feeds.to_table(usage.stream_counters(_stream(spark, sf, "events"), "event_type"), "update")
-    out = feeds.latest_per_key(updates, ["window_start", "event_type"])
+    out = usage.stream_counters(_stream(spark, sf, "events", "event_id"), "event_type")
     return out.select(F.unix_micros("window_start").alias("window_start"), "event_type", "n")
 
 
 def stream_latest(spark, sf):
-    return usage.stream_latest(_stream(spark, sf, "events"), "event_id").select("event_id", "event_type")
+    return usage.stream_latest(_stream(spark, sf, "events", "event_id"), "event_id").select("event_id", "event_type")
 
 
 def stream_guard(spark, sf):
     out = guard.stream_guard(
-        _stream(spark, sf, "conversations"), catalogue_detectors(privacy.MESSAGE_LABELS),
+        _stream(spark, sf, "conversations", "conv_id, turn"), catalogue_detectors(privacy.MESSAGE_LABELS),
         Policy(privacy.MESSAGE_POLICY), pii.REWRITE_PHRASES,
     )
     return feeds.to_table(out.select("conv_id", "turn", "clean_text", "modified", "blocked", "pii_reason", "flagged")).drop("batch")

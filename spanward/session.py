@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -16,6 +17,10 @@ TABLES = (
 ).split()
 
 
+#: Partitions that per-row jobs deal small test tables out to; unset on a cluster.
+SPREAD = "spark.spanward.spread"
+
+
 def local_session(app: str = "spanward", cores: str = "*", **conf: str) -> SparkSession:
     """A local session for tests and benchmarks; a cluster brings its own."""
     builder = (
@@ -27,6 +32,7 @@ def local_session(app: str = "spanward", cores: str = "*", **conf: str) -> Spark
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config(SPREAD, str(os.cpu_count() if cores == "*" else int(cores)))
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -49,10 +55,12 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
-    Only where the setting is absent, as in local tests, a folder is made.
+    Only where the setting is absent in a local session, as in tests, a folder is made.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="spanward-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -100,20 +108,14 @@ def small_table(spark: SparkSession, rows: list, schema: T.StructType | str) ->
     return spark.createDataFrame(table).select(*[F.col(f.name).cast(f.dataType) for f in wanted.fields])
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores for per-row work on a table stored in fewer splits than that.
+def read_texts(spark: SparkSession, sf_dir: str, name: str, *keys: str) -> DataFrame:
+    """A table of texts; ``keys`` identify a row, so that no group of rows is held together.
 
-    Large tables already have more splits than cores and pass through without a shuffle.
+    Only a session that says so deals rows out first: test tables are one row group, which one task would read.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df._jdf.rdd().getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
-
-
-def read_texts(spark: SparkSession, sf_dir: str, name: str, *keys: str) -> DataFrame:
-    """A table of texts; ``keys`` identify a row, so that no group of rows is held together."""
-    return spread(read_table(spark, sf_dir, name), *keys)
+    df = read_table(spark, sf_dir, name)
+    parts = int(spark.conf.get(SPREAD, "0"))
+    return df.repartition(parts, *keys) if parts else df
 
 
 _SHIPPED: set[str] = set()

@@ -9,7 +9,6 @@ from ..catalog import gateway
 from ..schemas import ENDPOINTS, FALLBACKS
 from ..session import small_table
 
-MAX_ENDPOINTS = 1000
 _FIELDS = ENDPOINTS.fieldNames()
 
 
@@ -24,18 +23,13 @@ def tier_of(cost):
 def load_endpoints(spark: SparkSession, rows=None, path: str | None = None) -> DataFrame:
     """Endpoints in configuration order, from rows, or a JSON-lines file; defaults filled in.
 
-    The tier follows from the price where it is not given. The size is checked here, which is
-    what allows the table to be broadcast everywhere.
+    The tier follows from the price where it is not given.
     """
     if path is not None:
         given = spark.read.schema(ENDPOINTS).json(path)
-        size = given.limit(MAX_ENDPOINTS + 1).count()
     else:
         rows = gateway.ENDPOINTS if rows is None else rows
-        size = len(rows)
         given = small_table(spark, [(i + 1, *r) for i, r in enumerate(rows)], ENDPOINTS)
-    if size > MAX_ENDPOINTS:
-        raise ValueError(f"the endpoint catalogue has more than {MAX_ENDPOINTS} rows")
     filled = given.fillna(
         {
             "rpm": gateway.DEFAULT_RPM,

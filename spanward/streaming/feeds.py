@@ -56,8 +56,22 @@ def to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
 
 
-def latest_per_key(updates: DataFrame, keys: list[str]) -> DataFrame:
-    """State after the last batch, from the rows of update mode."""
-    values = [c for c in updates.columns if c not in (*keys, "batch")]
-    newest = updates.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v"))
-    return newest.select(*keys, "_v.*")
+def totals(stream: DataFrame, keys: list[str], sums: dict[str, str]) -> DataFrame:
+    """Sums per key over everything that a stateless stream holds.
+
+    Every batch writes its own partial sums, a batch that is run again replaces them, and they are added up by key at
+    the end: the result depends neither on how rows are cut into batches nor on their order.
+    """
+    spark = stream.sparkSession
+    path = fresh_path(spark, "totals")
+
+    def partial(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*keys).agg(*[F.expr(e).cast("long").alias(name) for name, e in sums.items()])
+
+    def sink(batch: DataFrame, number: int) -> None:
+        partial(batch).write.mode("overwrite").parquet(f"{path}/{number:09d}")
+
+    run_available(stream, "append", sink)
+    kinds = [*[stream.schema[k] for k in keys], *[T.StructField(name, T.LongType()) for name in sums]]
+    parts = spark.read.schema(T.StructType(kinds)).option("recursiveFileLookup", "true").parquet(path)
+    return parts.groupBy(*keys).agg(*[F.sum(name).alias(name) for name in sums])

@@ -7,32 +7,26 @@ from pyspark.sql import functions as F
 
 from ..catalog import gateway as g
 from ..session import fresh_path
-from .feeds import run_available
+from .feeds import run_available, totals
 
 
 def stream_usage(usage: DataFrame, slide: str = "5 seconds") -> DataFrame:
-    """Tokens and requests per model over sliding minutes; records expire after 65 seconds.
+    """Tokens and requests per model over sliding minutes, after the last batch.
 
-    Windows of one instant differ only in their start, so a record adds to twelve small counters
-    and is dropped with the watermark. The exact value at each request stays a batch job.
+    Windows of one instant differ only in their start, so a record adds to twelve small sums. Sums need no order:
+    nothing is late and nothing expires. The exact value at each request stays a batch job.
     """
     window = F.window("ts", f"{g.USAGE_WINDOW_SECONDS} seconds", slide)
-    return (
-        usage.withWatermark("ts", f"{g.USAGE_EXPIRY_SECONDS} seconds")
-        .groupBy(window.alias("w"), "model")
-        .agg(F.sum("tokens").alias("tpm"), F.count(F.lit(1)).alias("rpm"))
-        .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "model", "tpm", "rpm")
+    rows = usage.select(window.alias("w"), "model", "tokens").select(
+        F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "model", "tokens"
     )
+    return totals(rows, ["window_start", "window_end", "model"], {"tpm": "sum(tokens)", "rpm": "count(1)"})
 
 
 def stream_counters(events: DataFrame, kind: str, every: str = "1 hour") -> DataFrame:
-    """Rolling counts per kind of event."""
-    return (
-        events.withWatermark("ts", f"{g.USAGE_EXPIRY_SECONDS} seconds")
-        .groupBy(F.window("ts", every).alias("w"), kind)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(F.col("w.start").alias("window_start"), kind, "n")
-    )
+    """Counts per kind of event and hour, after the last batch; they never expire."""
+    rows = events.select(F.window("ts", every).alias("w"), kind).select(F.col("w.start").alias("window_start"), kind)
+    return totals(rows, ["window_start", kind], {"n": "count(1)"})
 
 
 def stream_latest(events: DataFrame, id_col: str, n: int = g.LATEST_EVENTS) -> DataFrame:

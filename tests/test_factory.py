@@ -78,13 +78,13 @@ def test_injection(spark):
     rows = [
         (1, "Ask [PII] or [PII]!", "SSN", False, ["123-45-6789", "2"]), (2, "no place", "SSN", False, ["9"]), (3, "no place ", "SSN", False, ["9"]),
         (4, "a [PII]", "SSN", True, ["x"]), (5, "none", "SSN", True, ["x"]), (6, "keep [PII]", "neutral", False, ["x"]), (7, "", "SSN", False, ["7"]),
-        (8, "😀[PII]", "SSN", False, ["8"]),
+        (8, "😀[PII]", "SSN", False, ["8"]), (9, "Call [PII] now", "SSN", True, ["V1", "V2"]), (10, "end [PII] ", "SSN", True, ["V1", "V2"]),
     ]
     df = spark.createDataFrame(rows, "slot long, sentence string, label string, is_hard_negative boolean, values array<string>")
     got = {r.slot: (r.text, [tuple(e)[:3] + (e.value,) for e in r.entities]) for r in inj.inject(df).collect()}
     assert got[1] == ("Ask 123-45-6789 or 2!", [("ssn", 4, 15, "123-45-6789"), ("ssn", 19, 20, "2")])
     assert got[2] == ("no place 9", [("ssn", 9, 10, "9")]) and got[3] == ("no place 9", [("ssn", 9, 10, "9")])
-    assert got[4] == ("a x", []) and got[5] == ("none x", []) and got[6] == ("keep [PII]", []) and got[7] == ("7", [("ssn", 0, 1, "7")])
+    assert got[4] == ("a x x", []) and got[9] == ("Call V1 now V2", []) and got[10] == ("end V1 V2", []) and got[5] == ("none x", []) and got[6] == ("keep [PII]", []) and got[7] == ("7", [("ssn", 0, 1, "7")])
     assert got[8] == ("😀8", [("ssn", 1, 2, "8")])
     crossed = {r.slot: [e.label for e in r.entities] for r in inj.inject(df, cross_label=True).collect()}
     assert crossed[1][0] == "ssn" and "neutral" not in crossed[6]
