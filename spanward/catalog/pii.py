@@ -68,6 +68,5 @@ CANONICAL_RULES = [
 ]
 FIRST_CUSTOM_LABEL_ID = 111
 
-# Profiles: the generation patterns for passwords and keys match ordinary words,
-# so detection leaves them out unless asked for.
-DETECTION_LABELS = [label for label in PATTERNS if label not in ("password", "api key")]
+# The default profile holds all labels; leaving one out is the caller's choice.
+DETECTION_LABELS = list(PATTERNS)

@@ -26,7 +26,7 @@ class Detector:
 
 
 def catalogue_detectors(labels: list[str] | None = None, scores: dict | None = None) -> list[Detector]:
-    """Detectors for catalogue labels; the default profile leaves out the two broad patterns."""
+    """Detectors for catalogue labels; all of them by default."""
     wanted = pii.DETECTION_LABELS if labels is None else labels
     return [
         Detector(label, pattern, (scores or {}).get(label, 1.0))

@@ -18,7 +18,7 @@ MIXED = {
     "credit card number": "BLOCK",
     "bank account number": "IGNORE",
 }
-MESSAGE_LABELS = ["email address", "phone number", "credit card number", "bank account number"]
+MESSAGE_LABELS = pii.DETECTION_LABELS
 MESSAGE_POLICY = {"email address": "MASK", "phone number": "REWRITE", "credit card number": "BLOCK", "bank account number": "BLOCK"}
 
 # Appended to messages so that the rules meet something: the tables hold no hit.
@@ -227,6 +227,7 @@ def _screened(where: str = "true", enabled=None) -> str:
 
 
 ORACLES = {
+    "pii_catalog_scan_all": f"""SELECT doc_id, label, "start", "end", value FROM ({q.spans(*_DOCS)})""",
     "pii_catalog_scan": f"""SELECT doc_id, label, "start", "end", value FROM ({q.spans(*_DOCS)}) WHERE label <> {_OWN}""",
     "pii_resolved": f"""SELECT doc_id, label, "start", "end", value FROM ({q.resolved(*_DOCS)})""",
     "pii_masked": f"""WITH {q.redaction_cte(*_DOCS, {}, 'MASK')}

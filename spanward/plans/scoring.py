@@ -108,7 +108,7 @@ def _predictions() -> str:
         for i, (label, pattern, score) in enumerate(found):
             if score < pii.DEFAULT_THRESHOLD:
                 continue
-            text, pat = q.asciified("text"), q.quote(pattern)
+            text, pat = q.asciified("text"), q.asciified_pattern(pattern)
             parts.append(
                 f"""SELECT '{run}' AS run_id, sample_id, {q.quote(CANONICAL.get(label, label))} AS label, {score} AS score, {i} AS ord,
                   CAST(list_sum(list_transform(g[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(v[1:k-1], lambda x: length(x))), 0) AS INTEGER) AS "start",

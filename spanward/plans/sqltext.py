@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from ..catalog import pii, safety
 
-# Letters outside ASCII. That engine's word boundary knows ASCII only, so they are turned into
-# an underscore first: a word character that no pattern of the detection profile contains.
+# Letters outside ASCII. That engine's word boundary knows ASCII only, so they are turned into a Z, a word character
+# that the patterns' classes are cut short of; a real Z becomes a Y first, which no pattern tells apart.
 _LETTERS = (
     r"[\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{2AF}\x{370}-\x{1FFF}\x{3040}-\x{D7FF}]"
 )
@@ -16,14 +16,18 @@ def quote(value: str) -> str:
 
 
 def asciified(text: str) -> str:
-    return f"regexp_replace({text}, '{_LETTERS}', '_', 'g')"
+    return f"regexp_replace(replace({text}, 'Z', 'Y'), '{_LETTERS}', 'Z', 'g')"
+
+
+def asciified_pattern(pattern: str) -> str:
+    return quote(pattern.replace("A-Z", "A-Y"))
 
 
 def spans(table: str, keys: str, labels: list[str], text: str = "text", where: str = "true") -> str:
     """Rows (keys, ord, label, start, end, value) of every match of the labels' patterns."""
     parts = []
     for i, label in enumerate(labels):
-        pattern = quote(pii.PATTERNS[label])
+        pattern = asciified_pattern(pii.PATTERNS[label])
         parts.append(
             f"""SELECT {keys}, {i} AS ord, {quote(label)} AS label,
               CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(v[1:i-1], lambda x: length(x))), 0) AS INTEGER) AS "start",
