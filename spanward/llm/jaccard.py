@@ -9,8 +9,7 @@ Equal sets are one class from the start. Signatures meet in hash buckets as pack
 class of each of its signatures and proposes pairs of it with the others, and the bucket does the same with what the
 tasks send, so a signature that a third of all documents share is a row per task and nobody forms all pairs. Proposed
 pairs are checked exactly; those whose classes are joined by then are not. Where a proposed pair fails, members of
-that signature may be linked in other ways, so the signatures of the components it touches are joined in full, without
-the classes that share too little with all others to be similar to any.
+that signature may be linked in other ways; those are found by their differences from a centre (``_past_failures``).
 
 Defined cases: null or empty text, or text without words, has an empty set and is linked with nothing; repeated rows
 are documents of their own; null ids are carried and never name a component unless all are null; no rows give no
@@ -232,18 +231,6 @@ def _set_rows(width: int):
     return run
 
 
-def _resign(num: int, den: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Signatures(num, den)
-        for batch in batches:
-            column = batch.column(1)
-            for i, fp in enumerate(batch.column(0).to_pylist()):
-                own = make.of(column[i].values.to_numpy().view(U)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), fp)), pa.array(own)], ["fp", "signature"])
-
-    return run
-
-
 def _alone_keys(buckets: int):
     """Shingles of one task with the class that has them; those of several classes as pairs = true."""
 
@@ -363,22 +350,7 @@ def link_components(
     links = links.unionByName(second)
     labels = components(links)
     # a pair that is still apart has failed its check: members of its signatures can be linked past it
-    apart = _between(proposed, labels)
-    touched = _labelled(apart.selectExpr("a AS fp").unionByName(apart.selectExpr("b AS fp")).distinct(), labels).select("label").distinct()
-    members = _labelled(reach.where("low <= high").select("fp"), labels).join(touched, "label").join(reach, "fp")
-    signed = materialise(
-        sets.join(members.select("fp"), "fp").select("fp", "shingles").mapInArrow(_resign(num, den), "fp bigint, signature bigint").join(members, "fp"), "signed"
-    )
-    # who has, under one signature, a partner of fitting size in another component
-    by_size = signed.groupBy("signature", F.col("n").alias("m")).agg(
-        F.min("label").alias("least_label"), F.max("label").alias("most_label"), F.min("low").alias("m_low"), F.max("high").alias("m_high")
-    )
-    possible = "m BETWEEN low AND high AND n BETWEEN m_low AND m_high AND NOT (least_label = label AND most_label = label)"
-    live = materialise(signed.join(by_size, "signature").where(possible).select(*signed.columns).distinct(), "live")
-    x = live.selectExpr("signature", "fp AS a", "label AS ca", "n AS na", "low AS la", "high AS ha")
-    y = live.selectExpr("signature", "fp AS b", "label AS cb", "n AS nb", "low AS lb", "high AS hb")
-    cross = x.join(y, "signature").where(f"a < b AND ca <> cb AND {fit}").select("a", "b").distinct()
-    third = materialise(_checked(cross.join(fitting, ["a", "b"], "left_anti"), sets, num, den), "links")
+    third = materialise(_checked(_past_failures(proposed, labels, reach, sets, num, den).join(fitting, ["a", "b"], "left_anti"), sets, num, den), "links")
     labels = components(links.unionByName(third))
 
     classed = meta.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select(
@@ -390,6 +362,54 @@ def link_components(
     )
 
 
+def _past_failures(proposed: DataFrame, labels: DataFrame, reach: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of different components that can be similar though no proposal joins them.
+
+    Similar classes share a signature, so proposals connect them, passed or failed. Each such group has a centre, the
+    class with most proposals, and a class is its difference from it: two classes differ in as much as their
+    differences do. Those near the centre are linked by it. A class y further away, with d(y) different shingles, can
+    be similar to x with d(x) <= d(y) only if (d(x) + d(y) - k) / 2 of these are common, k being the most that
+    similar sets of their sizes differ in. So they share one of the first few of either in the order from rare to
+    common, and large groups of copies that differ too much are told apart by their rarest changes.
+    """
+    rate = f"{den - num} div {den + num}"
+    groups = components(proposed).selectExpr("node AS fp", "label AS grp")
+    weight = proposed.selectExpr("a AS fp", "n").unionByName(proposed.selectExpr("b AS fp", "n")).groupBy("fp").agg(F.sum("n").alias("w"))
+    centres = groups.join(weight, "fp").groupBy("grp").agg(F.max(F.struct("w", "fp")).alias("m")).select("grp", F.col("m.fp").alias("centre"))
+    members = materialise(_labelled(groups.select("fp"), labels).join(groups, "fp").join(reach.where("low <= high"), "fp"), "members")
+    mixed = members.groupBy("grp").agg(F.min("label").alias("one"), F.max("label").alias("other")).where("one <> other").select("grp")
+    around = members.join(mixed, "grp").join(centres, "grp").join(sets, "fp").join(sets.selectExpr("fp AS centre", "shingles AS core"), "centre")
+    changes = around.selectExpr(
+        "fp", "grp", "label", "n", "low", "high", "size(core) AS nc", "concat(array_except(shingles, core), array_except(core, shingles)) AS change"
+    ).withColumn("d", F.size("change"))
+    changes = materialise(changes, "changes")
+    spread = changes.select("fp", "grp", F.explode("change").alias("e"))
+    common = spread.groupBy("grp", "e").agg(F.count(F.lit(1)).alias("f"))
+    ordered = spread.join(common, ["grp", "e"]).groupBy("fp").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("change"))
+    own = changes.drop("change").selectExpr("*", f"(n + n * {den} div {num}) * {rate} AS most", f"(n + nc) * {rate} AS reach_c")
+    own = own.selectExpr(
+        "*", "d > reach_c AS far",
+        f"CASE WHEN d > reach_c THEN most div 2 + 1 ELSE least(most div 2, (d + greatest(n - nc, 0) * {rate} + 1) div 2) + 1 END AS px",
+    )
+    first = materialise(
+        own.join(ordered, "fp").select(
+            "fp", "grp", "label", "n", "low", "high", "d", "far", "px",
+            F.posexplode(F.slice("change", F.lit(1), F.greatest(F.col("px"), F.when(F.col("far"), F.col("most") + 1).otherwise(0)).cast("int"))).alias("at", "c"),
+        ).where("c.f > 1").selectExpr("* EXCEPT (at, c)", "at + 1 AS place", "c.e AS e"),
+        "first-changes",
+    )
+    names = ["fp", "label", "n", "low", "high", "d", "place"]
+    x = first.where("place <= px").select("grp", "e", *[F.col(c).alias(f"x_{c}") for c in names])
+    y = first.where("far").select("grp", "e", *[F.col(c).alias(f"y_{c}") for c in names])
+    k = f"((x_n + y_n) * {rate})"
+    able = (
+        "x_label <> y_label AND (x_d < y_d OR x_d = y_d AND x_fp < y_fp) AND x_n BETWEEN y_low AND y_high AND y_n BETWEEN x_low AND x_high "
+        f"AND y_d - x_d <= {k} AND x_place <= (x_d - y_d + {k}) div 2 + 1 AND y_place <= (y_d - x_d + {k}) div 2 + 1"
+    )
+    pairs = x.join(y, ["grp", "e"]).where(able)
+    return pairs.selectExpr("least(x_fp, y_fp) AS a", "greatest(x_fp, y_fp) AS b").distinct()
+
+
 def _labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     """``nodes`` (fp) with the label of their component, or their own."""
     return nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"))
