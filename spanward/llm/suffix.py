@@ -122,8 +122,22 @@ def _heads(*keys: np.ndarray) -> np.ndarray:
     return fresh
 
 
-def _grouped(doc_keys: np.ndarray, values: np.ndarray) -> pa.Table:
-    """One row per document with its values."""
+def _sent_back(doc_keys: np.ndarray, values: np.ndarray, targets: int) -> pa.Table:
+    """Results of one bucket on the way to their documents, packed by the group of the document."""
+    group = (doc_keys.view(U) % U(targets)).astype(np.int64)
+    order = np.argsort(group, kind="stable")
+    group, doc_keys, values = group[order], doc_keys[order], values[order]
+    ends = np.searchsorted(group, np.arange(targets + 1))
+    full = np.flatnonzero(np.diff(ends))
+    rows = [(int(i), binary(doc_keys[ends[i] : ends[i + 1]]), binary(values[ends[i] : ends[i + 1]])) for i in full]
+    columns = list(zip(*rows)) or [[]] * 3
+    return pa.table([pa.array(list(c), k) for c, k in zip(columns, [pa.int32(), pa.binary(), pa.binary()])], ["target", "keys", "more"])
+
+
+def _arrived(table: pa.Table) -> pa.Table:
+    """One row per document of a group with its values."""
+    doc_keys = np.concatenate([np.frombuffer(b, np.int64) for b in table["keys"].to_pylist()])
+    values = np.concatenate([np.frombuffer(b, np.int64) for b in table["more"].to_pylist()])
     order = np.argsort(doc_keys, kind="stable")
     doc_keys, values = doc_keys[order], values[order]
     at = np.flatnonzero(_heads(doc_keys))
@@ -193,8 +207,8 @@ def _unpack(table: pa.Table):
     return join(local, [np.int64] * 2), join(sent, [U, U, np.int64, np.int64])
 
 
-def _meet_anchors(table: pa.Table) -> pa.Table:
-    """Flags of the runs of one bucket, per document."""
+def _meet_anchors(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and flagged runs of one bucket."""
     (doc_keys, values), (keys, segments, doc, value) = _unpack(table)
     order = np.lexsort((value & 7, segments, keys))
     keys, segments, doc, value = keys[order], segments[order], doc[order], value[order]
@@ -213,7 +227,7 @@ def _meet_anchors(table: pa.Table) -> pa.Table:
     flags |= np.where(met & mixed & ~several & (state == SINGLE), OPEN, 0)
     flags |= np.where(met & mixed & (several | (state == MULTI)) & own, COUNTED, 0)
     known = flags > 0
-    return _grouped(np.concatenate([doc_keys, doc[known]]), np.concatenate([values, value[known] & ~7 | flags[known]]))
+    return np.concatenate([doc_keys, doc[known]]), np.concatenate([values, value[known] & ~7 | flags[known]])
 
 
 def _find_strings(length: int, buckets: int):
@@ -254,15 +268,15 @@ def _find_strings(length: int, buckets: int):
     return run
 
 
-def _meet_strings(table: pa.Table) -> pa.Table:
-    """Starts of one bucket that were to be ranked and repeat, per document."""
+def _meet_strings(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and starts of one bucket that were to be ranked and repeat."""
     (doc_keys, values), (keys, _, doc, value) = _unpack(table)
     order = np.argsort(keys)
     keys, doc, value = keys[order], doc[order], value[order]
     at = np.flatnonzero(_heads(keys))
     n = np.diff(np.append(at, len(keys)))
     hit = np.repeat(n > 1, n) & (value & 1 > 0)
-    return _grouped(np.concatenate([doc_keys, doc[hit]]), np.concatenate([values, value[hit] >> 1]))
+    return np.concatenate([doc_keys, doc[hit]]), np.concatenate([values, value[hit] >> 1])
 
 
 def _zip(text: pa.Array) -> list[bytes]:
@@ -331,11 +345,13 @@ def repeats(keyed: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, keep_t
     spark = keyed.sparkSession
     ship(spark)
     n = slices(spark)
-    found = "doc_key bigint, found array<bigint>"
 
     def met(packed: DataFrame, meet: Callable, name: str) -> DataFrame:
-        rows = packed.groupBy("bucket").applyInArrow(meet, found)
-        return materialise(rows.groupBy("doc_key").agg(F.flatten(F.collect_list("found")).alias(name)), name)
+        def ranked(table: pa.Table) -> pa.Table:
+            return _sent_back(*meet(table), n)
+
+        rows = packed.groupBy("bucket").applyInArrow(ranked, "target int, keys binary, more binary")
+        return materialise(rows.groupBy("target").applyInArrow(_arrived, "doc_key bigint, found array<bigint>").withColumnRenamed("found", name), name)
 
     runs = met(keyed.mapInArrow(_find_anchors(length, anchor, n), PACKED), _meet_anchors, "runs")
     bodies = keyed.mapInArrow(_bodies, "doc_key bigint, body binary")
