@@ -380,7 +380,7 @@ def _past_failures(proposed: DataFrame, labels: DataFrame, reach: DataFrame, set
     mixed = members.groupBy("grp").agg(F.min("label").alias("one"), F.max("label").alias("other")).where("one <> other").select("grp")
     around = members.join(mixed, "grp").join(centres, "grp").join(sets, "fp").join(sets.selectExpr("fp AS centre", "shingles AS core"), "centre")
     changes = around.selectExpr(
-        "fp", "grp", "label", "n", "low", "high", "size(core) AS nc", "concat(array_except(shingles, core), array_except(core, shingles)) AS change"
+        "fp", "grp", "centre", "label", "n", "low", "high", "size(core) AS nc", "concat(array_except(shingles, core), array_except(core, shingles)) AS change"
     ).withColumn("d", F.size("change"))
     changes = materialise(changes, "changes")
     spread = changes.select("fp", "grp", F.explode("change").alias("e"))
@@ -406,8 +406,9 @@ def _past_failures(proposed: DataFrame, labels: DataFrame, reach: DataFrame, set
         "x_label <> y_label AND (x_d < y_d OR x_d = y_d AND x_fp < y_fp) AND x_n BETWEEN y_low AND y_high AND y_n BETWEEN x_low AND x_high "
         f"AND y_d - x_d <= {k} AND x_place <= (x_d - y_d + {k}) div 2 + 1 AND y_place <= (y_d - x_d + {k}) div 2 + 1"
     )
-    pairs = x.join(y, ["grp", "e"]).where(able)
-    return pairs.selectExpr("least(x_fp, y_fp) AS a", "greatest(x_fp, y_fp) AS b").distinct()
+    pairs = x.join(y, ["grp", "e"]).where(able).selectExpr("least(x_fp, y_fp) AS a", "greatest(x_fp, y_fp) AS b")
+    near = own.where("NOT far AND fp <> centre").selectExpr("least(fp, centre) AS a", "greatest(fp, centre) AS b")
+    return pairs.unionByName(near).distinct()
 
 
 def _labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
