@@ -121,7 +121,7 @@ class Segment:
         if not len(self.terms):
             return np.zeros(terms.shape, np.int64), np.zeros(terms.shape, np.int64)
         rank = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
-        size = np.where(self.terms[rank] == terms, self.term_first[rank + 1] - self.term_first[rank], 0)
+        size = np.where(self.terms[rank] == terms, self.term_first[rank + 1].astype(np.int64) - self.term_first[rank], 0)
         return rank, size
 
     def holds(self, rank: np.ndarray, place: np.ndarray) -> np.ndarray:
