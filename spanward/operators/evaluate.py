@@ -6,7 +6,7 @@ The first shuffle is the count per label. ``run_id`` keys any number of runs at
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import pii
@@ -143,10 +143,11 @@ def confusion(matches: DataFrame, run_id: str | None = None) -> DataFrame:
         "run_id", F.col("m.gt.label").alias("gt_label"), F.col("m.pred.label").alias("pred_label")
     ).agg(F.count(F.lit(1)).alias("n"))
     both = F.concat(F.transform("truth", lambda e: e["label"]), F.transform("pred", lambda e: e["label"]))
-    seen = flatten(matches, F.array_distinct(both), "label").distinct()
-    axis = seen.groupBy(F.lit(1).alias("_k")).agg(F.sort_array(F.collect_set("label")).alias("axis"))
+    seen = matches.select("run_id", F.explode_outer(F.array_distinct(both)).alias("label")).groupBy("run_id").agg(F.collect_set("label").alias("own"))
+    axis = F.sort_array(F.array_distinct(F.flatten(F.collect_list("own").over(Window.partitionBy(F.lit(0))))))  # one row per run
+    laid = seen.select("run_id", axis.alias("axis"))
     grid = (
-        runs.select("run_id").distinct().withColumn("_k", F.lit(1)).join(axis, "_k")
+        (laid if run_id is None else laid.filter(F.col("run_id") == run_id))
         .select("run_id", "axis", F.explode("axis").alias("gt_label"))
         .select("run_id", "gt_label", F.explode("axis").alias("pred_label"))
     )

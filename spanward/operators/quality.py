@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog.factory import UNKNOWN_DOMAIN
@@ -68,9 +68,8 @@ def label_distribution(samples: DataFrame) -> DataFrame:
 
 def _with_share(counts: DataFrame, column: str, name: str) -> DataFrame:
     """Share of the column total; ``counts`` has one row per domain or label."""
-    total = counts.agg(F.sum(column).alias("_total"))
-    keyed = counts.withColumn("_k", F.lit(1)).join(total.withColumn("_k", F.lit(1)), "_k")
-    return keyed.withColumn(name, F.col(column) * 100.0 / F.col("_total")).drop("_k", "_total")
+    total = F.sum(column).over(Window.partitionBy(F.lit(0)))  # of the small aggregate
+    return counts.withColumn(name, F.col(column) * 100.0 / total)
 
 
 def balance(samples: DataFrame) -> DataFrame:
@@ -84,8 +83,8 @@ def balance(samples: DataFrame) -> DataFrame:
         F.transform("entities", lambda e: F.lower(e["label"])),
     )
     counts = flatten(samples, tags, "tag").groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.filter(F.col("tag") == "\0all").select(F.lit(1).alias("_k"), F.col("n").alias("_total"))
-    rows = counts.filter(F.col("tag") != "\0all").withColumn("_k", F.lit(1)).join(total, "_k")
+    total = F.max(F.when(F.col("tag") == "\0all", F.col("n"))).over(Window.partitionBy(F.lit(0)))
+    rows = counts.withColumn("_total", total).filter(F.col("tag") != "\0all")
     neutral = F.col("tag") == "\0neutral"
     return rows.select(
         F.when(neutral, "neutral").otherwise("label").alias("kind"),

@@ -70,13 +70,11 @@ def grow_vocab(samples: DataFrame, vocab: DataFrame, custom: list[str] = ()) ->
         .join(vocab.select("tag"), "tag", "left_anti")
         .dropDuplicates(["tag"])
     )
-    # one partition on purpose: a label vocabulary, not data
-    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("label", "k"))
-    size = vocab.agg(F.count(F.lit(1)).alias("size")).withColumn("_k", F.lit(1))
-    new = wanted.withColumn("_k", F.lit(1)).withColumn("_r", rank).join(size, "_k")
-    return vocab.select("id", "tag").unionByName(
-        new.select((F.col("size") + F.col("_r") - 1).cast("int").alias("id"), "tag")
-    )
+    # one partition on purpose: a label vocabulary, not data; known tags come first, so a new one's place is its id
+    known = vocab.select("id", "tag", F.lit(0).alias("new"), F.lit("").alias("label"), F.lit(0).alias("k"))
+    both = known.unionByName(wanted.select(F.lit(None).cast("int").alias("id"), "tag", F.lit(1).alias("new"), "label", "k"))
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("new", "label", "k")) - 1
+    return both.select(F.coalesce("id", place).cast("int").alias("id"), "tag")
 
 
 def tokens_of(samples: DataFrame, *keep: str, features: str | None = None) -> DataFrame:

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from ..catalog import factory as f
 from ..catalog import pii
 from ..functions.regex import full_pattern
+from ..functions.scale import numbered
 from ..operators import inject as inj
 from ..operators import leakage as leak
 from ..operators import evaluate, neardup, quality, slots, tagging, training, values
 from ..operators.detect import exploded
-from ..session import materialise, read_table, read_texts, small_table
+from ..session import fresh_path, materialise, read_table, read_texts, small_table
 from ..sources import generated
+from ..sources import samples as files
 from . import sqltext as q
 
 PLAN_LABELS = ["person", "email address", "social security number", "phone number", "api key"]
@@ -37,9 +39,10 @@ def messages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def document_slots(spark, sf) -> DataFrame:
-    """One slot per document."""
-    docs = read_table(spark, sf, "documents").select(F.col("doc_id").alias("slot"))
-    return slots.assign_slots(docs, "slot", docs.count(), slots.label_configs(PLAN_LABELS))
+    """One slot per document, numbered from 0 in order of their ids."""
+    docs = read_table(spark, sf, "documents").select("doc_id")
+    rows = numbered(docs, [], ["doc_id"], "slot").select((F.col("slot") - 1).alias("slot"))
+    return slots.assign_slots(rows, "slot", docs.count(), slots.label_configs(PLAN_LABELS))
 
 
 def slot_plan(spark, sf):
@@ -126,6 +129,28 @@ def injected_samples(spark, sf):
     return rows.select("sample_id", "text", "domain", "is_hard_negative", F.array_join(spans, "|").alias("spans"))
 
 
+def _spoiled(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Samples written as JSON lines and read back, some of them broken in between."""
+    path, broken = fresh_path(spark, "sample-lines"), fresh_path(spark, "spoiled-lines")
+    files.write_samples(samples(spark, sf), path)
+    line, number = F.col("value"), F.regexp_extract("value", r'"sample_id":(-?[0-9]+)', 1).cast("long")
+    spoiled = F.when(number % 11 == 2, F.substring(line, F.lit(1), F.length(line) - 3)).when(
+        number % 11 == 5, F.regexp_replace(line, '"text":', '"words":')
+    )
+    spark.read.text(path).select(F.coalesce(spoiled, line).alias("value")).write.text(broken)
+    return files.read_samples(spark, broken, lines=True)
+
+
+def samples_read_back(spark, sf):
+    good, _ = _spoiled(spark, sf)
+    return good.select("sample_id", "text", "domain", "is_hard_negative", F.size("entities").cast("long").alias("spans"))
+
+
+def samples_quarantined(spark, sf):
+    _, held = _spoiled(spark, sf)
+    return held.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 def cross_labelled(spark, sf):
     """The same with every other catalogue pattern scanned in; the own label wins overlaps."""
     rows = inj.inject(carriers(spark, sf), cross_label=True)
@@ -245,6 +270,11 @@ def base_vocab(spark: SparkSession) -> DataFrame:
     return small_table(spark, list(enumerate(BASE_TAGS)), "id int, tag string")
 
 
+def stored_vocab(rows: DataFrame) -> DataFrame:
+    """The grown vocabulary, written once: jobs look into it several times."""
+    return materialise(tagging.grow_vocab(rows, base_vocab(rows.sparkSession)), "vocab")
+
+
 def vocab_growth(spark, sf):
     return tagging.grow_vocab(samples(spark, sf), base_vocab(spark))
 
@@ -257,14 +287,14 @@ def vocab_labels(spark, sf):
 
 def bio_tags(spark, sf):
     rows = stored_samples(spark, sf)
-    return tagging.bio_tag(rows, tagging.grow_vocab(rows, base_vocab(spark))).select(
+    return tagging.bio_tag(rows, stored_vocab(rows)).select(
         "sample_id", "pos", "start", "end", "token", "tag_id"
     )
 
 
 def class_weights(spark, sf):
     rows = stored_samples(spark, sf)
-    vocab = tagging.grow_vocab(rows, base_vocab(spark))
+    vocab = stored_vocab(rows)
     return tagging.class_weights(tagging.bio_tag(rows, vocab), vocab).withColumn("weight", F.round("weight", 6))
 
 
@@ -272,7 +302,7 @@ def tagger_metrics(spark, sf):
     """A tagger trained on the samples and scored as a detector on those with entities."""
     rows = stored_samples(spark, sf)
     custom = ["EMPLOYEE_CODE"]
-    vocab = materialise(tagging.grow_vocab(rows, base_vocab(spark)), "vocab")
+    vocab = stored_vocab(rows)
     weights = tagging.class_weights(tagging.bio_tag(rows, vocab), vocab)
     train = materialise(training.training_rows(rows, vocab, weights), "train")
     model = training.train_tagger(train, max_iter=10)
@@ -298,7 +328,7 @@ def curve_summary(spark, sf):
 QUERIES = {
     fn.__name__: fn
     for fn in (
-        slot_plan, batch_plan, topup_plan, value_synthesis, injected_samples, cross_labelled, sample_validation,
+        slot_plan, batch_plan, topup_plan, value_synthesis, injected_samples, samples_read_back, samples_quarantined, cross_labelled, sample_validation,
         validation_report, sample_domains, sample_labels, sample_balance, harvested_sentences, near_duplicates,
         factory_progress, tagged_ingest, tagged_text, leakage, leakage_benchmark, vocab_growth, vocab_labels, bio_tags,
         class_weights, tagger_metrics, curve_summary,
@@ -309,9 +339,10 @@ _L = len(PLAN_LABELS)
 _PLAN_LIST = "[" + ", ".join(q.quote(x) for x in PLAN_LABELS) + "]"
 _SLOTS = f"""size AS (SELECT count(*) AS n, greatest(1, CAST(floor(count(*) * {f.NEUTRAL_SHARE}) AS BIGINT)) AS neutral FROM documents),
   quota AS (SELECT n - neutral AS rest, (n - neutral) // {_L} AS share, CAST(floor(((n - neutral) // {_L}) * {f.HARD_NEGATIVE_SHARE}) AS BIGINT) AS neg FROM size),
+  numbered AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id FROM documents),
   slots AS (SELECT doc_id AS slot, CASE WHEN doc_id < share * {_L} THEN 'quota' WHEN doc_id < rest THEN 'remainder' ELSE 'neutral' END AS part,
     CASE WHEN doc_id < share * {_L} THEN {_PLAN_LIST}[doc_id // share + 1] WHEN doc_id < rest THEN {_PLAN_LIST}[(doc_id - share * {_L}) % {_L} + 1] ELSE 'NEUTRAL' END AS label,
-    doc_id < share * {_L} AND doc_id % share >= share - neg AS is_hard_negative FROM documents, quota)"""
+    doc_id < share * {_L} AND doc_id % share >= share - neg AS is_hard_negative FROM numbered, quota)"""
 
 _C_LIST = "[" + ", ".join(q.quote(x) for x in CARRIER_LABELS) + "]"
 _D_LIST = "[" + ", ".join(q.quote(x) for x in f.TRAINING_DOMAINS) + "]"
@@ -382,6 +413,10 @@ ORACLES = {
     "value_synthesis": f"WITH {_SLOTS} SELECT slot, label, is_hard_negative, NOT is_hard_negative AS matches, true AS filled FROM slots WHERE label <> 'NEUTRAL'",
     "injected_samples": f"""WITH {SAMPLES_SQL} SELECT s.sample_id, text, domain, is_hard_negative,
           coalesce((SELECT string_agg(label || ':' || "start" || ':' || "end" || ':' || value, '|' ORDER BY i) FROM entities e WHERE e.sample_id = s.sample_id), '') AS spans FROM samples s""",
+    "samples_read_back": f"""WITH {SAMPLES_SQL} SELECT sample_id, text, domain, is_hard_negative,
+          (SELECT count(*) FROM entities e WHERE e.sample_id = s.sample_id) AS spans FROM samples s WHERE sample_id % 11 NOT IN (2, 5)""",
+    "samples_quarantined": """SELECT CASE (conv_id * 16 + turn) % 11 WHEN 2 THEN 'malformed' ELSE 'missing field' END AS reason, count(*) AS n
+        FROM conversations WHERE (conv_id * 16 + turn) % 11 IN (2, 5) GROUP BY 1""",
     "sample_validation": f"WITH {SAMPLES_SQL}, {_CHECKED} SELECT sample_id, reject_reason FROM checked",
     "validation_report": f"""WITH {SAMPLES_SQL}, {_CHECKED} SELECT count(*) FILTER (reject_reason IS NULL) AS sample_counts, count(reject_reason) AS dropped_count,
           count(*) FILTER (reject_reason IS NULL AND is_hard_negative) AS hard_negatives_count,

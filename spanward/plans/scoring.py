@@ -83,6 +83,14 @@ def run_comparison(spark, sf):
     return _rounded(out, *[c for c in out.columns if c not in ("label", "change")])
 
 
+def summary_differences(spark, sf):
+    """What the second run gains over the first in each rate and in character accuracy."""
+    stored = matches(spark, sf)
+    rates = e.summary_metrics(e.entity_metrics(stored)).join(e.char_accuracy(pairs(spark, sf)).select("run_id", "accuracy"), "run_id")
+    out = e.compare_summaries(rates, "base", "tuned", [*_SUMMARY, "accuracy"])
+    return _rounded(out, *out.columns)
+
+
 def leaderboard(spark, sf):
     """Runs are registered per supplier nation name; two of them have been evaluated."""
     summaries = e.summary_metrics(e.entity_metrics(matches(spark, sf)))
@@ -97,7 +105,7 @@ QUERIES = {
     fn.__name__: fn
     for fn in (
         span_matches, entity_metrics, summary_metrics, char_accuracy, confusion, error_analysis, error_analysis_all,
-        run_comparison, leaderboard,
+        run_comparison, summary_differences, leaderboard,
     )
 }
 
@@ -148,6 +156,11 @@ _ERRORS = """fixed AS (SELECT 'fixed_miss' AS kind, f.sample_id, f.i AS o, f.lab
       AND greatest(0, least(b."end", f."end") - greatest(b."start", f."start")) / (greatest(b."end", f."end") - least(b."start", f."start")) >= 0.5)),
   listed AS (SELECT *, CAST(row_number() OVER (PARTITION BY kind, sample_id ORDER BY o) - 1 AS INTEGER) AS pos FROM (SELECT * FROM fixed UNION ALL SELECT * FROM broken))"""
 
+_CHARS = f"""t AS (SELECT sample_id, label, unnest(range("start", "end")) AS c FROM truth), p AS (SELECT run_id, sample_id, label, unnest(range("start", "end")) AS c FROM pred),
+        tt AS (SELECT run_id, t.* FROM runs, t),
+        bad AS (SELECT coalesce(tt.run_id, p.run_id) AS run_id, count(*) FILTER (tt.label IS DISTINCT FROM p.label) AS n FROM tt FULL JOIN p ON tt.run_id = p.run_id AND tt.sample_id = p.sample_id AND tt.c = p.c GROUP BY 1),
+        total AS (SELECT CAST(sum(length(text)) AS BIGINT) AS chars FROM tested)"""
+
 ORACLES = {
     "span_matches": f"""{_BASE} SELECT run_id, sample_id, (SELECT count(*) FROM truth t WHERE t.sample_id = x.sample_id) AS n_truth,
         (SELECT count(*) FROM pred p WHERE p.sample_id = x.sample_id AND p.run_id = x.run_id) AS n_pred,
@@ -159,11 +172,11 @@ ORACLES = {
     "entity_metrics": f"{_BASE} SELECT run_id, label, tp, fp, fn, support, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM m",
     "summary_metrics": f"""{_BASE} SELECT run_id, round(mp, 6) AS micro_precision, round(mr, 6) AS micro_recall, round(CASE WHEN mp + mr > 0 THEN 2 * mp * mr / (mp + mr) ELSE 0 END, 6) AS micro_f1,
         round(macro_precision, 6) AS macro_precision, round(macro_recall, 6) AS macro_recall, round(macro_f1, 6) AS macro_f1 FROM s""",
-    "char_accuracy": f"""{_BASE}, t AS (SELECT sample_id, label, unnest(range("start", "end")) AS c FROM truth), p AS (SELECT run_id, sample_id, label, unnest(range("start", "end")) AS c FROM pred),
-        tt AS (SELECT run_id, t.* FROM runs, t),
-        bad AS (SELECT coalesce(tt.run_id, p.run_id) AS run_id, count(*) FILTER (tt.label IS DISTINCT FROM p.label) AS n FROM tt FULL JOIN p ON tt.run_id = p.run_id AND tt.sample_id = p.sample_id AND tt.c = p.c GROUP BY 1),
-        total AS (SELECT CAST(sum(length(text)) AS BIGINT) AS chars FROM tested)
+    "char_accuracy": f"""{_BASE}, {_CHARS}
         SELECT run_id, chars, chars - n AS equal, round((chars - n) / chars, 6) AS accuracy FROM bad, total""",
+    "summary_differences": f"""{_BASE}, {_CHARS}, v AS (SELECT run_id, mp AS micro_precision, mr AS micro_recall, CASE WHEN mp + mr > 0 THEN 2 * mp * mr / (mp + mr) ELSE 0 END AS micro_f1,
+          macro_precision, macro_recall, macro_f1, (chars - n) / chars AS accuracy FROM s JOIN bad USING (run_id), total)
+        SELECT {', '.join(f"round(max({c}) FILTER (run_id = 'tuned') - max({c}) FILTER (run_id = 'base'), 6) AS {c}_delta" for c in [*_SUMMARY, 'accuracy'])} FROM v""",
     "confusion": f"""{_BASE}, axis AS (SELECT DISTINCT label FROM (SELECT label FROM truth UNION ALL SELECT label FROM pred))
         SELECT r.run_id, a.label AS gt_label, b.label AS pred_label, (SELECT count(*) FROM hit h WHERE h.run_id = r.run_id AND h.tl = a.label AND h.pl = b.label) AS n FROM runs r, axis a, axis b""",
     "error_analysis": f"""{_BASE}, {_ERRORS}, top AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY sample_id, pos) AS rn FROM listed)

@@ -21,7 +21,8 @@ def read_samples(spark: SparkSession, path: str, lines: bool = False) -> tuple[D
     """(samples, quarantined) from JSON arrays, or from JSON lines.
 
     One bad byte makes a whole array file unreadable, so it is quarantined as a file; with
-    JSON lines only the row is. Missing optional fields get their defaults.
+    JSON lines only the row is. Missing optional fields get their defaults; a missing number is a hash of the content,
+    so it is the same in every run and equal for repeated samples.
     """
     schema = T.StructType([*SAMPLES.fields, T.StructField(_CORRUPT, T.StringType())])
     raw = (
@@ -34,7 +35,7 @@ def read_samples(spark: SparkSession, path: str, lines: bool = False) -> tuple[D
     )
     bad = F.col(_CORRUPT).isNotNull() | ~well_formed()
     defaults = {
-        "sample_id": F.coalesce("sample_id", F.monotonically_increasing_id()),
+        "sample_id": F.coalesce("sample_id", F.xxhash64("text", F.to_json("entities"), "domain", "style")),
         "domain": F.coalesce("domain", F.lit(UNKNOWN_DOMAIN)),
         "style": F.coalesce("style", F.lit(SAMPLE_STYLE)),
         "is_hard_negative": F.coalesce("is_hard_negative", F.lit(False)),

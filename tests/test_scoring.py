@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanward.functions import matching
 from spanward.operators import evaluate as e
-from spanward.operators import tagging
+from spanward.operators import tagging, training
 from spanward.schemas import ENTITIES_DDL
 
 PAIRS_DDL = f"run_id string, sample_id long, text string, domain string, truth {ENTITIES_DDL}, pred {ENTITIES_DDL}"
@@ -175,3 +175,28 @@ def test_curves(spark):
     got = {r.run_id: r for r in tagging.curve_summary(spark.createDataFrame(rows, "run_id string, step long, loss double, learning_rate double")).collect()}
     assert got["a"].reduction_percent == 75.0 and got["a"].steps == 3 and got["a"].last_loss == 1.0
     assert got["b"].reduction_percent == 0.0 and got["b"].last_learning_rate == 1e-4
+
+
+def test_tagger_is_trained_tuned_and_used(spark):
+    """A small corpus in which the words around a code and the code's shape give the label away."""
+    rows = []
+    for i in range(60):
+        text = f"please use pin PX-{1000 + i} for room {i} today"
+        rows.append((i, text, [("pin", 15, 22, None, text[15:22])]))
+    samples = spark.createDataFrame(rows, f"sample_id long, text string, entities {ENTITIES_DDL}")
+    vocab = spark.createDataFrame([(0, "O"), (1, "B-PIN"), (2, "I-PIN")], "id int, tag string")
+    weights = tagging.class_weights(tagging.bio_tag(samples, vocab), vocab)
+    train = training.training_rows(samples, vocab, weights).cache()
+    model = training.train_tagger(train, max_iter=15)
+    found = {r.sample_id: [(e.label, e.start, e.end) for e in r.pred] for r in training.tagger_detect(samples, model, vocab).collect()}
+    assert all(found[i] == [("pin", 15, 22)] for i in range(60))
+    best, tried = training.tune_tagger(train, regs=[1e-4, 10.0], iters=[10], parallelism=1)
+    loss = {settings["regParam"]: value for settings, value in tried}
+    assert len(tried) == 2 and loss[1e-4] < loss[10.0]
+    assert {r.tag for r in training.tag_texts(samples, best, vocab).collect()} == {"O", "B-PIN", "I-PIN"}
+
+
+def test_summary_differences(spark):
+    rows = [("a", 0.5, 0.25), ("b", 0.75, 0.125), ("c", 1.0, 1.0)]
+    sums = spark.createDataFrame(rows, "run_id string, macro_f1 double, accuracy double")
+    assert e.compare_summaries(sums, "a", "b", ["macro_f1", "accuracy"]).first() == (0.25, -0.125)
