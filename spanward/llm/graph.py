@@ -11,17 +11,17 @@ from ..session import materialise
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of ``edges`` (a, b); the label is the smallest node of its component.
 
-    Labels go to neighbours and then jump to the label of the label, so the number of rounds grows with the
-    logarithm of a component's diameter. Each round is written; a hub is only ever a join key or an aggregated one.
+    In each round a node takes the least of its own label, those of its neighbours and the label of its label, so the
+    number of rounds grows with the logarithm of a component's diameter. Rounds are written; a hub is only ever a join
+    key or an aggregated one.
     """
     both = materialise(edges.select("a", "b").unionByName(edges.selectExpr("b AS a", "a AS b")).distinct(), "edges")
     labels = materialise(both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a AS node", "least(a, m) AS label"), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("m"))
-        pulled = labels.join(near.withColumnRenamed("a", "node"), "node").selectExpr("node", "label AS old", "least(label, m) AS label")
-        pulled = materialise(pulled, "labels")
-        jump = pulled.selectExpr("node AS label", "label AS further")
-        after = materialise(pulled.join(jump, "label").selectExpr("node", "old", "least(label, further) AS label"), "labels")
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").selectExpr("a AS node", "label", "CAST(NULL AS BIGINT) AS old")
+        jumped = labels.join(labels.selectExpr("node AS label", "label AS further"), "label").selectExpr("node", "further AS label", "label AS old")
+        least = near.unionByName(jumped).groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
+        after = materialise(least, "labels")
         if not after.where("label <> old").limit(1).count():
             return after.select("node", "label")
         labels = after.select("node", "label")

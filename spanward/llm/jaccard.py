@@ -8,8 +8,7 @@ n1 * (k2 + 1) > k, some group differs in k2 cells at most, so similar sets share
 Equal sets are one class from the start. Signatures meet in hash buckets as packed arrays: a task keeps the smallest
 class of each of its signatures and proposes pairs of it with the others, and the bucket does the same with what the
 tasks send, so a signature that a third of all documents share is a row per task and nobody forms all pairs. Proposed
-pairs are checked exactly; those whose classes are joined by then are not. Where a proposed pair fails, members of
-that signature may be linked in other ways; those are found by their differences from a centre (``_past_failures``).
+pairs that can be similar by their sizes are checked exactly. Where a proposed pair fails, members of that signature may be linked in other ways; those are found by their differences from a centre (``_past_failures``).
 
 Defined cases: null or empty text, or text without words, has an empty set and is linked with nothing; repeated rows
 are documents of their own; null ids are carried and never name a component unless all are null; no rows give no
@@ -341,13 +340,7 @@ def link_components(
     fit = "nb BETWEEN la AND ha AND na BETWEEN lb AND hb"
     fitting = materialise(proposed.join(ra, "a").join(rb, "b").where(fit).select("a", "b", "n"), "fitting")
 
-    # first each class with the partner it shares most signatures with, then what still lies between components
-    ends = fitting.selectExpr("a AS x", "b AS y", "n").unionByName(fitting.selectExpr("b AS x", "a AS y", "n"))
-    best = ends.groupBy("x").agg(F.max_by("y", F.struct("n", "y")).alias("y")).selectExpr("least(x, y) AS a", "greatest(x, y) AS b").distinct()
-    links = materialise(_checked(best, sets, num, den), "links")
-    labels = components(links)
-    second = materialise(_checked(_between(fitting, labels).join(best, ["a", "b"], "left_anti"), sets, num, den), "links")
-    links = links.unionByName(second)
+    links = materialise(_checked(fitting, sets, num, den), "links")
     labels = components(links)
     # a pair that is still apart has failed its check: members of its signatures can be linked past it
     third = materialise(_checked(_past_failures(proposed, labels, reach, sets, num, den).join(fitting, ["a", "b"], "left_anti"), sets, num, den), "links")
