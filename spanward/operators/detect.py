@@ -199,3 +199,25 @@ def plugin_entities(df: DataFrame, id_col: str, text: str, name: str) -> DataFra
     fn = _PLUGINS[name]
     schema = f"{id_col} {df.schema[id_col].dataType.simpleString()}, entities {ENTITIES.simpleString()}"
     return df.select(id_col, text).mapInPandas(fn, schema)
+
+
+def plugin_detected(
+    df: DataFrame, id_col: str, text: str, name: str, threshold: float = pii.DEFAULT_THRESHOLD,
+    policy: Policy | None = None, custom: list[str] = (),
+) -> DataFrame:
+    """``df`` with the spans of a registered detector as ``entities``, treated like catalogue spans.
+
+    Weak spans go, labels get their canonical names, labels without an action go, overlaps are resolved. Ids must be
+    unique; a text that the detector says nothing about has no spans.
+    """
+    policy = Policy() if policy is None else policy
+    found = plugin_entities(df, id_col, text, name).withColumnRenamed("entities", "_found")
+    admitted = "true"
+    if policy.default_action is None:
+        admitted = "e.label IN (" + ", ".join(sql_literal(x) for x in policy.actions) + ")" if policy.actions else "false"
+    named = (
+        f"transform(filter(_found, e -> e.score >= {threshold}D), e -> named_struct('label', {canonical_sql('e.label', custom)}, "
+        "'start', e.start, 'end', e.end, 'score', e.score, 'value', e.value))"
+    )
+    spans = resolve_sql(f"filter({named}, e -> {admitted})")
+    return df.join(found, id_col, "left").withColumn("entities", F.expr(f"CASE WHEN _found IS NULL THEN {NO_ENTITIES} ELSE {spans} END")).drop("_found")

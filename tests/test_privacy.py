@@ -164,3 +164,21 @@ def test_plugin_detector(spark):
     df = spark.createDataFrame([(1, "HEY"), (2, "hey")], "id long, text string")
     got = {x.id: [e.label for e in x.entities] for x in d.plugin_entities(df, "id", "text", "shout").collect()}
     assert got == {1: ["shout"], 2: []}
+
+
+def test_plugin_spans_follow_threshold_labels_policy_and_overlaps(spark):
+    def model(frames):
+        for pdf in frames:
+            rows = [
+                [("B-EMAIL", 0, 4, 0.9, "aaaa"), ("FIRSTNAME", 2, 9, 0.8, "aabbbbb"), ("SSN", 10, 12, 0.39, "cc"), ("MEMBERSHIP_CARD", 13, 15, 0.5, "dd")]
+                if i == 1 else [] for i in pdf["id"]
+            ]
+            yield pdf[["id"]].assign(entities=[[dict(zip(("label", "start", "end", "score", "value"), e)) for e in r] for r in rows])
+
+    d.register_detector("model", model)
+    df = spark.createDataFrame([(1, "aaaabbbbb cc dd"), (2, "none")], "id long, text string")
+    spans = lambda rows: {r.id: [(e.label, e.start) for e in r.entities] for r in rows.collect()}
+    got = spans(d.plugin_detected(df, "id", "text", "model", custom=["MEMBERSHIP_CARD"]))
+    assert got == {1: [("person", 2), ("membership card", 13)], 2: []}
+    opted = d.plugin_detected(df, "id", "text", "model", policy=d.Policy({"email address": "MASK"}, None))
+    assert spans(opted) == {1: [("email address", 0)], 2: []}
