@@ -27,21 +27,26 @@ ORDER = ["ts", "request_id"]
 
 
 def preference_rows(preferences: list[str], endpoints: list[tuple], limits: dict | None = None) -> list[dict]:
-    """Preferences with the limits of the first endpoint of that model; unknown models are skipped."""
+    """Preferences with the limits of the first endpoint of that model; unknown models are skipped.
+
+    ``held``: when all are exhausted the very first preference is taken; if that one is unknown, none is, and the
+    request goes on to the search of its cluster.
+    """
     first: dict = {}
     for cluster, model, rpm, tpm, tpr, cost, _ in endpoints:
         first.setdefault(model, {"model": model, "cluster": cluster, "rpm": rpm, "tpm": tpm, "tpr": tpr, "cost": cost})
     limits = limits or {}
-    known = [dict(first[m], limit=float(limits.get(m, g.DEFAULT_CREDIT_LIMIT))) for m in preferences if m in first]
+    held = bool(preferences) and preferences[0] in first
+    known = [dict(first[m], limit=float(limits.get(m, g.DEFAULT_CREDIT_LIMIT)), held=held) for m in preferences if m in first]
     if not known:
         raise ValueError("no preferred model is configured")
     return known
 
 
 def choose(context: Column, open_: list[Column], prefs: list[dict]) -> Column:
-    """First open preference wide enough; the first one when all are exhausted."""
+    """First open preference wide enough; when all are exhausted the first one, or null if it is unknown."""
     fits = [F.when(o & (context <= p["tpr"]), F.lit(i)) for i, (o, p) in enumerate(zip(open_, prefs))]
-    return F.coalesce(*fits, F.lit(0))
+    return F.coalesce(*fits, F.lit(0) if prefs[0].get("held", True) else F.lit(None).cast("int"))
 
 
 def _costs(prefs: list[dict], chosen: Column) -> Column:
@@ -89,7 +94,7 @@ def route_by_preference(requests: DataFrame, prefs: list[dict]) -> DataFrame:
     out = out.withColumns({"preference": choose(F.col("required_context"), flags, prefs), "exhausted": ~fits})
 
     def named(field):
-        return F.element_at(F.array(*[F.lit(p[field]) for p in prefs]), F.col("preference") + 1)
+        return F.when(F.col("preference").isNotNull(), F.element_at(F.array(*[F.lit(p[field]) for p in prefs]), F.col("preference") + 1))
 
     return out.select(
         *requests.columns, "preference", named("model").alias("model"), named("cluster").alias("cluster"),
@@ -159,28 +164,39 @@ class Walk:
         self.prefs = prefs
         self.spend = dict(spend or {})
         self.recent = deque(recent)
+        self.used: dict = {}
+        for _, model, tokens in self.recent:
+            self._use(model, tokens, 1)
+
+    def _use(self, model: str, tokens: int, calls: int) -> None:
+        before = self.used.get(model, (0, 0))
+        self.used[model] = (before[0] + tokens, before[1] + calls)
 
-    def take(self, at: int, context: int, total_tokens: int) -> tuple[int, bool]:
-        """Index of the preference taken and whether all were exhausted; ``at`` in microseconds."""
+    def take(self, at: int, context: int, total_tokens: int) -> tuple[int | None, bool]:
+        """Index of the preference taken, if any, and whether all were exhausted; ``at`` in microseconds."""
         horizon = at - g.USAGE_WINDOW_SECONDS * 1_000_000
         while self.recent and self.recent[0][0] <= horizon:
-            self.recent.popleft()
+            _, model, tokens = self.recent.popleft()
+            self._use(model, -tokens, -1)
         chosen = None
         for i, p in enumerate(self.prefs):
-            used = [n for _, m, n in self.recent if m == p["model"]]
+            tokens, calls = self.used.get(p["model"], (0, 0))
             within = (
                 self.spend.get(p["model"], 0.0) < p["limit"]
                 and context <= p["tpr"]
-                and sum(used) + context <= p["tpm"]
-                and len(used) + 1 <= p["rpm"]
+                and tokens + context <= p["tpm"]
+                and calls + 1 <= p["rpm"]
             )
             if within:
                 chosen = i
                 break
+        if chosen is None and not self.prefs[0].get("held", True):
+            return None, True
         index = 0 if chosen is None else chosen
         p = self.prefs[index]
         self.spend[p["model"]] = self.spend.get(p["model"], 0.0) + total_tokens * p["cost"] / 1e6
         self.recent.append((at, p["model"], total_tokens))
+        self._use(p["model"], total_tokens, 1)
         return index, chosen is None
 
 
@@ -211,8 +227,8 @@ def replay(requests: DataFrame, prefs: list[dict]) -> DataFrame:
                 picked.append(i)
                 spent.append(x)
             out = pdf[names].copy()
-            out["preference"] = pd.array(picked, dtype="int32")
-            out["model"] = [prefs[i]["model"] for i in picked]
+            out["preference"] = pd.array(picked, dtype="Int32")
+            out["model"] = [None if i is None else prefs[i]["model"] for i in picked]
             out["exhausted"] = spent
             yield out
 

@@ -55,8 +55,8 @@ class BudgetState(StatefulProcessor):
             {
                 "tenant": key[0],
                 "request_id": pdf["request_id"].to_numpy(),
-                "preference": pd.array(picked, dtype="int32"),
-                "model": [self.prefs[i]["model"] for i in picked],
+                "preference": pd.array(picked, dtype="Int32"),
+                "model": [None if i is None else self.prefs[i]["model"] for i in picked],
                 "exhausted": drained,
             }
         )

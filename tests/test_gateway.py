@@ -123,6 +123,9 @@ def walk(rows, prefs):
     for tenant, epoch, ts, rid, ctx, n in sorted(rows, key=lambda r: (r[0], r[2], r[3])):
         s = spend.setdefault((tenant, epoch), {})
         pick = next((i for i, p in enumerate(prefs) if s.get(i, 0.0) < p["limit"] and ctx <= p["tpr"]), None)
+        if pick is None and not prefs[0]["held"]:  # the first preference is not configured: none is taken
+            out[rid] = (None, True)
+            continue
         i = 0 if pick is None else pick
         s[i] = s.get(i, 0.0) + n * prefs[i]["cost"] / 1e6
         out[rid] = (i, pick is None)
@@ -199,3 +202,15 @@ def test_catalogue(spark):
     groq = [r for r in rows if r.id == "groq/llama-3.1-8b-instant"]
     assert {r.owned_by for r in groq} == {"groq"} and {r.rpm_limit for r in groq} == {30, 1000} and {r.default_tpm for r in groq} == {100000}
     assert {r.provider for r in ledger.providers(config.load_endpoints(spark)).collect()} == {"groq", "cerebras", "together_ai"}
+
+
+def test_exhausted_preferences_with_an_unknown_first_one(spark):
+    """The reference falls to the first preference by name; if it is not configured the cluster is searched."""
+    name = g.ENDPOINTS[0][1]
+    rows = [("t", 0, dt.datetime(2024, 1, 1, 0, 0, i), i, 10, 1000) for i in range(3)]
+    df = spark.createDataFrame(rows, "tenant string, epoch int, ts timestamp, request_id long, required_context long, total_tokens long")
+    for order, last in (([name], 0), (["unknown/model", name], None)):
+        prefs = budget.preference_rows(order, g.ENDPOINTS, {name: 1e-9})
+        for form in (budget.route_by_preference, budget.replay):
+            got = {r.request_id: (r.preference, r.model, r.exhausted) for r in form(df, prefs).collect()}
+            assert got == {0: (0, name, False), 1: (last, name if last == 0 else None, True), 2: (last, name if last == 0 else None, True)}
