@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -26,7 +26,7 @@ _powers: dict[int, np.ndarray] = {}
 def _table(base: int, n: int) -> np.ndarray:
     """The powers 0 to n - 1 at least, modulo 2**64."""
     if base not in _powers or len(_powers[base]) < n:
-        size = 1 << max(22, int(n).bit_length())
+        size = 1 << max(20, int(n).bit_length())
         row = np.full(size, base, U)
         row[0] = 1
         _powers[base] = np.multiply.accumulate(row)

@@ -33,7 +33,7 @@ WINDOW = 10
 #: Windows searched in one pass over the index; the chunk travels to every task (about 16 MB).
 CHUNK_WINDOWS = 150_000
 #: Text of one index segment.
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 2 << 20
 _WORD = np.zeros(256, bool)
 _WORD[0x30:0x3A] = _WORD[0x41:0x5B] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
 

@@ -32,7 +32,7 @@ from .arrow import LOWER_VALUE, Prefix, U, binary, flat, mix, row_slices, word_b
 from .graph import components
 
 #: Signatures that a task holds before it sends them on.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 #: Sets of up to so many different shingles use one group of cells.
 SMALL_DISTANCE = 3
 _WORD = np.ones(256, bool)

@@ -36,9 +36,9 @@ SMALL = 64
 #: Tasks whose open bins are packed together.
 TAIL_PARTS = 32
 #: Words that a task remembers before it starts anew.
-MEMORY_WORDS = 1 << 20
+MEMORY_WORDS = 1 << 18
 #: Text encoded at once.
-ENCODE_BYTES = 8 << 20
+ENCODE_BYTES = 2 << 20
 # Kinds of bytes: 0 white space, 1 letter, 2 digit, 3 punctuation, 4 anything else.
 _KIND = np.full(256, 4, np.uint8)
 _KIND[[9, 10, 13, 32]] = 0

@@ -143,7 +143,7 @@ class Grammar:
     def kind(self, word: str) -> tuple:
         """(counts of an insult or None, threat, target, negation, report) of a word."""
         if word not in self.known:
-            if len(self.known) > 500_000:
+            if len(self.known) > 100_000:
                 self.known.clear()
             self.known[word] = (self.lexicon.find(word), word in THREATS, word in TARGETS, word in NEGATIONS, word in REPORTS)
         return self.known[word]
