@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise, ship, slices
-from .arrow import LOWER_VALUE, Prefix, U, binary, flat, mix, row_slices, word_bounds
+from .arrow import LOWER_VALUE, Prefix, U, binary, flat, mix, packed_texts, row_slices, unpacked, word_bounds
 from .graph import components
 
 #: Signatures that a task holds before it sends them on.
@@ -220,12 +220,14 @@ def _meet(table: pa.Table) -> pa.Table:
 
 def _set_rows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in row_slices(batches, "text"):
-            sets = [s.view(np.int64) for s in shingle_sets(batch.column(1), width)]
-            sizes = np.cumsum([0] + [len(s) for s in sets])
-            values = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(values, pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["fp", "shingles"])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                texts = pa.array([unpacked(b).decode("utf-8", "replace") for b in part.column(1).to_pylist()], pa.large_string())
+                sets = [s.view(np.int64) for s in shingle_sets(texts, width)]
+                sizes = np.cumsum([0] + [len(s) for s in sets])
+                lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(sets), pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["fp", "shingles"])
 
     return run
 
@@ -332,7 +334,8 @@ def link_components(
 
     classes = proposed.selectExpr("a AS fp").unionByName(proposed.selectExpr("b AS fp")).distinct()
     wanted = sizes.join(classes, "fp").select("doc_key", "fp")
-    texts = keyed.select("doc_key", "text").join(wanted, "doc_key").select("fp", "text")
+    bodies = keyed.select("doc_key", "text").mapInArrow(packed_texts, "doc_key bigint, body binary")
+    texts = bodies.join(wanted, "doc_key").select("fp", "body")
     sets = materialise(texts.mapInArrow(_set_rows(width), "fp bigint, shingles array<bigint>").dropDuplicates(["fp"]), "shingle-sets")
 
     reach = materialise(_reach(sets, num, den), "reach")

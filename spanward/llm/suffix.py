@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise, ship, slices
-from .arrow import Prefix, U, binary, flat, mix, row_slices
+from .arrow import Prefix, U, binary, flat, mix, packed_texts, row_slices, unpacked
 
 LENGTH = 200
 ANCHOR = 48
@@ -256,7 +256,7 @@ def _find_strings(length: int, buckets: int):
                 if not len(first):
                     continue
                 starts = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                prefix = Prefix(np.frombuffer(_unzip(body), np.uint8))
+                prefix = Prefix(np.frombuffer(unpacked(body), np.uint8))
                 parts.append((prefix.hashes(starts, starts + length), np.full(len(starts), len(docs)), (starts << 1) | np.repeat(flags & OPEN > 0, n)))
                 docs.append(key)
                 held += len(starts)
@@ -279,24 +279,6 @@ def _meet_strings(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([doc_keys, doc[hit]]), np.concatenate([values, value[hit] >> 1])
 
 
-def _zip(text: pa.Array) -> list[bytes]:
-    import zstandard
-
-    pack = zstandard.ZstdCompressor(level=1).compress
-    return [pack(t.encode()) if t else pack(b"") for t in text.to_pylist()]
-
-
-def _unzip(body: bytes) -> bytes:
-    import zstandard
-
-    return zstandard.ZstdDecompressor().decompress(body)
-
-
-def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in row_slices(batches, "text"):
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_zip(batch.column(1)), pa.binary())], ["doc_key", "body"])
-
-
 def removal_mask(size: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     depth = np.zeros(size + 1, np.int64)
     np.add.at(depth, starts, 1)
@@ -318,7 +300,7 @@ def _finish(length: int, keep_text: bool):
         for batch in batches:
             rows = []
             for key, body, runs, hits in zip(*[batch.column(i).to_pylist() for i in range(4)]):
-                data = np.frombuffer(_unzip(body), np.uint8)
+                data = np.frombuffer(unpacked(body), np.uint8)
                 first, n, flags = _runs(np.array(runs, np.int64))
                 done = flags & SETTLED > 0
                 single = np.array(hits or [], np.int64)
@@ -354,7 +336,7 @@ def repeats(keyed: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, keep_t
         return materialise(rows.groupBy("target").applyInArrow(_arrived, "doc_key bigint, found array<bigint>").withColumnRenamed("found", name), name)
 
     runs = met(keyed.mapInArrow(_find_anchors(length, anchor, n), PACKED), _meet_anchors, "runs")
-    bodies = keyed.mapInArrow(_bodies, "doc_key bigint, body binary")
+    bodies = keyed.mapInArrow(packed_texts, "doc_key bigint, body binary")
     affected = materialise(bodies.join(runs, "doc_key"), "affected")
     hits = met(affected.mapInArrow(_find_strings(length, n), PACKED), _meet_strings, "hits")
     whole = affected.join(hits, "doc_key", "left").select("doc_key", "body", "runs", "hits")
