@@ -8,7 +8,9 @@ n1 * (k2 + 1) > k, some group differs in k2 cells at most, so similar sets share
 Equal sets are one class from the start. Signatures meet in hash buckets as packed arrays: a task keeps the smallest
 class of each of its signatures and proposes pairs of it with the others, and the bucket does the same with what the
 tasks send, so a signature that a third of all documents share is a row per task and nobody forms all pairs. Proposed
-pairs that can be similar by their sizes are checked exactly. Where a proposed pair fails, members of that signature may be linked in other ways; those are found by their differences from a centre (``_past_failures``).
+pairs that can be similar by their sizes are checked exactly. Where a proposed pair fails, by its sizes or by the check,
+members of that signature may be linked in other ways; those are found by their differences from a centre
+(``_past_failures``).
 
 Defined cases: null or empty text, or text without words, has an empty set and is linked with nothing; repeated rows
 are documents of their own; null ids are carried and never name a component unless all are null; no rows give no
@@ -327,10 +329,9 @@ def link_components(
 
     packed = rows.select("text").mapInArrow(_sign(width, num, den, slices(spark)), "bucket int, pairs boolean, x binary, y binary")
     met = packed.groupBy("bucket").applyInArrow(_meet, "a bigint, b bigint, n bigint")
-    proposed = met.groupBy("a", "b").agg(F.sum("n").alias("n"))
-    sizes = meta.where("fp IS NOT NULL").groupBy("fp").agg(F.min("n").alias("n"), F.min("doc_key").alias("doc_key"))
-    near = proposed.join(sizes.selectExpr("fp AS a", "n AS na"), "a").join(sizes.selectExpr("fp AS b", "n AS nb"), "b")
-    proposed = materialise(near.where(f"{den} * least(na, nb) >= {num} * greatest(na, nb)").select("a", "b", "n"), "proposed")
+    # all of them, whatever their sizes: a star edge between sets that cannot be similar still leads to those that can
+    proposed = materialise(met.groupBy("a", "b").agg(F.sum("n").alias("n")), "proposed")
+    sizes = meta.where("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_key").alias("doc_key"))
 
     classes = proposed.selectExpr("a AS fp").unionByName(proposed.selectExpr("b AS fp")).distinct()
     wanted = sizes.join(classes, "fp").select("doc_key", "fp")
@@ -361,9 +362,9 @@ def link_components(
 def _past_failures(proposed: DataFrame, labels: DataFrame, reach: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of different components that can be similar though no proposal joins them.
 
-    Similar classes share a signature, so proposals connect them, passed or failed. Each such group has a centre, the
-    class with most proposals, and a class is its difference from it: two classes differ in as much as their
-    differences do. Those near the centre are linked by it. A class y further away, with d(y) different shingles, can
+    Similar classes share a signature, so proposals connect them, passed, failed or of sizes that do not fit. Each such
+    group has a centre, the class with most proposals, and a class is its difference from it: two classes differ in as
+    much as their differences do. Those near the centre are linked by it. A class y further away, with d(y) different shingles, can
     be similar to x with d(x) <= d(y) only if (d(x) + d(y) - k) / 2 of these are common, k being the most that
     similar sets of their sizes differ in. So they share one of the first few of either in the order from rare to
     common, and large groups of copies that differ too much are told apart by their rarest changes.

@@ -222,6 +222,18 @@ def test_links_equal_brute_force(spark, seed, width, num):
     assert len({c for _, _, c in want}) < len(docs) - 20
 
 
+def test_links_of_nested_texts_equal_brute_force(spark):
+    """Two texts that fit by their sizes can meet only in a star round a third one that does not fit one of them."""
+    rng, docs = random.Random(5), []
+    for family in range(400):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(42)]
+        n = 10 + family % 31
+        docs += [(10 * family + i, " ".join(words[: n + i])) for i in range(3)]
+    for width, num in ((3, 90), (5, 80)):
+        got = jaccard.link_components(docs_of(spark, docs), width, num, 100).select("doc_id", "n_shingles", "component_id")
+        assert sorted([tuple(r) for r in got.collect()], key=str) == brute_components(docs, width, num, 100)
+
+
 def test_links_of_the_tables(spark, data):
     docs = [tuple(r) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()]
     got = queries.QUERIES["op7_ngram_jaccard_join"](spark, data)
