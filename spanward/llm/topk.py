@@ -1,7 +1,7 @@
 """Exact inner-product top-k by norm order and rotated partial sums.
 
-Vectors are laid out by descending length, once. A query whose length times that of a vector is below its k-th score
-so far is done with the rest of that task. For the others the first coordinates after a rotation, the singular vectors
+Vectors are laid out by descending length, once. A query whose length times that of the longest vector of a block is
+below its k-th score so far passes that block over; a reread may bring blocks in any order. For the others the first coordinates after a rotation, the singular vectors
 of a sample, give most of the product, and Cauchy-Schwarz bounds what the other coordinates can add; only vectors that
 could still enter are multiplied exactly, in integers. Every query starts from its k-th score among the longest
 vectors. The rotation and the start only decide how much is pruned: results are exact.
@@ -84,8 +84,8 @@ def _search(sent, k: int):
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)
                 norm = part.column(2).to_numpy()
-                # rows are in descending length within a task
-                live = np.flatnonzero(q_norm * norm[0] * (1 + 1e-9) + 1 >= best.floor)
+                # a task reads several files in any order, so a block can begin with the short end of one of them
+                live = np.flatnonzero(q_norm * norm.max() * (1 + 1e-9) + 1 >= best.floor)
                 if not len(live):
                     continue
                 x, vec = _matrix(part.column(1), width), part.column(0).to_numpy()

@@ -217,6 +217,33 @@ def test_top_k_equals_brute_force(spark, block, monkeypatch):
     assert got == brute_top(small, 10)
 
 
+def test_top_k_over_file_borders(spark, monkeypatch):
+    """A block that begins with short vectors and goes on with long ones, and many small files in one task."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    ids, q = np.array([0]), np.array([[10.0, 0.0]])
+    part = pa.RecordBatch.from_arrays(
+        [pa.array([1, 2]), pa.array([[1.0, 0.0], [900.0, 0.0]]), pa.array([1.0, 900.0])], ["vec_id", "v", "norm"]
+    )
+    sent = SimpleNamespace(value=(ids, q, np.array([5000.0]), np.eye(2), 1))
+    assert [b.to_pydict() for b in topk._search(sent, 1)(iter([part]))] == [{"query_id": [0], "vec_id": [2], "score": [9000]}]
+
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=2 + i % 9) * 4.0 ** rng.integers(0, 5)]) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    monkeypatch.setattr(topk, "SEEDS", 50)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        vectors = topk.integer_vectors(df)
+        got = {tuple(r) for r in topk.top_k(vectors, vectors.where("vec_id % 100 = 0")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == brute_top(rows, 10)
+
+
 def test_top_k_of_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     vectors = topk.integer_vectors(df)
