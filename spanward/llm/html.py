@@ -2,9 +2,13 @@
 
 The standard library's parser streams a page into lines: what stands between two borders of block elements. A line's
 ratio is its characters per tag, links counting against it; ratios are smoothed along the page by a Gaussian, and lines
-above a threshold of their spread are clustered into content. The smallest element that holds nearly all of the
-clusters' text is the content region, and every line of it that is not boilerplate by its element is kept, however
-short: ratios choose the region, they drop nothing inside.
+above a threshold of their spread are clustered into content. The smallest element that holds all lines of the
+clusters is the content region, or the outermost <article> or <main> that does, and every line of it that is not
+boilerplate by its element is kept, however short: ratios choose the region, they drop nothing inside.
+
+An element that is boilerplate by its class or id only, or a form, is not if it holds most of the page's other text: then
+it is a wrapper. One about comments must for that hold all of it, and where an <article> or <main> has text of its own,
+only elements inside it can be wrappers.
 
 Defined cases: null or empty html, and pages without text, give empty text; broken nesting, missing end tags and pages
 that break off are read as far as they go; repeated rows are pages of their own; null ids and urls are kept; no rows
@@ -28,8 +32,8 @@ from .arrow import row_slices
 #: Width of the smoothing, in lines, and share of the spread of ratios that a content line needs.
 SIGMA = 1.0
 THRESHOLD = 0.5
-#: Share of the clusters' text that the region must hold.
-MASS = 0.85
+#: Share of a page's text that makes a marked element a wrapper.
+WRAPPER = 0.5
 
 # Elements by their role in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -58,6 +62,7 @@ class _Lines(HTMLParser):
         self.stack: list[tuple[str, int, bool]] = []  # name, number, boilerplate from here on
         self.lines: list[tuple[str, int, int, tuple[int, ...], bool]] = []
         self.names: dict[int, str] = {}
+        self.blamed: dict[int, bool] = {}  # boilerplate by themselves; true: unless they are wrappers
         self.text: list[str] = []
         self.tags = self.links = self.made = 0
 
@@ -103,7 +108,12 @@ class _Lines(HTMLParser):
                         self._pop_to(i)
                         break
         self.made += 1
-        bad = bool(self.stack) and self.stack[-1][2] or tag in BOILERPLATE or (tag not in ("html", "body", "main") and _marked(attrs))
+        plain = tag not in ("html", "body", "main")
+        if plain and _hidden(attrs) or tag in BOILERPLATE and tag != "form":
+            self.blamed[self.made] = False
+        elif tag == "form" or plain and _marked(attrs):
+            self.blamed[self.made] = True
+        bad = bool(self.stack) and self.stack[-1][2] or self.made in self.blamed
         self.names[self.made] = tag
         if _about_comments(attrs):
             self.names[self.made] = "comments"
@@ -149,11 +159,16 @@ def _words(attrs) -> list[str]:
     return out
 
 
-def _marked(attrs) -> bool:
-    """Boilerplate by class, id, role or being hidden."""
+def _hidden(attrs) -> bool:
+    """Boilerplate by role or being hidden."""
     given = {n: v for n, v in attrs}
     hidden = "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in (given.get("style") or "").replace(" ", "")
-    return hidden or (given.get("role") or "").lower() in ROLES or any(w in MARKS for w in _words(attrs))
+    return hidden or (given.get("role") or "").lower() in ROLES
+
+
+def _marked(attrs) -> bool:
+    """Boilerplate by class or id."""
+    return any(w in MARKS for w in _words(attrs))
 
 
 def _about_comments(attrs) -> bool:
@@ -167,6 +182,23 @@ def _smooth(values: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(padded, kernel / kernel.sum(), mode="valid")
 
 
+def _fair(page: _Lines) -> np.ndarray:
+    """Lines that stand in no boilerplate; a marked element that holds most of the text is a wrapper."""
+    around = [[e for e in line[3] if e in page.blamed] if line[4] else [] for line in page.lines]
+    open_ = [i for i, blamed in enumerate(around) if all(page.blamed[e] for e in blamed)]
+    held: dict[int, int] = {}
+    for i in open_:
+        for e in around[i]:
+            held[e] = held.get(e, 0) + len(page.lines[i][0])
+    total = sum(len(page.lines[i][0]) for i in open_)
+    wrappers = {e for e, n in held.items() if (n == total if page.names[e] == "comments" else n > WRAPPER * total)}
+    said = {e for e, name in page.names.items() if name in ("article", "main")}
+    if any(not blamed and said.intersection(line[3]) for blamed, line in zip(around, page.lines)):  # what stands outside it is no wrapper
+        inside = {e for line, blamed in zip(page.lines, around) for e in blamed if said.intersection(line[3][: line[3].index(e)])}
+        wrappers &= inside
+    return np.array([all(e in wrappers for e in blamed) for blamed in around], bool)
+
+
 def main_text(html: str | None) -> str:
     """The lines of the content region, joined by an empty line."""
     if not html:
@@ -174,7 +206,7 @@ def main_text(html: str | None) -> str:
     page = _Lines()
     page.whole(html)
     lines = page.lines
-    fair = np.array([not bad for *_, bad in lines], bool)
+    fair = _fair(page)
     if not fair.any():
         return ""
     size = np.array([len(text) - min(links, len(text)) for text, _, links, *_ in lines], float)
@@ -183,20 +215,15 @@ def main_text(html: str | None) -> str:
     content = fair & (smooth >= THRESHOLD * smooth.std()) & (size > 0)
     if not content.any():
         content = fair
-    mass: dict[int, float] = {}
-    depth: dict[int, int] = {}
+    shared: tuple[int, ...] | None = None  # elements that hold all lines of the clusters, outermost first
     for i in np.flatnonzero(content):
-        for d, element in enumerate(lines[i][3]):
-            mass[element] = mass.get(element, 0) + max(size[i], 1)
-            depth[element] = d
-    total = sum(max(size[i], 1) for i in np.flatnonzero(content))
+        own = lines[i][3]
+        shared = own if shared is None else tuple(e for e, other in zip(shared, own) if e == other)
     # paragraphs of one text are siblings: the region is not a paragraph but what holds it
     inner = {"p", "li", "td", "tr", "tbody", "table", "ul", "ol", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "dd", "dl", "dt", "figure", "figcaption"}
-    held = [e for e in mass if mass[e] >= MASS * total and page.names[e] in BLOCK - inner | {"comments"}]
-    region = max(held, key=lambda e: depth[e], default=None)
-    for e in held:  # an element that says it is the content is not narrowed further
-        if page.names[e] in ("article", "main"):
-            region = e
+    held = [e for e in shared if page.names[e] in BLOCK - inner | {"comments"}]
+    said = [e for e in held if page.names[e] in ("article", "main")]  # it says it is the content: not narrowed further
+    region = said[0] if said else held[-1] if held else None
     return "\n\n".join(text for i, (text, _, _, around, _) in enumerate(lines) if fair[i] and (region is None or region in around))
 
 

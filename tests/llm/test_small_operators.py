@@ -174,6 +174,22 @@ def test_html_pages(spark):
     assert html.main_text(deep) == "deep text" and html.main_text("<p>" + "x" * 500_000) == "x" * 500_000
 
 
+def test_html_regions_lose_no_part():
+    """Parts outside the element with most of the text, and marks on what holds the page."""
+    body = "".join(f"<p>A sentence of the body with a number of words, {i}.</p>" for i in range(20))
+    text = "\n\n".join(f"A sentence of the body with a number of words, {i}." for i in range(20))
+    menu, lead = "<nav><a href=x>menu</a></nav>", "A lead that sums up what the text says in some words."
+    top = f"Title of it\n\n{lead}\n\n"
+    assert html.main_text(f"<body>{menu}<div><div><h1>Title of it</h1><p>{lead}</p></div><div>{body}</div></div></body>") == top + text
+    assert html.main_text(f"<body>{menu}<div>{body}</div><div><p>{lead}</p></div></body>") == f"{text}\n\n{lead}"
+    assert html.main_text(f"<body>{menu}<main><h1>Title of it</h1><p>{lead}</p><article>{body}</article></main></body>") == top + text
+    for wrapper in ("div class='with-sidebar'", "div class='no-sidebar'", "div id='search-page'", "form action=x", "div class='no-comments'"):
+        page = f"<body>{menu}<{wrapper}><div>{body}</div><div class='sidebar'><p>others</p></div></{wrapper.split()[0]}></body>"
+        assert html.main_text(page) == text, wrapper
+    comments = "<section class='comments'>" + body * 3 + "</section>"
+    assert html.main_text(f"<body>{menu}<div>{body}</div>{comments}</body>") == text
+
+
 def test_html_of_the_tables(spark, data):
     """The generator's pages: the article's blocks, whatever surrounds them."""
     import html as entities
