@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import pii
 from ..operators.detect import Policy, catalogue_detectors
-from ..session import fresh_path, materialise
+from ..session import fresh_path
 from ..streaming import budget, feeds, guard, usage
 from . import gateway, privacy, sqltext as q
 
@@ -48,13 +48,11 @@ def stream_guard(spark, sf):
 
 
 def stream_budget(spark, sf):
-    stored = materialise(
-        gateway.requests(spark, sf).select("tenant", "epoch", "ts", "request_id", "required_context", "total_tokens"), "requests"
-    )
-    path = stored.inputFiles()[0].rsplit("/", 1)[0]
-    stream = feeds.read_stream(spark, path, stored.schema)
-    prefs = gateway._preferences(gateway.PREFERRED, gateway.LIMITS)
-    return feeds.to_table(budget.stream_budget(stream, prefs)).drop("batch")
+    requests = gateway.requests(spark, sf).select("tenant", "epoch", "ts", "request_id", "required_context", "total_tokens")
+    path = fresh_path(spark, "requests-files")
+    requests.repartition(PARTS, F.expr("xxhash64(request_id)")).write.parquet(path)
+    stream = feeds.read_stream(spark, path, requests.schema, files_per_batch=1)
+    return budget.settled_budget(stream, gateway._preferences(gateway.PREFERRED, gateway.LIMITS))
 
 
 QUERIES = {fn.__name__: fn for fn in (stream_usage, stream_counters, stream_latest, stream_guard, stream_budget)}

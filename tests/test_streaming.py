@@ -77,3 +77,20 @@ def test_budget_stream_equals_replay(spark, tmp_path):
     got = {r.request_id: (r.preference, r.exhausted) for r in out.collect()}
     want = {r.request_id: (r.preference, r.exhausted) for r in budget.replay(df, prefs).collect()}
     assert got == want and len(got) == 120
+
+
+def test_budget_of_unordered_batches_loses_nothing(spark, tmp_path):
+    rows = [
+        (f"t{j % 3}", j // 60, T0 + dt.timedelta(seconds=11 * j), j, [100, 9000, 60000][j % 3], 100 + 7 * j)
+        for j in [(i * 79) % 120 for i in range(120)]
+    ]
+    df = spark.createDataFrame(rows, "tenant string, epoch int, ts timestamp, request_id long, required_context long, total_tokens long")
+    names = [g.ENDPOINTS[i][1] for i in (0, 1, 2)]
+    prefs = budget.preference_rows(names, g.ENDPOINTS, dict(zip(names, [0.0002, 0.0001, 0.01])))
+    want = {r.request_id: (r.preference, r.exhausted) for r in budget.replay(df, prefs).collect()}
+    for parts in (1, 4):
+        path = split_files(df, tmp_path / f"in{parts}", parts)
+        live = feeds.to_table(stream_budget.stream_budget(feeds.read_stream(spark, path, df.schema, 1), prefs))
+        assert sorted(r.request_id for r in live.collect()) == list(range(120))
+        settled = stream_budget.settled_budget(feeds.read_stream(spark, path, df.schema, 1), prefs)
+        assert {r.request_id: (r.preference, r.exhausted) for r in settled.collect()} == want
