@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from ..schemas import ENTITIES_DDL, ENTITY
 from .regex import jvm_pattern, may_match_sql, sql_literal
 
 NO_ENTITIES = f"cast(array() as {ENTITIES_DDL})"
+#: Stands round matches while a text is cut; texts that hold it themselves are searched twice instead.
+MARK = "\\u0001"
 _RAW = "array<struct<start:int,end:int,value:string>>"
 
 
@@ -32,6 +35,11 @@ def name(column: str) -> str:
     return "`" + column.replace("`", "``") + "`"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _fold(text: str, pattern: str, item: str, empty: str) -> str:
     """Matches with their offsets; ``item`` builds one from begin, finish and p.value.
 
@@ -58,8 +66,13 @@ def _fold(text: str, pattern: str, item: str, empty: str) -> str:
             'pos', {begin} + coalesce({width}, 0),
             'out', CASE WHEN p.value IS NULL THEN acc.out ELSE concat(acc.out, array({made})) END),
         acc -> acc.out)"""
-    pieces = f"""zip_with(split({text}, {jvm}, -1), regexp_extract_all({text}, {jvm}, 0),
+    twice = f"""zip_with(split({text}, {jvm}, -1), regexp_extract_all({text}, {jvm}, 0),
         (g, v) -> named_struct('gap', char_length(g), 'value', v))"""
+    # gap, match, gap, ... of a text in which every match stands between two marks: the pattern runs once
+    pair = "named_struct('gap', char_length(get(cut, i)), 'value', get(cut, i + 1))"
+    marked = f"split(regexp_replace({text}, {jvm}, '{MARK}$0{MARK}'), '{MARK}', -1)"
+    once = f"get(transform(array({marked}), cut -> transform(sequence(0, size(cut) - 1, 2), i -> {pair})), 0)"
+    pieces = f"CASE WHEN contains({text}, '{MARK}') THEN {twice} ELSE {once} END"
     return f"""CASE WHEN {may_match_sql(text, pattern)}
         THEN get(transform(array({pieces}), ps -> flatten(transform({placed}, k -> {one_chunk}))), 0) ELSE {empty} END"""
 
@@ -93,7 +106,8 @@ def sort_by_start(column: str) -> Column:
 
 
 def resolve_sql(entities: str, target: str | None = None) -> str:
-    """Left fold over spans in start order, keeping at most one of two that overlap.
+    """Left fold over spans in start order, keeping at most one of two that overlap, in chunks of about the square root of
+    their number.
 
     The target label wins over others; between equals the strictly longer one replaces
     the last kept; else the newcomer is dropped.
@@ -104,11 +118,17 @@ def resolve_sql(entities: str, target: str | None = None) -> str:
     if target is not None:
         mine, its = f"coalesce(e.label = lower({target}), false)", f"coalesce({last}.label = lower({target}), false)"
         aimed = f"WHEN {mine} AND NOT {its} THEN {swapped} WHEN {its} AND NOT {mine} THEN kept"
-    return f"""aggregate({sort_sql(entities)}, {NO_ENTITIES}, (kept, e) -> CASE
-        WHEN size(kept) = 0 OR e.start >= {last}.end THEN concat(kept, array(e))
+    step = f"""CASE WHEN size(kept) = 0 OR e.start >= {last}.end THEN concat(kept, array(e))
         {aimed}
         WHEN e.end - e.start > {last}.end - {last}.start THEN {swapped}
-        ELSE kept END)"""
+        ELSE kept END"""
+    # only the last kept span can still change: a chunk starts with it and gives the others away
+    one_chunk = f"get(transform(array(aggregate(ch, acc.last, (kept, e) -> {step})), kept -> named_struct('done', concat(acc.done, array(slice(kept, 1, size(kept) - 1))), 'last', slice(kept, -1, 1))), 0)"
+    nothing = f"named_struct('done', cast(array() AS array<{ENTITIES_DDL}>), 'last', {NO_ENTITIES})"
+    width = "cast(ceil(sqrt(size(es))) AS int)"
+    chunks = f"transform(sequence(0, (size(es) - 1) div {width}), c -> slice(es, cast(c AS int) * {width} + 1, {width}))"
+    folded = f"CASE WHEN size(es) = 0 THEN es ELSE aggregate({chunks}, {nothing}, (acc, ch) -> {one_chunk}, acc -> concat(flatten(acc.done), acc.last)) END"
+    return f"get(transform(array({sort_sql(entities)}), es -> {folded}), 0)"
 
 
 def resolve(column: str, target: str | None = None) -> Column:
@@ -132,33 +152,56 @@ def mask_token(label: Column) -> Column:
 def replace_spans(text: Column, spans: Column, token) -> Column:
     """Struct of the new text and the given spans at their new offsets.
 
-    ``spans`` must be sorted and free of overlaps; ``token(span)`` gives the substitute, and
-    null leaves that span as it is.
+    ``spans`` must be sorted and free of overlaps; ``token(span)`` gives the substitute, and null leaves that span as it
+    is. Offsets count characters, so cutting at one reads the text up to there: spans are taken in chunks of about the
+    square root of their number, each on its own piece of the text.
     """
-    state = F.expr(
-        f"named_struct('parts', cast(array() as array<string>), 'last', 0, 'shift', 0, 'spans', {NO_ENTITIES})"
-    )
+    no_spans = no_entities()
+    width = F.ceil(F.sqrt(F.size(spans))).cast("int")
 
-    def step(acc, e):
-        new = F.coalesce(token(e), e["value"])
-        begin = e["start"] + acc["shift"]
-        moved = entity(e["label"], begin, begin + F.char_length(new), e["score"], new)
-        gap = F.substring(text, acc["last"] + 1, e["start"] - acc["last"])
-        return F.struct(
-            F.concat(acc["parts"], F.array(gap, new)).alias("parts"),
-            e["end"].alias("last"),
-            (acc["shift"] + F.char_length(new) - (e["end"] - e["start"])).alias("shift"),
-            F.concat(acc["spans"], F.array(moved)).alias("spans"),
-        )
+    def chunk(c):
+        own = F.slice(spans, c * width + 1, width)
+        begin = F.when(c == 0, F.lit(0)).otherwise(F.get(spans, c * width - 1)["end"])
+        piece = F.substring(text, begin + 1, F.element_at(own, -1)["end"] - begin)
+        return F.struct(own.alias("own"), begin.alias("begin"), piece.alias("piece"))
+
+    def replaced(ch):
+        start = F.struct(F.array().cast("array<string>").alias("parts"), ch["begin"].alias("last"), F.lit(0).alias("shift"), no_spans.alias("spans"))
+
+        def step(acc, e):
+            def put(new):
+                begin = e["start"] + acc["shift"]
+                gap = F.substring(ch["piece"], acc["last"] - ch["begin"] + 1, e["start"] - acc["last"])
+                return F.struct(
+                    F.concat(acc["parts"], F.array(gap, new)).alias("parts"),
+                    e["end"].alias("last"),
+                    (acc["shift"] + F.char_length(new) - (e["end"] - e["start"])).alias("shift"),
+                    F.concat(acc["spans"], F.array(entity(e["label"], begin, begin + F.char_length(new), e["score"], new))).alias("spans"),
+                )
+
+            return let(F.coalesce(token(e), e["value"]), put)
+
+        return F.aggregate(ch["own"], start, step, lambda acc: F.struct(F.array_join(acc["parts"], "").alias("text"), acc["shift"].alias("shift"), acc["spans"].alias("spans")))
+
+    def join(acc, ch):
+        def moved(e):
+            return entity(e["label"], e["start"] + acc["shift"], e["end"] + acc["shift"], e["score"], e["value"])
 
-    def finish(acc):
-        tail = F.substring(text, acc["last"] + 1, F.char_length(text))
         return F.struct(
-            F.concat(F.array_join(acc["parts"], ""), tail).alias("text"), acc["spans"].alias("spans")
+            F.concat(acc["parts"], F.array(ch["text"])).alias("parts"),
+            (acc["shift"] + ch["shift"]).alias("shift"),
+            F.concat(acc["spans"], F.array(F.transform(ch["spans"], moved))).alias("spans"),
         )
 
-    untouched = F.struct(text.alias("text"), no_entities().alias("spans"))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, state, step, finish)).otherwise(untouched)
+    def finish(acc):
+        last = F.element_at(spans, -1)["end"]
+        tail = F.substring(text, last + 1, F.char_length(text))
+        return F.struct(F.concat(F.array_join(acc["parts"], ""), tail).alias("text"), F.flatten(acc["spans"]).alias("spans"))
+
+    chunks = F.transform(F.sequence(F.lit(0), ((F.size(spans) - 1) / width).cast("int")), lambda c: let(chunk(c), replaced))
+    nothing = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("shift"), F.array().cast(f"array<{ENTITIES_DDL}>").alias("spans"))
+    untouched = F.struct(text.alias("text"), no_spans.alias("spans"))
+    return F.when(F.size(spans) > 0, F.aggregate(chunks, nothing, join, finish)).otherwise(untouched)
 
 
 def lookup(keys: Column, table: dict, default: Column) -> Column:

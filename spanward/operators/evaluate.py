@@ -72,8 +72,11 @@ def match_spans(pairs: DataFrame) -> DataFrame:
             m["iou"].alias("iou"),
         ),
     )
-    fp = F.filter("pred", lambda p, i: F.exists("_m", lambda m: (m["i"] == i) & (m["j"] < 0)))
-    fn = F.filter("truth", lambda t, j: ~F.exists("_m", lambda m: m["j"] == j))
+    alone = F.sort_array(F.transform(F.filter("_m", lambda m: m["j"] < 0), lambda m: m["i"]))
+    fp = F.transform(alone, lambda i: F.element_at("pred", i + 1))
+    places = F.when(F.size("truth") > 0, F.sequence(F.lit(0), F.size("truth") - 1)).otherwise(F.array().cast("array<int>"))
+    missed = F.array_except(places, F.transform(hits, lambda m: m["j"]))
+    fn = F.transform(missed, lambda j: F.element_at("truth", j + 1))
     return out.withColumns({"matched": matched, "false_positives": fp, "false_negatives": fn}).drop("_m")
 
 

@@ -1,28 +1,36 @@
 """Texts of a test set that are too similar to a training text.
 
-An exact set-similarity join. Tokens are ordered by how many test texts hold them, tokens
-unknown to the test set first; two sets above the threshold share a token among the first few
-of this order. A training text that is mostly foreign to the test set thus emits nothing.
-Copies count once, and training texts are taken in growing blocks: as only the first match of a
-test text is asked for, a test text leaves as soon as it has one, so that a large group of
-near-copies on both sides never meets in full.
+An exact set-similarity join over posting lists. Tokens of the test set are ordered by how many test texts hold them; two
+sets above the threshold share a token among the first few of the test text, its prefix. A training text sends a token
+only if it may be in some prefix, which a bitmap of bounded size tells before anything is shuffled; candidates alone are
+compared in full, by their tokens.
+
+Posting lists of tokens with more than a ten-thousandth of all postings are dealt over shards by the training text's
+id, and the test postings of such a token are repeated for each shard: there are at most ten thousand of them, which
+bounds what is broadcast. Copies among test texts count once, and training texts are taken in growing blocks: as only the
+first match of a test text is asked for, a test text leaves as soon as it has one, so that a large group of near-copies
+on both sides never meets in full.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog.factory import LEAKAGE_JACCARD
-from ..functions.regex import words
+from ..functions.members import bitmap, maybe_members
+from ..functions.regex import NOT_SPACE, words
 from ..functions.scale import SLICE, sliced
-from ..functions.spans import flatten
+from ..functions.spans import flatten, let
 from ..session import materialise, slices
 
 #: Shares of the training slices that each block ends at.
 BLOCKS = (1 / 64, 1 / 8, 1.0)
+#: A token is hot beyond this share of all postings, so no more tokens than its inverse can be.
+HOT_SHARE = 1 / 10_000
 
 
 def token_set(text: Column) -> Column:
@@ -30,18 +38,13 @@ def token_set(text: Column) -> Column:
 
 
 def _sets(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    return (
-        df.select(F.col(id_col).alias("id"), token_set(F.col(text)).alias("tokens"))
-        .withColumn("n", F.size("tokens"))
-        .filter("n > 0")
-        .withColumn("print", F.sha2(F.array_join(F.sort_array("tokens"), " "), 256))
-    )
-
+    """(id, tokens, n) of texts with tokens.
 
-def _first_copies(sets: DataFrame) -> DataFrame:
-    """One row per distinct token set, under its smallest id; only ids and prints are grouped."""
-    first = sets.groupBy("print").agg(F.min("id").alias("id"))
-    return sets.join(first.select("id"), "id", "left_semi")
+    Filters look at the text and never at tokens: the optimizer would push them, and the cutting into tokens with them,
+    below joins and ahead of any dealing out of rows.
+    """
+    rows = df.where(F.col(text).rlike(NOT_SPACE)).select(F.col(id_col).alias("id"), token_set(F.col(text)).alias("tokens"))
+    return rows.withColumn("n", F.size("tokens"))
 
 
 def _prefix_length(n: Column, threshold: float) -> Column:
@@ -58,28 +61,22 @@ def leakage(
     threshold: float = LEAKAGE_JACCARD,
 ) -> DataFrame:
     """(test_id, train_id, overlap): the first training text, by id, above the threshold."""
-    test_sets = materialise(_sets(test, test_id, test_text), "test-sets")
-    known = materialise(_first_copies(test_sets), "test-first")
+    printed = F.unhex(F.sha2(F.array_join(F.sort_array("tokens"), " "), 256))
+    test_sets = materialise(_sets(test, test_id, test_text).withColumn("print", printed), "test-sets")
+    first = test_sets.groupBy("print").agg(F.min("id").alias("id"))
+    known = materialise(test_sets.join(first.select("id"), "id", "left_semi").select("id", "n", "tokens"), "test-first")
     bounds = known.agg(F.min("n"), F.max("n")).first()
     low, high = bounds[0] or 0, bounds[1] or 0
 
-    vocab = flatten(known, "tokens", "token").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    vocab = materialise(vocab, "vocabulary")
-
-    fits = (F.col("n") > low * threshold) & (F.col("n") * threshold < high)
-    train_sets = _sets(train, train_id, train_text).filter(fits)
-    related = materialise(_ranked(train_sets, vocab, threshold), "train-related")
-    ranked_train = materialise(_first_copies(related), "train-ranked")
-    ranked_test = materialise(_ranked(known, vocab, threshold), "test-ranked")
+    lists = materialise(test_postings(known, threshold), "test-postings")
+    postings = train_postings(train, train_id, train_text, lists, lambda n: (n > low * threshold) & (n * threshold < high))
+    postings = materialise(postings, "train-postings")
+    hot = materialise(hot_tokens(postings), "hot-tokens")
 
-    blocks = sliced(ranked_train, [], ["id"])  # slices of ascending ids of any type
-    n, start = slices(test.sparkSession), 0
-    open_test, found = ranked_test, None
-    for share in BLOCKS:
-        end = max(start, math.ceil(n * share))
-        block = blocks.filter((F.col(SLICE) >= start) & (F.col(SLICE) < end)).drop(SLICE)
-        start = end
-        hits = materialise(_matches(open_test, block, threshold), "matches")
+    open_test, found = lists, None
+    for block in _blocks(postings):
+        pairs = materialise(candidates(open_test, postings.where(block), hot, threshold), "candidates")
+        hits = materialise(_verified(pairs, known, train, train_id, train_text, threshold), "matches")
         found = hits if found is None else found.unionByName(hits)
         open_test = open_test.join(hits.select("id"), "id", "left_anti")
 
@@ -90,63 +87,81 @@ def leakage(
     )
 
 
-def _ranked(sets: DataFrame, vocab: DataFrame, threshold: float) -> DataFrame:
-    """(id, n, print, known, prefix): tokens known to the test set, rarest first, and those to emit.
+def test_postings(known: DataFrame, threshold: float) -> DataFrame:
+    """(token, id, n, rest): the rarest tokens of each test text and how many are left out.
 
     The regrouping is by text and holds one text's distinct tokens at most.
     """
-    tokens = flatten(sets, "tokens", "token", "id", "n", "print").join(vocab, "token")
-    grouped = tokens.groupBy("id", "n", "print").agg(
-        F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ranked")
-    )
-    emitted = _prefix_length(F.col("n"), threshold) - (F.col("n") - F.size("ranked"))
-    return (
-        grouped.withColumn("emit", emitted)
-        .filter("emit > 0")
-        .select(
-            "id", "n", "print",
-            F.transform("ranked", lambda r: r["token"]).alias("known"),
-            F.slice(F.transform("ranked", lambda r: r["token"]), F.lit(1), F.col("emit")).alias("prefix"),
-        )
-    )
+    tokens = flatten(known, F.transform("tokens", lambda t: F.xxhash64(t)), "token", "id", "n")
+    common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    ranked = tokens.join(common, "token").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ranked"))
+    prefix = F.slice("ranked", F.lit(1), _prefix_length(F.col("n"), threshold))
+    sent = ranked.select("id", "n", (F.col("n") - F.size(prefix)).alias("rest"), F.transform(prefix, lambda r: r["token"]).alias("prefix"))
+    return flatten(sent, "prefix", "token", "id", "n", "rest")
+
+
+def train_postings(train: DataFrame, id_col: str, text: str, lists: DataFrame, fits: Callable[[Column], Column]) -> DataFrame:
+    """(token, id, n) of training texts of fitting sizes, for tokens that may be in some test text's prefix."""
 
+    def sent(tokens: Column) -> Column:
+        n = F.size(tokens)
+        return F.when(fits(n), F.transform(tokens, lambda t: F.struct(F.xxhash64(t).alias("token"), n.alias("n"))))
 
-def _emitted(ranked: DataFrame, side: str) -> DataFrame:
-    """One row per prefix token with its position in the full order."""
-    foreign = F.col("n") - F.size("known")
-    return ranked.select(
-        F.col("id").alias(f"{side}_id"), F.col("n").alias(f"{side}_n"), F.posexplode("prefix").alias("p", "token"),
-        foreign.alias("foreign"),
-    ).select(f"{side}_id", f"{side}_n", "token", (F.col("p") + F.col("foreign")).alias(f"{side}_pos"))
+    rows = flatten(train.select(F.col(id_col).alias("id"), let(token_set(F.col(text)), sent).alias("sent")), "sent", "s", "id")
+    return maybe_members(rows.select("s.token", "id", "s.n"), F.col("token"), bitmap(lists, "token"))
 
 
-def _matches(test: DataFrame, train: DataFrame, threshold: float) -> DataFrame:
-    """First match of each test text in one block.
+def hot_tokens(postings: DataFrame) -> DataFrame:
+    """(token, shards) of the tokens with more than ``HOT_SHARE`` of all postings."""
+    limit = max(1.0, postings.count() * HOT_SHARE)
+    counts = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > limit)
+    return counts.select("token", F.ceil(F.col("c") / limit).cast("int").alias("shards"))
 
-    Counting the shared prefix tokens of a pair bounds its overlap: what comes behind the last
-    of them is at most the shorter rest. Only pairs whose bound reaches the threshold are
-    compared in full.
+
+def _blocks(postings: DataFrame) -> list[Column]:
+    """Conditions on ascending ids of any type, each for a block of slices."""
+    ids = sliced(postings.select("id").distinct(), [], ["id"])
+    last = {r[SLICE]: r.id for r in ids.groupBy(SLICE).agg(F.max("id").alias("id")).collect()}
+    n, begin, out = slices(postings.sparkSession), None, []
+    for share in BLOCKS:
+        ends = [i for s, i in last.items() if s < math.ceil(n * share)]
+        if not ends or (begin is not None and max(ends) == begin):
+            continue
+        inside = F.col("id") <= F.lit(max(ends))
+        out.append(inside if begin is None else inside & (F.col("id") > F.lit(begin)))
+        begin = max(ends)
+    return out or [F.lit(True)]
+
+
+def candidates(lists: DataFrame, postings: DataFrame, hot: DataFrame, threshold: float) -> DataFrame:
+    """(test_id, train_id) of texts that can be similar enough.
+
+    A pair shares the prefix tokens it was found by and at most the rest of the test text.
     """
-    a, b = _emitted(test, "test"), _emitted(train, "train")
-    need = F.lit(threshold / (1 + threshold)) * (F.col("test_n") + F.col("train_n"))
-    rest = F.least(F.col("test_n") - 1 - F.max("test_pos"), F.col("train_n") - 1 - F.max("train_pos"))
-    pairs = (
-        b.join(a, "token")
-        .filter((F.col("train_n") > F.col("test_n") * threshold) & (F.col("test_n") > F.col("train_n") * threshold))
-        .groupBy("test_id", "train_id", "test_n", "train_n")
-        .agg((F.count(F.lit(1)) + rest).alias("bound"))
-        .filter(F.col("bound") > need - 1e-9)
-        .select("test_id", "train_id")
+    shards = F.coalesce("shards", F.lit(1))
+    a = lists.join(F.broadcast(hot), "token", "left").select(
+        "token", F.explode(F.sequence(F.lit(0), shards - 1)).alias("shard"), F.col("id").alias("test_id"), F.col("n").alias("test_n"), "rest"
+    )
+    b = postings.join(F.broadcast(hot), "token", "left").select(
+        "token", F.pmod(F.xxhash64("id"), shards).cast("int").alias("shard"), F.col("id").alias("train_id"), F.col("n").alias("train_n")
     )
-    test_sets = test.select(F.col("id").alias("test_id"), F.col("n").alias("tn"), F.col("known").alias("tk"))
-    train_sets = train.select(F.col("id").alias("train_id"), F.col("n").alias("rn"), F.col("known").alias("rk"))
+    need = F.lit(threshold / (1 + threshold)) * (F.col("test_n") + F.col("train_n"))
+    able = (F.col("train_n") > F.col("test_n") * threshold) & (F.col("test_n") > F.col("train_n") * threshold)
+    pairs = b.join(a, ["token", "shard"]).filter(able).groupBy("test_id", "train_id", "test_n", "train_n", "rest").agg(F.count(F.lit(1)).alias("c"))
+    return pairs.filter(F.col("c") + F.col("rest") > need - 1e-9).select("test_id", "train_id")
+
+
+def _verified(pairs: DataFrame, known: DataFrame, train: DataFrame, id_col: str, text: str, threshold: float) -> DataFrame:
+    """First match of each test text among ``pairs``; only texts in a pair are read into tokens."""
+    able = bitmap(pairs.select(F.xxhash64("train_id").alias("key")), "key")
+    texts = maybe_members(train.select(F.col(id_col).alias("id"), F.col(text).alias("text")), F.xxhash64("id"), able)
+    right = materialise(_sets(texts, "id", "text"), "train-sets").select(F.col("id").alias("train_id"), F.col("n").alias("rn"), F.col("tokens").alias("rk"))
+    left = known.select(F.col("id").alias("test_id"), F.col("n").alias("tn"), F.col("tokens").alias("tk"))
     shared = F.size(F.array_intersect("tk", "rk"))
-    overlap = shared / (F.col("tn") + F.col("rn") - shared)
+    overlap = let(shared, lambda s: s / (F.col("tn") + F.col("rn") - s))
+    compared = materialise(pairs.join(left, "test_id").join(right, "train_id").select("test_id", "train_id", overlap.alias("overlap")), "overlaps")
     return (
-        pairs.join(test_sets, "test_id")
-        .join(train_sets, "train_id")
-        .withColumn("overlap", overlap)
-        .filter(F.col("overlap") > threshold)
+        compared.filter(F.col("overlap") > threshold)
         .groupBy("test_id")
         .agg(F.min(F.struct("train_id", "overlap")).alias("m"))
         .select(F.col("test_id").alias("id"), F.col("m.train_id").alias("train_id"), F.col("m.overlap").alias("overlap"))

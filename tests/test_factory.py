@@ -197,11 +197,10 @@ def test_near_duplicates_follow_the_plain_ratio():
         assert neardup.keep_first(batch, 0.7) == kept
 
 
-@pytest.mark.parametrize("threshold, one_block", [(0.5, True), (0.5, False), (0.2, False), (0.8, True)])
-def test_leakage_equals_all_pairs(spark, monkeypatch, threshold, one_block):
-    """Random texts, copies, near-copies of one text on both sides; blocks on and off."""
-    if not one_block:
-        monkeypatch.setattr(leak, "ONE_BLOCK_ROWS", 0)
+@pytest.mark.parametrize("threshold, shares", [(0.5, (1.0,)), (0.5, (0.25, 0.5, 0.75, 1.0)), (0.2, leak.BLOCKS), (0.8, (1.0,))])
+def test_leakage_equals_all_pairs(spark, monkeypatch, threshold, shares):
+    """Random texts, copies, near-copies of one text on both sides; one block and several."""
+    monkeypatch.setattr(leak, "BLOCKS", shares)
     rng = random.Random(8)
     words = [f"w{i}" for i in range(30)]
     seed = [rng.choice(words) for _ in range(12)]

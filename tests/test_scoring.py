@@ -1,5 +1,6 @@
 """Matching, metrics, tags, weights against plain loops."""
 
+import bisect
 import random
 
 import pytest
@@ -65,6 +66,24 @@ def test_matching_and_painting(spark):
         assert r.c == sum(a == b for a, b in zip(painted(len(text), truth), painted(len(text), pred)))
 
 
+@pytest.mark.parametrize("step, length", [(7, 10), (20, 10), (1, 2)])
+def test_matching_of_very_many_spans(spark, step, length):
+    rng = random.Random(step)
+    truth = [("x", i * step + rng.randint(0, 3), 0, 0.5, "v") for i in range(10_000)]
+    truth = [(a, s, s + length + rng.randint(-1, 3), p, v) for a, s, _, p, v in truth]
+    pred = [(a, s + rng.randint(-2, 2), e + rng.randint(-1, 2), rng.choice([0.5, 0.6, 0.9]), v) for a, s, e, _, v in truth if rng.random() < 0.95]
+    rng.shuffle(pred)
+    row = spark.createDataFrame([("r", 1, "t", "d", truth, pred)], PAIRS_DDL).select(matching.greedy_pairs(F.col("pred"), F.col("truth")).alias("m")).first()
+    starts = sorted((t[1], j) for j, t in enumerate(truth))
+    used, want = set(), {}
+    for i in sorted(range(len(pred)), key=lambda i: -pred[i][3]):
+        near = starts[bisect.bisect_left(starts, (pred[i][1] - 40, -1)) : bisect.bisect_left(starts, (pred[i][2] + 40, -1))]
+        able = [(-iou(pred[i], truth[j]), j) for _, j in near if j not in used and iou(pred[i], truth[j]) >= 0.5]
+        want[i] = min(able)[1] if able else -1
+        used.add(want[i])
+    assert {m.i: m.j for m in row.m} == want
+
+
 def test_metrics(spark):
     rows = random_pairs(200, 4)
     matches = e.match_spans(spark.createDataFrame(rows, PAIRS_DDL))
