@@ -6,7 +6,7 @@ its list without their union; both walk the longer list in galloping steps. Size
 a third of all rows is many ranges, and no list is longer than a range.
 
 Defined cases: a null text is the empty one; a null part is the empty string; repeated rows count one by one; a null id
-is larger than none and smaller than none; a range holds at most ``RANGE`` ids, whatever the number of rows, since equal
+is larger than none and smaller than none and has no label; a range holds at most ``RANGE`` ids, whatever the number of rows, since equal
 rows are counted before lists are made; a document is good (toxic) if any of its labels says so; no rows give no rows;
 other columns are ignored. A text is measured whole and held once.
 """
@@ -26,7 +26,7 @@ from ..session import materialise, ship, small_table
 from .arrow import Prefix, binary, flat, row_slices, word_bounds
 
 #: Ids of one range.
-RANGE = 1 << 15
+RANGE = 1 << 12
 #: Parts whose sums a task holds before it sends them on.
 FLUSH = 512
 _WORD = np.ones(256, bool)
