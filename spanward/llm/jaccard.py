@@ -37,6 +37,8 @@ from .graph import components
 FLUSH = 1_000_000
 #: Sets of up to so many different shingles use one group of cells.
 SMALL_DISTANCE = 3
+#: Below so many shingles a cell, cells sign in groups of three, two at a time: single ones are often empty or common.
+THIN, GROUP = 6, 3
 _WORD = np.ones(256, bool)
 _WORD[[0x20, *range(0x09, 0x0E)]] = False
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], U)
@@ -81,6 +83,8 @@ class Signatures:
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
         self.tops = [1]
+        # shingles a cell would hold in the smallest sets of a band, if each cell signed alone
+        self.grouped = (num + den) * num**2 < THIN * 2 * (den - num) * den**2
 
     def band(self, size: int) -> int:
         while self.tops[-1] < size:
@@ -100,7 +104,8 @@ class Signatures:
         for instance in (band, band + 1):
             k = self.distance(instance)
             if k:
-                out.append(_cells(rows, sums, k) + _times(instance, 4))
+                sign = _groups if self.grouped and k > SMALL_DISTANCE else _cells
+                out.append(sign(rows, sums, k) + _times(instance, 4))
         return mix(np.concatenate(out)) if out else np.zeros(0, U)
 
 
@@ -114,8 +119,37 @@ def _plan(k: int) -> tuple[np.ndarray, list, int]:
     else:
         n = 2 * ((k + 4) // 2)  # n1 groups of n2 = 2 cells with k2 = 1; two cells more than the least number
         choices, spare = [], n - k - 1
-    borders = np.array([(i << 64) // n for i in range(1, n)], U)
-    return borders, choices, spare
+    return _cuts(n), choices, spare
+
+
+def _cuts(n: int) -> np.ndarray:
+    return np.array([(i << 64) // n for i in range(1, n)], U)
+
+
+@lru_cache(maxsize=4096)
+def _group_plan(k: int) -> tuple[np.ndarray, int]:
+    """Cell borders of groups of ``GROUP`` cells, and how many groups more there are than k / 2."""
+    least = k // 2 + 1
+    spare = 2 + least // 8
+    return _cuts(GROUP * (least + spare)), spare
+
+
+def _groups(rows: np.ndarray, sums: np.ndarray, k: int) -> np.ndarray:
+    """The sums of all but one cell of each group.
+
+    At most k / 2 groups of similar sets differ in two cells or more; in the others some choice of all cells but one
+    agrees. A group is poor if all but one of its cells are empty, so that a choice of it may say nothing. A set with no
+    more poor groups than there are spare ones agrees with a similar one in a group that is not poor, by a choice that
+    holds shingles: it signs no empty choices. The few other sets sign all.
+    """
+    borders, spare = _group_plan(k)
+    at = np.concatenate([[0], np.searchsorted(rows, borders), [len(rows)]])
+    cells = np.diff(sums[at])
+    salted = mix(cells + np.arange(1, len(cells) + 1).astype(U) * _FACTORS[0]).reshape(-1, GROUP)
+    full = (at[1:] > at[:-1]).reshape(-1, GROUP)
+    whole = salted.sum(axis=1, dtype=U)[:, None]
+    out, says = whole - salted, full.sum(axis=1)[:, None] - full > 0
+    return out[says] if (~says).any(axis=1).sum() <= spare else out.ravel()
 
 
 def _cells(rows: np.ndarray, sums: np.ndarray, k: int) -> np.ndarray:
@@ -411,10 +445,3 @@ def _past_failures(proposed: DataFrame, labels: DataFrame, reach: DataFrame, set
 def _labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     """``nodes`` (fp) with the label of their component, or their own."""
     return nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"))
-
-
-def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose ends lie in different components."""
-    a, b = labels.selectExpr("node AS a", "label AS la"), labels.selectExpr("node AS b", "label AS lb")
-    joined = pairs.join(a, "a", "left").join(b, "b", "left")
-    return joined.where("coalesce(la, a) <> coalesce(lb, b)").select("a", "b")

@@ -241,17 +241,28 @@ def test_links_of_the_tables(spark, data):
     assert jaccard.link_components(docs_of(spark, [(1, "x")]).limit(0)).count() == 0
 
 
-def test_signatures_miss_no_similar_sets():
+@pytest.mark.parametrize("num, share", [(90, 10), (80, 5), (60, 3)])
+def test_signatures_miss_no_similar_sets(num, share):
     rng = np.random.default_rng(1)
-    make = jaccard.Signatures(90, 100)
-    for size in [9, 10, 11, 19, 20, 25, 38, 39, 60, 148, 500, 1999]:
+    make, met = jaccard.Signatures(num, 100), 0
+    for size in [5, 8, 9, 10, 11, 14, 19, 20, 25, 38, 39, 60, 148, 500, 1999]:
         for _ in range(40):
             a = np.unique(rng.integers(0, 1 << 64, size, dtype=np.uint64))
-            gone, new = rng.integers(0, size // 10 + 1), rng.integers(0, size // 10 + 1)
+            gone, new = rng.integers(0, size // share + 1), rng.integers(0, size // share + 1)
             b = np.unique(np.concatenate([a[gone:], rng.integers(0, 1 << 64, new, dtype=np.uint64)]))
             common = len(np.intersect1d(a, b))
-            if 100 * common >= 90 * (len(a) + len(b) - common) and common < max(len(a), len(b)):
+            if 100 * common >= num * (len(a) + len(b) - common) and common < max(len(a), len(b)):
+                met += 1
                 assert np.intersect1d(make.of(a), make.of(b)).size, (size, gone, new)
+    assert met > 100
+
+
+def test_sets_that_share_nothing_share_no_signature():
+    rng = np.random.default_rng(2)
+    make = jaccard.Signatures(80, 100)
+    own = [make.of(np.unique(rng.integers(0, 1 << 64, size, dtype=np.uint64))) for size in rng.integers(100, 400, 300)]
+    keys, n = np.unique(np.concatenate(own), return_counts=True)
+    assert (n > 1).sum() < 30  # a few sets have so many empty cells that they sign empty choices
 
 
 # -- suffix-array dedup --------------------------------------------------------------------
