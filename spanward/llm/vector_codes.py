@@ -37,7 +37,7 @@ PARTS, ENTRIES, ROUNDS, SCALE = 16, 64, 2, 256
 #: Bytes of components in a chunk, and points in a block.
 CHUNK_BYTES = 1 << 23
 BLOCK = 128
-CHUNKS = "ids array<bigint>, labels array<{label}>, wide boolean, points binary, places binary, low binary, high binary, sums array<binary>"
+CHUNKS = "ids array<bigint>, labels array<{label}>, block int, wide boolean, points binary, places binary, low binary, high binary, sums array<binary>"
 LIMB = 48
 
 
@@ -97,8 +97,8 @@ def _limbs(value: int) -> Iterator[tuple[int, int]]:
     yield place, value
 
 
-def _chunked(parts: int, dim: int, label: pa.DataType):
-    width, size = dim // parts, max(BLOCK, CHUNK_BYTES // (8 * dim))
+def _chunked(parts: int, dim: int, label: pa.DataType, block: int):
+    width, size = dim // parts, max(block, CHUNK_BYTES // (8 * dim))
     limit = narrow_limit(dim)
 
     def chunk(ids: list, labels: list, x: np.ndarray) -> tuple:
@@ -109,18 +109,18 @@ def _chunked(parts: int, dim: int, label: pa.DataType):
             own = slice(p * width, (p + 1) * width)
             order = np.argsort(hilbert_keys(x[:, own] if wide else ints[:, own]), kind="stable").astype(np.int32)
             mine, raw = ints[order, own], x[order, own]
-            at = np.arange(0, len(order), BLOCK)
+            at = np.arange(0, len(order), block)
             places.append(order)
             points.append(raw if wide else mine)
             low.append(np.minimum.reduceat(points[-1], at))
             high.append(np.maximum.reduceat(points[-1], at))
-            sums.append([[str(v) for v in mine[a : a + BLOCK].sum(axis=0)] for a in at] if wide else np.add.reduceat(mine, at))
+            sums.append([[str(v) for v in mine[a : a + block].sum(axis=0)] for a in at] if wide else np.add.reduceat(mine, at))
         packed = ["\n".join(",".join(b) for b in s).encode() for s in sums] if wide else [binary(s) for s in sums]
-        return ids, labels, bool(wide), binary(np.concatenate(points)), binary(np.concatenate(places)), binary(np.concatenate(low)), binary(np.concatenate(high)), packed
+        return ids, labels, block, bool(wide), binary(np.concatenate(points)), binary(np.concatenate(places)), binary(np.concatenate(low)), binary(np.concatenate(high)), packed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.list_(pa.int64()), pa.list_(label), pa.bool_(), *[pa.binary()] * 4, pa.list_(pa.binary())]
-        names = ["ids", "labels", "wide", "points", "places", "low", "high", "sums"]
+        kinds = [pa.list_(pa.int64()), pa.list_(label), pa.int32(), pa.bool_(), *[pa.binary()] * 4, pa.list_(pa.binary())]
+        names = ["ids", "labels", "block", "wide", "points", "places", "low", "high", "sums"]
         ids, labels, rows, held = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
@@ -148,10 +148,9 @@ class Chunk:
 
     def __init__(self, row: dict, parts: int, width: int):
         self.ids, self.labels, self.parts, self.width = row["ids"], row["labels"], parts, width
-        n = len(self.ids)
-        self.starts = np.arange(0, n, BLOCK)
+        n, self.block = len(self.ids), row["block"]
         self.places = np.frombuffer(row["places"], np.int32).reshape(parts, n)
-        wide, blocks = row["wide"], len(self.starts)
+        wide, blocks = row["wide"], -(-n // self.block)
         kind = np.float64 if wide else np.int64
         points, low, high = (np.frombuffer(row[c], kind).reshape(parts, m, width) for c, m in (("points", n), ("low", blocks), ("high", blocks)))
         if wide:
@@ -175,7 +174,7 @@ class Chunk:
         """(block, its points, its shortlist in ascending order)."""
         n = len(self.ids)
         for b, able in enumerate(self.shortlists(p, book)):
-            yield b, slice(b * BLOCK, min((b + 1) * BLOCK, n)), np.flatnonzero(able)
+            yield b, slice(b * self.block, min((b + 1) * self.block, n)), np.flatnonzero(able)
 
 
 def _kernel(points: np.ndarray, entries: np.ndarray) -> np.ndarray:
@@ -263,7 +262,8 @@ def book_digest(books: list) -> str:
 
 
 def compress(
-    vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS, id_col: str = "vec_id", vector: str = "embedding", label: str = "label"
+    vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS, id_col: str = "vec_id", vector: str = "embedding",
+    label: str = "label", block: int = BLOCK,
 ) -> DataFrame:
     """(vec_id, code, error, label_error, codebooks_sha256) of every vector that takes part."""
     if entries > 256:
@@ -285,7 +285,7 @@ def compress(
 
     kind = vectors.schema[label].dataType
     arrow_kind = to_arrow_type(kind)
-    chunks = materialise(rows.mapInArrow(_chunked(parts, dim, arrow_kind), CHUNKS.format(label=kind.simpleString())), "vector-chunks")
+    chunks = materialise(rows.mapInArrow(_chunked(parts, dim, arrow_kind, block), CHUNKS.format(label=kind.simpleString())), "vector-chunks")
     for _ in range(rounds):
         books = averaged(chunks.mapInArrow(_round(books, parts, width), "slot int, place int, limb bigint, n bigint"), books)
     schema = f"vec_id bigint, label {kind.simpleString()}, code string, error bigint"
