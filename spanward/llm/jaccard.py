@@ -33,8 +33,10 @@ from ..session import materialise, ship, slices
 from .arrow import LOWER_VALUE, Prefix, U, binary, flat, mix, packed_texts, row_slices, unpacked, word_bounds
 from .graph import components
 
-#: Signatures that a task holds before it sends them on.
-FLUSH = 1_000_000
+#: Signatures that a task holds before it sends them on, and buckets for each shuffle partition they are sent to: what is
+#: sorted at once is a bucket.
+FLUSH = 500_000
+BUCKETS = 4
 #: Sets of up to so many different shingles use one group of cells.
 SMALL_DISTANCE = 3
 #: Below so many shingles a cell, cells sign in groups of three, two at a time: single ones are often empty or common.
@@ -361,7 +363,7 @@ def link_components(
     keyed = rows.select(row_key("doc_id", "text").alias("doc_key"), "doc_id", "text")
     meta = materialise(keyed.mapInArrow(_meta(width), "doc_key bigint, doc_id bigint, n bigint, fp bigint"), "shingle-meta")
 
-    packed = rows.select("text").mapInArrow(_sign(width, num, den, slices(spark)), "bucket int, pairs boolean, x binary, y binary")
+    packed = rows.select("text").mapInArrow(_sign(width, num, den, BUCKETS * slices(spark)), "bucket int, pairs boolean, x binary, y binary")
     met = packed.groupBy("bucket").applyInArrow(_meet, "a bigint, b bigint, n bigint")
     # all of them, whatever their sizes: a star edge between sets that cannot be similar still leads to those that can
     proposed = materialise(met.groupBy("a", "b").agg(F.sum("n").alias("n")), "proposed")
