@@ -53,3 +53,6 @@ CHARS_PER_TOKEN = 4
 TIER_NUMBER = {"low": 1, "medium": 2, "high": 3}
 UNKNOWN_TIER = 2
 TIER_CLASH_PENALTY = 5.0
+
+# Screening follows the cleaning of all messages, so its events come behind theirs.
+SAFETY_POSITION = 1 << 40

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,29 +88,40 @@ def plan_batches(slots: DataFrame, batch_size: int = f.BATCH_SIZE) -> DataFrame:
     )
 
 
+#: Batches that one task of a top-up plan makes.
+TOPUP_RUN = 10_000
+
+
 def plan_topup(
-    spark: SparkSession,
-    requested: int,
-    produced: int,
+    requested: DataFrame,
+    produced: DataFrame,
     configs: list[tuple[str, str]],
     batch_size: int = f.BATCH_SIZE,
     ratio: float = f.HARD_NEGATIVE_SHARE,
     domains: list[str] | None = None,
     seed: int = 0,
 ) -> DataFrame:
-    """One extra round of batches for what is missing, cycling the labels."""
-    missing = max(0, requested - produced)
+    """One extra round of batches for what is missing, cycling the labels.
+
+    ``requested`` and ``produced`` are rows, one per sample; what is missing is the difference of their numbers, summed in
+    the plan itself: nothing is counted on the driver, and runs of batches are made by as many tasks as it takes.
+    """
+    both = requested.select(F.lit(1).cast("long").alias("n")).unionByName(produced.select(F.lit(-1).cast("long").alias("n")))
+    missing = both.agg(F.greatest(F.coalesce(F.sum("n"), F.lit(0)), F.lit(0)).cast("long").alias("missing"))
+    batches = missing.select("missing", F.ceil(F.col("missing") / batch_size).cast("long").alias("batches")).where("batches > 0")
+    runs = batches.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("batches") - 1, F.lit(TOPUP_RUN).cast("long"))).alias("first"))
+    last = F.least(F.col("first") + TOPUP_RUN, F.col("batches")) - 1
     i = F.col("batch")
     cycle = configs or [(f.NEUTRAL_LABEL, "")]
     at = (F.pmod(i, F.lit(len(cycle))) + 1).cast("int")
     negative = draw(1_000_000, i, seed, "topup") < int(ratio * 1_000_000)
     drawn = pick(domains or f.TRAINING_DOMAINS, i, seed, "topup")
     formats = F.array(*[F.lit(pii.DATA_FORMATS.get(c[0].lower())).cast("string") for c in cycle])
-    return spark.range(math.ceil(missing / batch_size)).withColumnRenamed("id", "batch").select(
+    return runs.repartition("first").select("missing", F.explode(F.sequence("first", last)).alias("batch")).select(
         "batch",
         F.element_at(F.array(*[F.lit(c[0]) for c in cycle]), at).alias("label"),
         F.element_at(F.array(*[F.lit(c[1]) for c in cycle]), at).alias("pattern"),
-        F.least(F.lit(missing) - i * batch_size, F.lit(batch_size)).alias("count"),
+        F.least(F.col("missing") - i * batch_size, F.lit(batch_size)).alias("count"),
         (negative if configs else F.lit(False)).alias("is_hard_negative"),
         F.coalesce(F.element_at(formats, at), drawn).alias("domain"),
     )

@@ -11,6 +11,7 @@ from ..functions.regex import full_pattern
 from ..functions.scale import numbered
 from ..operators import inject as inj
 from ..operators import leakage as leak
+from ..operators import minhash
 from ..operators import evaluate, neardup, quality, slots, tagging, training, values
 from ..operators.detect import exploded
 from ..session import fresh_path, materialise, read_table, read_texts, small_table
@@ -57,9 +58,9 @@ def batch_plan(spark, sf):
 
 def topup_plan(spark, sf):
     """As many samples as documents were asked for; those with a quality label of one were made."""
-    asked = read_table(spark, sf, "documents").count()
-    made = read_table(spark, sf, "labels").filter("quality = 1").count()
-    return slots.plan_topup(spark, asked, made, slots.label_configs(PLAN_LABELS)).select("batch", "label", "count")
+    asked = read_table(spark, sf, "documents")
+    made = read_table(spark, sf, "labels").filter("quality = 1")
+    return slots.plan_topup(asked, made, slots.label_configs(PLAN_LABELS)).select("batch", "label", "count")
 
 
 def value_synthesis(spark, sf):
@@ -249,11 +250,23 @@ def tagged_text(spark, sf):
 
 def leakage(spark, sf):
     """Labelled documents, as the test set, that another document gives away."""
-    docs, labelled = documents(spark, sf), read_table(spark, sf, "labels").select("doc_id")
-    test, train = docs.join(labelled, "doc_id", "left_semi"), docs.join(labelled, "doc_id", "left_anti")
+    test, train = _labelled_and_other(spark, sf)
     return leak.leakage(test, train, "doc_id", "doc_id").withColumn("overlap", F.round("overlap", 6))
 
 
+def _labelled_and_other(spark, sf) -> tuple[DataFrame, DataFrame]:
+    docs, labelled = documents(spark, sf), read_table(spark, sf, "labels").select("doc_id")
+    return docs.join(labelled, "doc_id", "left_semi"), docs.join(labelled, "doc_id", "left_anti")
+
+
+def leakage_likely(spark, sf):
+    """Recall of the banded search against the exact join, per language of the test text."""
+    test, train = _labelled_and_other(spark, sf)
+    exact = leak.leakage(test, train, "doc_id", "doc_id")
+    likely = minhash.likely_leakage(test, train, "doc_id", "doc_id")
+    return minhash.recall(exact, likely, test, "doc_id", "lang").select("lang", "leaked", (F.col("recall") >= 0.9).alias("recalled"))
+
+
 def leakage_benchmark(spark, sf):
     """Benchmark items against all documents, at a low threshold: passages inside longer texts."""
     return leak.leakage(
@@ -330,7 +343,7 @@ QUERIES = {
     for fn in (
         slot_plan, batch_plan, topup_plan, value_synthesis, injected_samples, samples_read_back, samples_quarantined, cross_labelled, sample_validation,
         validation_report, sample_domains, sample_labels, sample_balance, harvested_sentences, near_duplicates,
-        factory_progress, tagged_ingest, tagged_text, leakage, leakage_benchmark, vocab_growth, vocab_labels, bio_tags,
+        factory_progress, tagged_ingest, tagged_text, leakage, leakage_likely, leakage_benchmark, vocab_growth, vocab_labels, bio_tags,
         class_weights, tagger_metrics, curve_summary,
     )
 }
@@ -440,6 +453,9 @@ ORACLES = {
         "SELECT doc_id AS id, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
         f.LEAKAGE_JACCARD,
     ),
+    "leakage_likely": f"""SELECT lang, count(*) AS leaked, true AS recalled FROM documents JOIN (
+        {_leak("SELECT doc_id AS id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)", "SELECT doc_id AS id, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)", f.LEAKAGE_JACCARD)}
+      ) ON test_id = doc_id GROUP BY lang""",
     "leakage_benchmark": _leak("SELECT item_id AS id, text FROM benchmark", "SELECT doc_id AS id, text FROM documents", 0.1),
     "vocab_growth": f"WITH {SAMPLES_SQL}, {_GROWN} SELECT id, tag FROM vocab",
     "vocab_labels": f"""WITH {SAMPLES_SQL}, {_GROWN}, far AS (SELECT CASE WHEN id >= {len(BASE_TAGS)} THEN id + 102 ELSE id END AS id, tag, substring(tag, 3) AS bare FROM vocab WHERE tag <> 'O'),

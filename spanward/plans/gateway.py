@@ -6,9 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import gateway as g
-from ..operators import analysis, budget, failover, ledger, routing, usage
+from ..catalog import pii
+from ..operators import detect as d
+from ..operators import gateway_run as handled
+from ..operators import analysis, budget, failover, ledger, routing, shared_rates, usage
 from ..sources.config import load_endpoints, load_fallbacks, search_chains
-from ..session import read_table, read_texts
+from ..session import materialise, read_table, read_texts
+from . import sqltext as q
+from .privacy import MESSAGE_POLICY, PROBED_SQL, probed
 from .sqltext import quote
 
 # How conversations and events are read as gateway traffic.
@@ -25,6 +30,9 @@ MODEL_OF = {
 REPLY_TOKENS = 60
 PREFERRED = ["groq/llama-3.1-8b-instant", "cerebras/llama3.1-8b", "groq/llama-3.3-70b-versatile"]
 LIMITS = {PREFERRED[0]: 0.0001, PREFERRED[1]: 0.00003, PREFERRED[2]: 0.002}
+SHARED_STEP = 7_000_000
+SHARED_LIMITS = {PREFERRED[0]: 0.0003, PREFERRED[1]: 0.00003, PREFERRED[2]: 0.02}
+SCARCE = {PREFERRED[0]: {"rpm": 3}, PREFERRED[1]: {"rpm": 2, "tpm": 9000}, PREFERRED[2]: {"rpm": 2}}
 NARROW_FIRST = [PREFERRED[1], PREFERRED[0], PREFERRED[2]]
 NARROW_LIMITS = {PREFERRED[1]: 0.00002, PREFERRED[0]: 0.0004, PREFERRED[2]: 0.5}
 
@@ -164,6 +172,62 @@ def preference_replay(spark, sf):
     )
 
 
+def _scarce() -> list[dict]:
+    """The preferences with so little of each model a minute that tenants take it from each other."""
+    return [dict(p, **SCARCE[p["model"]]) for p in _preferences(PREFERRED, SHARED_LIMITS)]
+
+
+def preference_shared(spark, sf):
+    """Requests of all tenants, seven seconds apart, with rates that they share."""
+    close = requests(spark, sf).withColumn("ts", F.timestamp_micros(F.lit(EPOCH) + F.col("request_id") * SHARED_STEP))
+    return shared_rates.route_shared(close, _scarce()).drop("rounds")
+
+
+GUARDED_LABELS = ["email address", "phone number", "credit card number", "social security number", "bank account number"]
+DOWN = "cerebras/llama3.1-8b"
+
+
+def _attempts(routed: DataFrame) -> DataFrame:
+    """One provider is down for every third request, all of them for a few."""
+    tried = routed.select("request_id", F.explode("candidates").alias("c")).select("request_id", "c.cluster", "c.model")
+    down = ((F.col("model") == DOWN) & (F.col("request_id") % 3 == 0)) | (F.col("request_id") % 17 == 4)
+    return tried.withColumn("ok", ~down)
+
+
+def _handled(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Guarded messages, where requests end, and requests, from messages with probes."""
+    found = d.catalogue_detectors(GUARDED_LABELS)
+    guarded = handled.guard_messages(probed(spark, sf), found, d.Policy(MESSAGE_POLICY), pii.REWRITE_PHRASES, action={"jailbreak": "LOG"})
+    guarded = materialise(guarded, "guarded-messages")
+    conv = F.col("conv_id")
+    described = guarded.select("conv_id").distinct().select(
+        "conv_id", F.timestamp_micros(F.lit(EPOCH) + conv * STEP).alias("ts"),
+        F.when(conv % 5 == 0, g.BACKUP_CLUSTER).otherwise("primary-cluster").alias("cluster"),
+        max_tokens().alias("max_tokens"), F.lit(REPLY_TOKENS).cast("long").alias("output_tokens"),
+    )
+    ends = materialise(handled.outcomes(guarded), "outcomes")
+    return guarded, ends, handled.run(guarded, ends, described, *_catalogue(spark), _attempts)
+
+
+def gateway_run(spark, sf):
+    runs = _handled(spark, sf)[2]
+    open_ = F.col("blocked_by").isNull()
+    return runs.select(
+        "request_id", "status", "blocked_by", "block_reason", "prompt_tokens", F.when(open_, F.col("complexity")).alias("complexity"),
+        "model", "answered_by", F.coalesce("failed_over", F.lit(False)).alias("failed_over"), F.round("cost", 9).alias("cost"),
+    )
+
+
+def gateway_log(spark, sf):
+    guarded, ends, runs = _handled(spark, sf)
+    return handled.log(guarded, ends, materialise(runs, "runs"))
+
+
+def gateway_run_metrics(spark, sf):
+    """Counters of the whole job: blocked requests count, and an answer by another endpoint is a fallback."""
+    return ledger.gateway_metrics(_handled(spark, sf)[2])
+
+
 def routing_log(spark, sf):
     return ledger.routing_events(routed(spark, sf)).select(
         "request_id", F.col("seq").cast("long").alias("seq"), "type", "code", "model", "detail"
@@ -209,7 +273,7 @@ QUERIES = {
     for f in (
         request_tokens, request_complexity, usage_trailing_60s, route_candidates, route_selected, route_escalated,
         route_with_usage, candidates_with_usage, cost_ledger, gateway_metrics, provider_calls, preference_budget,
-        preference_budget_narrow, preference_replay, routing_log, routing_log_latest, model_catalog,
+        preference_budget_narrow, preference_replay, preference_shared, gateway_run, gateway_log, gateway_run_metrics, routing_log, routing_log_latest, model_catalog,
         failover_resolution, session_history, latency_summary,
     )
 }
@@ -290,6 +354,56 @@ def _walk(order: list[str], limits: dict) -> str:
   FROM walk WHERE rn > 0"""
 
 
+def _run_sql() -> str:
+    """What becomes of each request, from sanitised messages: CTEs up to ``runs``."""
+    table = ("probed", "conv_id, turn", GUARDED_LABELS)
+    cleaned = q.redacted(*table, MESSAGE_POLICY, "MASK", pii.REWRITE_PHRASES, extra=", role")
+    return f"""{PROBED_SQL}, {q.redaction_cte(*table, MESSAGE_POLICY, 'MASK')}, cleaned0 AS MATERIALIZED ({cleaned}),
+  {q.rule_table({'jailbreak': 'LOG'})},
+  cleaned AS MATERIALIZED (SELECT conv_id, turn, role, clean_text AS text, modified, blocked, reason AS labels, CASE WHEN role = 'user' THEN {q.rule_case('clean_text')} END AS rule FROM cleaned0),
+  seen AS MATERIALIZED (SELECT c.*, guard, r.reason, coalesce(block, false) AS stops FROM cleaned c LEFT JOIN rules r USING (rule)),
+  ends AS MATERIALIZED (SELECT conv_id, pii_end, CASE WHEN pii_end IS NULL THEN rule_end END AS safety_end,
+      CASE WHEN pii_end IS NOT NULL THEN 'pii' ELSE guard END AS blocked_by,
+      CASE WHEN pii_end IS NOT NULL THEN {quote(pii.BLOCK_REASON_PREFIX)} || labels ELSE 'Request blocked by ' || guard || ' guardrail: ' || reason END AS block_reason
+    FROM (SELECT conv_id, min(turn) FILTER (blocked) AS pii_end, arg_min(labels, turn) FILTER (blocked) AS labels, min(turn) FILTER (stops) AS rule_end,
+      arg_min(guard, turn) FILTER (stops) AS guard, arg_min(reason, turn) FILTER (stops) AS reason FROM seen GROUP BY conv_id)),
+  {_ROUTED.replace("FROM conversations", "FROM cleaned")},
+  tries AS (SELECT c.request_id, c.model, c.searched, r.model AS wanted, CASE WHEN c.searched = r.selected_cluster AND c.model = r.model THEN 0
+      WHEN c.searched = r.selected_cluster THEN c.ord WHEN c.ord = min(c.ord) OVER (PARTITION BY c.request_id, c.searched) THEN 10000 + c.cluster_rank * 100 + c.ord END AS step,
+      NOT ((c.model = {quote(DOWN)} AND c.request_id % 3 = 0) OR c.request_id % 17 = 4) AS ok FROM cand c JOIN routed r USING (request_id)),
+  won AS (SELECT request_id, arg_min(model, step) AS answered_by, min(step) > 0 AS failed_over FROM tries WHERE ok AND step IS NOT NULL GROUP BY request_id),
+  prices AS (SELECT model, arg_min(cost, ord) AS price FROM endpoints GROUP BY model),
+  runs AS MATERIALIZED (SELECT a.conv_id AS request_id, blocked_by, block_reason, a.prompt_tokens, a.complexity, r.model, r.is_fallback, r.ts, w.answered_by, coalesce(w.failed_over, false) AS failed_over,
+      CASE WHEN blocked_by IS NOT NULL THEN 'blocked' WHEN w.answered_by IS NULL THEN 'failed' ELSE 'success' END AS status,
+      (a.prompt_tokens + {REPLY_TOKENS}) * coalesce(price, {g.DEFAULT_COST}) / 1000000.0::DOUBLE AS cost
+    FROM analyzed a JOIN ends e USING (conv_id) LEFT JOIN routed r ON r.request_id = a.conv_id AND blocked_by IS NULL
+      LEFT JOIN won w ON w.request_id = a.conv_id AND blocked_by IS NULL LEFT JOIN prices p ON p.model = w.answered_by)"""
+
+
+_RUNS = _run_sql()
+
+
+def _shared_walk() -> str:
+    """One request after the other, with all that was taken so far in a list."""
+    able = []
+    for i, p in enumerate(_scarce()):
+        spent = f"coalesce(list_sum(list_transform(list_filter(h, lambda x: x.m = {i} AND x.k = key), lambda x: x.tok)), 0)"
+        late = f"list_filter(h, lambda x: x.m = {i} AND x.us > us - 60000000)"
+        able.append(
+            f"WHEN {spent} * {p['cost']!r}::DOUBLE / 1e6 < {p['limit']!r} AND required_context <= {p['tpr']} "
+            f"AND coalesce(list_sum(list_transform({late}, lambda x: x.tok)), 0) + required_context <= {p['tpm']} AND len({late}) + 1 <= {p['rpm']} THEN {i}"
+        )
+    names = "[" + ", ".join(quote(p["model"]) for p in _scarce()) + "]"
+    return f"""WITH RECURSIVE {_ANALYZED}, {_REQUESTS},
+  line AS (SELECT request_id, {EPOCH} + request_id * {SHARED_STEP} AS us, tenant || '/' || epoch AS key, required_context, total_tokens,
+      row_number() OVER (ORDER BY request_id) AS rn FROM requests),
+  walk AS (SELECT 0::BIGINT AS rn, NULL::BIGINT AS request_id, 0 AS p, []::STRUCT(us BIGINT, m INT, tok BIGINT, k VARCHAR)[] AS h
+    UNION ALL
+    SELECT rn, request_id, p, list_append(h, {{'us': us, 'm': greatest(p, 0), 'tok': total_tokens, 'k': key}}) FROM (
+      SELECT l.*, w.h, CASE {" ".join(able)} ELSE -1 END AS p FROM walk w JOIN line l ON l.rn = w.rn + 1))
+  SELECT request_id, greatest(p, 0) AS preference, {names}[greatest(p, 0) + 1] AS model, p = -1 AS exhausted FROM walk WHERE rn > 0"""
+
+
 ORACLES = {
     "request_tokens": f"WITH {_ANALYZED} SELECT conv_id, prompt_tokens FROM analyzed",
     "request_complexity": f"WITH {_ANALYZED} SELECT * FROM analyzed",
@@ -309,6 +423,21 @@ ORACLES = {
           count(*) FILTER (is_fallback AND status <> 'blocked') AS fallback_events FROM c""",
     "provider_calls": f"""WITH {_ROUTED} SELECT model, complexity, count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens
         FROM routed WHERE {_STATUS} = 'success' GROUP BY ROLLUP (model, complexity)""",
+    "preference_shared": _shared_walk(),
+    "gateway_run": f"""WITH {_RUNS} SELECT request_id, status, blocked_by, block_reason, prompt_tokens, CASE WHEN blocked_by IS NULL THEN complexity END AS complexity,
+        model, answered_by, failed_over, CASE WHEN status = 'success' THEN round(cost, 9) END AS cost FROM runs""",
+    "gateway_run_metrics": f"""WITH {_RUNS} SELECT count(*) AS total_requests, count(*) FILTER (status = 'success') AS successful_requests, count(*) FILTER (status = 'failed') AS failed_requests,
+        CAST(coalesce(sum(prompt_tokens) FILTER (status = 'success'), 0) AS BIGINT) AS total_input_tokens, CAST(coalesce(sum({REPLY_TOKENS}) FILTER (status = 'success'), 0) AS BIGINT) AS total_output_tokens,
+        CAST(coalesce(sum(CAST(is_fallback AS INT)) FILTER (status <> 'blocked'), 0) + coalesce(sum(CAST(failed_over AS INT)) FILTER (status = 'success'), 0) AS BIGINT) AS fallback_events FROM runs""",
+    "gateway_log": f"""WITH {_RUNS}, {_EVENTS}, told AS (SELECT * FROM seen JOIN ends USING (conv_id))
+        SELECT conv_id AS request_id, 0 AS step, turn AS pos, 'warning' AS type, 'sanitized' AS code, NULL::VARCHAR AS model, role AS detail FROM told WHERE modified AND NOT blocked AND (pii_end IS NULL OR turn <= pii_end)
+        UNION ALL SELECT conv_id, 0, turn, 'warning', 'pii_blocked', NULL, block_reason FROM told WHERE turn = pii_end
+        UNION ALL SELECT conv_id, 0, {g.SAFETY_POSITION} + turn, 'warning', CASE WHEN stops THEN 'safety_blocked' ELSE 'safety_logged' END, NULL, guard FROM told
+          WHERE rule IS NOT NULL AND pii_end IS NULL AND (safety_end IS NULL OR turn <= safety_end)
+        UNION ALL SELECT l.request_id, 1, seq, type, code, l.model, detail FROM log l JOIN runs USING (request_id) WHERE blocked_by IS NULL
+        UNION ALL SELECT request_id, 2, 0, 'warning', 'failover', answered_by, model FROM runs WHERE failed_over AND blocked_by IS NULL
+        UNION ALL SELECT request_id, 2, 1, 'success', 'answered', answered_by, printf('%.9f', cost) FROM runs WHERE status = 'success'
+        UNION ALL SELECT request_id, 2, 1, 'error', 'failed', model, NULL FROM runs WHERE status = 'failed'""",
     "preference_budget": _walk(PREFERRED, LIMITS),
     "preference_budget_narrow": _walk(NARROW_FIRST, NARROW_LIMITS),
     "routing_log": f"WITH {_ROUTED}, {_EVENTS} SELECT request_id, seq, type, code, model, detail FROM log",

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..catalog import pii
+from ..catalog import pii, safety
 from ..operators import detect as d
 from ..operators import redact as r
 from ..operators import safety as s
-from ..session import read_texts
+from ..operators import sketches as k
+from ..session import materialise, read_texts, small_table
 from . import sqltext as q
 
 MIXED = {
@@ -114,6 +115,15 @@ def pii_audit_counts(spark, sf):
     return d.pii_audit(rows, d.Policy(MIXED)).withColumn("mean_score", F.round("mean_score", 6))
 
 
+def pii_audit_sketched(spark, sf):
+    """Audit of the union of all sources from their stored sketches, next to the exact number of distinct values."""
+    rows = materialise(d.with_entities(documents(spark, sf), "text", d.catalogue_detectors()).select("doc_id", "source", "entities"), "audited")
+    stored = materialise(k.span_sketches(rows, d.Policy(MIXED), "source"), "sketches")
+    exact = d.exploded(rows, "doc_id").groupBy("label").agg(F.count_distinct("value").alias("values"))
+    near = F.abs(F.col("distinct_values") - F.col("values")) <= 1 + 4 * k.ERROR * F.col("values")
+    return k.merged(stored).join(exact, "label").select("label", "action", "spans", "texts", "values", near.alias("near"))
+
+
 def pii_opt_in(spark, sf):
     """Default action none: only listed labels survive, and weak detectors fall below the threshold."""
     found = d.catalogue_detectors(scores={"phone number": 0.39})
@@ -185,6 +195,19 @@ def safety_events(spark, sf):
     return s.safety_events(probed(spark, sf), action={"jailbreak": "LOG"})
 
 
+# A rule of the house behind the catalogue's jailbreak rules, and one guard off: configuration as a table.
+HOUSE_RULE = ("jailbreak", "any", 900, r"pirate\s+with", "House rule: pirates")
+HOUSE_RULES = [r for r in safety.rules() if r[0] == "jailbreak" and r[2] % 2] + [HOUSE_RULE] + [r for r in safety.rules() if r[0] == "toxicity"]
+
+
+def safety_configured(spark, sf):
+    """Messages under a table of rules: half of the jailbreak rules, one more, toxicity logged, no injection rules."""
+    table = s.load_safety(spark, {"jailbreak": True, "toxicity": True}, {"toxicity": "LOG"}).where("guard <> 'jailbreak' OR ord % 2 = 1")
+    own = small_table(spark, [(*HOUSE_RULE, "yes", "BLOCK")], "guard string, tier string, ord int, pattern string, reason string, enabled string, action string")
+    rules = table.unionByName(own.withColumn("enabled", F.lit(True)))
+    return s.screen(probed(spark, sf), "text", rules=rules).select("conv_id", "turn", "flagged", "guard", "rule", "reason", "should_block")
+
+
 def safety_report(spark, sf):
     return s.safety_report(s.screen_messages(probed(spark, sf), action={"toxicity": "LOG"}))
 
@@ -198,6 +221,7 @@ QUERIES = {
     "pii_redacted": pii_redacted,
     "pii_block_report": pii_block_report,
     "pii_audit_counts": pii_audit_counts,
+    "pii_audit_sketched": pii_audit_sketched,
     "pii_opt_in": pii_opt_in,
     "label_canonical": label_canonical,
     "conversation_sanitized": conversation_sanitized,
@@ -209,6 +233,7 @@ QUERIES = {
     "safety_one_guard": safety_one_guard,
     "safety_requests": safety_requests,
     "safety_events": safety_events,
+    "safety_configured": safety_configured,
     "safety_report": safety_report,
 }
 
@@ -238,6 +263,8 @@ ORACLES = {
     "pii_block_report": f"""WITH {_MIXED_CTE} SELECT doc_id, blocked, reason FROM ({q.redacted(*_DOCS, MIXED, 'MASK')})""",
     "pii_audit_counts": f"""WITH {_MIXED_CTE} SELECT label, action, count(*) AS spans, count(DISTINCT doc_id) AS texts,
         round(avg(CASE label {_SCORES} END), 6) AS mean_score FROM spans GROUP BY ALL""",
+    "pii_audit_sketched": f"""WITH {_MIXED_CTE} SELECT label, action, count(*) AS spans, count(DISTINCT doc_id) AS texts,
+        count(DISTINCT value) AS values, true AS near FROM spans GROUP BY ALL""",
     "pii_opt_in": f"""SELECT doc_id, label, "start", "end" FROM ({q.spans('documents', 'doc_id', ['email address'])})""",
     "label_canonical": f"""SELECT CASE WHEN {_SQUEEZED} = 'THE' THEN replace(lower(word), '_', ' ') ELSE
           {q.canonical_case(_SQUEEZED, 'lower(word)')} END AS canonical_label, count(*) AS labels, CAST(sum(uses) AS BIGINT) AS uses
@@ -273,6 +300,10 @@ ORACLES = {
         e AS (SELECT *, min(turn) FILTER (block) OVER (PARTITION BY conv_id) AS stop FROM j)
         SELECT conv_id, turn, guard, rule, reason, CASE WHEN block THEN 'BLOCKED' ELSE 'LOGGED' END AS outcome
         FROM e WHERE stop IS NULL OR turn <= stop""",
+    "safety_configured": f"""WITH {PROBED_SQL}, hits AS (SELECT *, {q.rule_case('text', rules=HOUSE_RULES)} AS rule FROM probed),
+        rules(rule, guard, reason) AS (VALUES {", ".join(f"({r[2]}, {q.quote(r[0])}, {q.quote(r[4])})" for r in HOUSE_RULES)})
+        SELECT conv_id, turn, h.rule IS NOT NULL AS flagged, guard, h.rule, reason, coalesce(guard = 'jailbreak', false) AS should_block
+        FROM hits h LEFT JOIN rules USING (rule)""",
     "safety_report": f"""WITH {PROBED_SQL}, {q.rule_table({'toxicity': 'LOG'})}, {_screened("role = 'user'")},
         c AS (SELECT rules.rule, guard, count(hits.rule) AS hits, count(hits.rule) FILTER (block) AS blocked FROM rules LEFT JOIN hits USING (rule) GROUP BY ALL)
         SELECT guard, rule, CAST(sum(hits) AS BIGINT) AS hits, CAST(sum(blocked) AS BIGINT) AS blocked,

@@ -88,10 +88,10 @@ def redaction_cte(table: str, keys: str, labels: list[str], actions: dict, defau
       FROM ({resolved(table, keys, labels, text, where)}))"""
 
 
-def rule_case(text: str, enabled: list[str] | None = None) -> str:
+def rule_case(text: str, enabled: list[str] | None = None, rules: list[tuple] | None = None) -> str:
     """Number of the first rule that hits, in order."""
     whens = []
-    for guard, _, ord_, pattern, _ in safety.rules():
+    for guard, _, ord_, pattern, _ in safety.rules() if rules is None else rules:
         if enabled is not None and guard not in enabled:
             continue
         if "(?!assistant|AI)" in pattern:

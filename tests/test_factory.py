@@ -11,6 +11,7 @@ from spanward.catalog import factory as f
 from spanward.catalog import pii
 from spanward.operators import inject as inj
 from spanward.operators import leakage as leak
+from spanward.operators import minhash
 from spanward.operators import neardup, quality, slots, values
 from spanward.schemas import ENTITIES_DDL, SAMPLES
 from spanward.sources import generated, samples as src
@@ -68,10 +69,12 @@ def test_batches_and_topup(spark):
     assert sum(b["count"] for b in batches) == 200 and max(b["count"] for b in batches) == 15
     first = {r.slot: r.domain for r in plan.collect()}
     assert all(b.domain == first[b.first_slot] for b in batches)
-    extra = slots.plan_topup(spark, 100, 68, slots.label_configs(["person", "my label"])).orderBy("batch").collect()
+    extra = slots.plan_topup(spark.range(100), spark.range(68), slots.label_configs(["person", "my label"])).orderBy("batch").collect()
     assert [(b.label, b["count"]) for b in extra] == [("person", 15), ("my label", 15), ("person", 2)]
     assert extra[0].domain == pii.DATA_FORMATS["person"]
-    assert slots.plan_topup(spark, 10, 12, []).count() == 0
+    assert slots.plan_topup(spark.range(10), spark.range(12), []).count() == 0
+    many = slots.plan_topup(spark.range(400_003), spark.range(0), [], batch_size=15)
+    assert many.agg(F.sum("count"), F.count("*"), F.max("batch")).first()[:3] == (400_003, 26_667, 26_666)
 
 
 def test_injection(spark):
@@ -224,3 +227,18 @@ def test_leakage_equals_all_pairs(spark, monkeypatch, threshold, shares):
                 want[i] = (j, round(len(x & y) / len(x | y), 9))
                 break
     assert {r.test_id: (r.train_id, round(r.overlap, 9)) for r in got} == want
+
+
+def test_banded_search_finds_most_of_what_is_alike(spark):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(400)]
+    base = [[rng.choice(words) for _ in range(40)] for _ in range(60)]
+    near = [[w if rng.random() < 0.9 else rng.choice(words) for w in b] for b in base]
+    train = spark.createDataFrame([(i, " ".join(b)) for i, b in enumerate(base)] + [(100, None), (101, " ")], "b long, text string")
+    test = spark.createDataFrame([(i, " ".join(b), "xy"[i % 2]) for i, b in enumerate(near)] + [(200, "", "x"), (201, "w1 other", "y")], "a long, text string, g string")
+    exact, likely = leak.leakage(test, train, "a", "b"), minhash.likely_leakage(test, train, "a", "b")
+    want = {r.test_id: (r.train_id, round(r.overlap, 9)) for r in exact.collect()}
+    got = {r.test_id: (r.train_id, round(r.overlap, 9)) for r in likely.collect()}
+    assert len(want) > 50 and got.items() <= want.items() and len(got) >= 0.9 * len(want)
+    rates = {r.g: (r.leaked, r.found) for r in minhash.recall(exact, likely, test, "a", "g").collect()}
+    assert sum(n for n, _ in rates.values()) == len(want) and sum(n for _, n in rates.values()) == len(got)

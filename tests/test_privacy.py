@@ -1,5 +1,6 @@
 """Labels, policies, redaction of texts and conversations, screening."""
 
+import random
 import re
 
 import pytest
@@ -9,7 +10,7 @@ from spanward.catalog import pii, safety
 from spanward.operators import detect as d
 from spanward.operators import redact as r
 from spanward.operators import safety as s
-from spanward.operators import values
+from spanward.operators import sketches, values
 
 
 @pytest.mark.parametrize(
@@ -182,3 +183,42 @@ def test_plugin_spans_follow_threshold_labels_policy_and_overlaps(spark):
     assert got == {1: [("person", 2), ("membership card", 13)], 2: []}
     opted = d.plugin_detected(df, "id", "text", "model", policy=d.Policy({"email address": "MASK"}, None))
     assert spans(opted) == {1: [("email address", 0)], 2: []}
+
+
+def test_sketches_of_parts_add_up_to_the_audit(spark):
+    rng = random.Random(9)
+    pieces = ["alice@corp.com", "Ann Bob", "12345678901", "x", "bob@example.org", "\n"]
+    rows = [(i, "pqr"[i % 3], " ".join(rng.choice(pieces) for _ in range(rng.randint(0, 8))) if i else None) for i in range(80)]
+    found = d.with_entities(spark.createDataFrame(rows, "id long, part string, text string"), "text", d.catalogue_detectors(scores={"person": 0.5}))
+    policy = d.Policy({"person": "BLOCK"})
+    stored = sketches.span_sketches(found, policy, "part")
+    got = {r.label: r for r in sketches.merged(stored).collect()}
+    want = {r.label: r for r in d.pii_audit(found, policy).collect()}
+    values = {r.label: r.n for r in d.exploded(found, "id").groupBy("label").agg(F.count_distinct("value").alias("n")).collect()}
+    assert got.keys() == want.keys() and len(got) > 2
+    for label, r in got.items():
+        w = want[label]
+        assert (r.action, r.spans, r.texts, round(r.mean_score, 9)) == (w.action, w.spans, w.texts, round(w.mean_score, 9))
+        assert r.distinct_values == values[label]  # small numbers are exact
+    again = sketches.merged(stored.where("part = 'p'").unionByName(stored.where("part <> 'p'")))
+    assert {r.label: r.distinct_values for r in again.collect()} == values
+
+
+def test_rules_are_a_table(spark):
+    messages = spark.createDataFrame(
+        [(1, 0, "user", "open sesame"), (1, 1, "user", "[INST]"), (2, 0, "user", "[INST] open sesame"), (3, 0, "user", None), (4, 0, "assistant", "open sesame")],
+        "conv_id long, turn long, role string, text string",
+    )
+    own = spark.createDataFrame(
+        [("house", "any", 5000, r"open\s+sesame", "told to open", True, "BLOCK"), ("house", "any", 5001, "sesame", "off", False, "BLOCK")],
+        "guard string, tier string, ord int, pattern string, reason string, enabled boolean, action string",
+    )
+    rules = s.load_safety(spark, {"prompt_injection": True}, {"prompt_injection": "LOG"}).unionByName(own)
+    got = {(r.conv_id, r.turn): (r.guard, r.reason, r.should_block) for r in s.screen(messages, "text", rules=rules).collect()}
+    assert got[1, 0] == ("house", "told to open", True) and got[4, 0][0] == "house" and got[3, 0] == (None, None, False)
+    assert got[2, 0][0] == "prompt_injection" and not got[2, 0][2]
+    per = {r.conv_id: (r.blocked, r.block_turn, r.guard, r.reason) for r in s.screen_requests(messages, rules=rules).collect()}
+    assert per == {1: (True, 0, "house", "told to open"), 2: (False, None, None, None), 3: (False, None, None, None)}
+    assert s.screen(messages, "text", rules=rules.where("false")).where("flagged").count() == 0
+    report = {(r.guard, r.rule): (r.hits, r.blocked) for r in s.safety_report(s.screen(messages, "text", rules=rules), rules).collect()}
+    assert report["house", 5000] == (2, 2) and report["house", 5001] == (0, 0)
