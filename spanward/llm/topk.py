@@ -9,7 +9,8 @@ vectors. The rotation and the start only decide how much is pruned: results are
 Queries go to the vectors in chunks of ``CHUNK`` rows, which bounds what a task holds besides its batch.
 
 Defined cases: a vector takes part if it is not null and all its components are finite; shorter vectors are filled
-with zeros; components are floor(scale * x), whose products must fit 53 bits; rows with null id take no part; of
+with zeros; components are floor(scale * x), whole numbers of any size, and a score that needs more than 63 bits is
+refused (``OverflowError``): no long holds it; rows with null id take no part; of
 query rows with one id the least vector asks; a query does not meet rows with its own id; repeated rows are vectors of
 their own; equal scores go to the smaller id; no rows give no rows; other columns are ignored.
 """
@@ -39,7 +40,12 @@ def integer_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     """(vec_id, v, norm): integer components of the vectors that take part."""
     wide = F.col(vector_col).cast("array<double>")
     fine = ~F.exists(wide, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    whole = F.transform(wide, lambda x: F.floor(x * F.lit(float(scale))).cast("double"))
+
+    def floored(x):  # from 52 bits on a double is whole, and may be beyond what floor returns
+        y = x * F.lit(float(scale))
+        return F.when(F.abs(y) >= 2.0**52, y).otherwise(F.floor(y).cast("double"))
+
+    whole = F.transform(wide, floored)
     kept = rows.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & fine)
     kept = kept.select(F.col(id_col).cast("bigint").alias("vec_id"), whole.alias("v"))
     return kept.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))
@@ -58,7 +64,7 @@ class Best:
 
     def __init__(self, n: int, k: int, floor: np.ndarray):
         self.k, self.floor = k, floor.copy()
-        self.query, self.score, self.vec = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        self.query, self.score, self.vec = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def add(self, query: np.ndarray, score: np.ndarray, vec: np.ndarray) -> None:
         query, score, vec = np.append(self.query, query), np.append(self.score, score), np.append(self.vec, vec)
@@ -72,6 +78,20 @@ class Best:
         self.floor[self.query[last]] = np.maximum(self.floor[self.query[last]], self.score[last])
 
 
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact inner products of rows of whole numbers: floats hold them below 53 bits, longs below 63, else Python's integers."""
+    if not a.size or not b.size:
+        return np.zeros((len(a), len(b)), np.int64)
+    most = float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1]
+    if most < 2.0**53:
+        return (a @ b.T).astype(np.int64)
+    if most < 2.0**62:
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    left, right = ([[int(x) for x in row] for row in m.tolist()] for m in (a, b))
+    exact = [[sum(x * y for x, y in zip(p, q)) for q in right] for p in left]
+    return np.array(exact, object).astype(np.int64)
+
+
 def _search(sent, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q, floor, rotation, head = sent.value
@@ -97,13 +117,13 @@ def _search(sent, k: int):
                 rows, columns = np.flatnonzero(may.any(axis=1)), np.flatnonzero(may.any(axis=0))
                 if not len(rows):
                     continue
-                exact = q[live[rows]] @ x[columns].T  # whole numbers below 2**53, so exact
+                exact = products(q[live[rows]], x[columns])
                 a, b = np.nonzero(may[np.ix_(rows, columns)])
                 score = exact[a, b]
                 use = score >= best.floor[live[rows[a]]]
                 best.add(live[rows[a]][use], score[use], vec[columns[b]][use])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids[best.query], pa.int64()), pa.array(best.vec, pa.int64()), pa.array(best.score.astype(np.int64), pa.int64())],
+            [pa.array(ids[best.query], pa.int64()), pa.array(best.vec, pa.int64()), pa.array(best.score, pa.int64())],
             ["query_id", "vec_id", "score"],
         )
 
@@ -119,11 +139,13 @@ def _rows(df: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _first_floor(ids: np.ndarray, q: np.ndarray, seed_ids: np.ndarray, seeds: np.ndarray, k: int) -> np.ndarray:
-    """The k-th score of each query among the seeds; minus infinity if they are fewer."""
+    """At most the k-th score of each query among the seeds; minus infinity if they are fewer."""
     scores = np.where(ids[:, None] == seed_ids[None, :], -np.inf, q @ seeds.T)
     if scores.shape[1] < k:
         return np.full(len(ids), -np.inf)
-    return np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+    most = np.linalg.norm(q, axis=1) * np.linalg.norm(seeds, axis=1).max()
+    kth = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+    return np.where(most < 2.0**52, kth, kth - 1e-9 * most)  # long products are rounded
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -137,9 +159,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     width = max(width, asked.agg(F.max(F.size("v"))).first()[0] or 1)
     seed_ids, seeds = _rows(stored.orderBy(F.desc("norm"), "vec_id").limit(SEEDS), width)
     _, sample = _rows(stored.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE), width)
-    _, strength, turned = np.linalg.svd(sample, full_matrices=True) if len(sample) else (None, np.ones(width), np.eye(width))
-    rotation = turned.T
-    share = np.cumsum(strength**2) / max(float((strength**2).sum()), 1e-300)
+    scaled = sample / max(float(np.abs(sample).max(initial=0)), 1e-300)
+    strength, turned = np.linalg.eigh(scaled.T @ scaled)  # squares of the singular values, ascending, and the right vectors
+    strength, rotation = np.maximum(strength[::-1], 0), turned[:, ::-1]
+    share = np.cumsum(strength) / max(float(strength.sum()), 1e-300)
     head = int(min(width, max(1, np.searchsorted(share, 0.9) + 1)))
     chunks = max(1, -(-asked.count() // CHUNK))
     found = None

@@ -1,6 +1,7 @@
 """Chat, language, toxicity, HTML, top-k and sharding on small inputs: properties, brute force, odd rows."""
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -260,6 +261,28 @@ def test_top_k_over_file_borders(spark, monkeypatch):
     assert got == brute_top(rows, 10)
 
 
+@pytest.mark.parametrize("low, high, width", [(1e5, 1e6, 8), (-1e6, 1e6, 8), (1.0, 2e7, 2)])
+def test_top_k_of_large_components(spark, low, high, width):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(np.float32(x)) for x in rng.uniform(low, high, width) / (1 if width > 2 else 12)]) for i in range(200)]
+    rows += [(300 + i, rows[i][1]) for i in range(5)]
+    vectors = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3))
+    got = {tuple(r) for r in topk.top_k(vectors, vectors.where("vec_id % 10 = 0")).collect()}
+    ints = {i: [math.floor(1024 * x) for x in v] for i, v in rows}
+    for q in [i for i in ints if i % 10 == 0]:
+        scores = sorted((-sum(a * b for a, b in zip(ints[q], v)), i) for i, v in ints.items() if i != q)[:10]
+        assert {r[1:] for r in got if r[0] == q} == {(n, i, -s) for n, (s, i) in enumerate(scores, 1)}
+
+
+def test_products_of_any_size():
+    rng = np.random.default_rng(6)
+    for bits in (3, 20, 26, 29, 30):
+        a, b = (np.floor(rng.uniform(-(2.0**bits), 2.0**bits, (5, 7))) for _ in range(2))
+        assert topk.products(a, b).tolist() == [[sum(int(x) * int(y) for x, y in zip(p, q)) for q in b.tolist()] for p in a.tolist()]
+    with pytest.raises(OverflowError):
+        topk.products(np.full((1, 4), 2.0**40), np.full((1, 4), 2.0**40))
+
+
 def test_top_k_of_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     vectors = topk.integer_vectors(df)
