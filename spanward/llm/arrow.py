@@ -6,12 +6,14 @@ Hashes have 64 bits: equal bytes give equal hashes, and different ones agree wit
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
+RELEASE_EVERY = 16
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -58,8 +60,18 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def release() -> None:
+    """Give freed memory back to the system: Spark reuses Python workers, and each would keep the most it ever held."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 def row_slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut at rows so that each holds about ``limit`` bytes of text, or one row."""
+    given = 0
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -68,6 +80,9 @@ def row_slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_
         while at < batch.num_rows:
             end = int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1
             end = min(max(end, at + 1), batch.num_rows)
+            if given % RELEASE_EVERY == 0:  # from the first one on: a task begins with what the last one left
+                release()
+            given += 1
             yield batch.slice(at, end - at)
             at = end
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise, ship, slices
-from .arrow import LOWER_VALUE, Prefix, U, binary, flat, mix, packed_texts, row_slices, unpacked, word_bounds
+from .arrow import LOWER_VALUE, Prefix, U, binary, flat, mix, packed_texts, release, row_slices, unpacked, word_bounds
 from .graph import components
 
 #: Signatures that a task holds before it sends them on, and buckets for each shuffle partition they are sent to: what is
@@ -237,6 +237,7 @@ def _sign(width: int, num: int, den: int, buckets: int):
 
 def _meet(table: pa.Table) -> pa.Table:
     """Proposed pairs of one bucket with the number of signatures behind them."""
+    release()
     proposed, keys, owners = [], [], []
     for pairs, x, y in zip(table["pairs"].to_pylist(), table["x"].to_pylist(), table["y"].to_pylist()):
         if pairs:
