@@ -18,14 +18,13 @@ from ..session import materialise, slices
 SLICE = "_slice"
 
 
-def sliced(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def sliced(df: DataFrame, keys: list[str], order: list[str], n: int | None = None) -> DataFrame:
     """Rows tagged with the slice of their range partition.
 
     Written once to the shared folder: totals and rows must see the same slice bounds.
     ``order`` has to be unique within a key for a hot key to split evenly.
     """
-    n = slices(df.sparkSession)
-    ranged = df.repartitionByRange(n, *keys, *order).withColumn(SLICE, F.spark_partition_id())
+    ranged = df.repartitionByRange(n or slices(df.sparkSession), *keys, *order).withColumn(SLICE, F.spark_partition_id())
     return materialise(ranged, "sliced")
 
 

@@ -2,17 +2,19 @@
 
 A request's choice depends on earlier requests only: on what its tenant has spent and on how much of each model everybody
 used in the minute before. Time is cut into slices. In a round, every slice is walked at once, from what the last round
-says of earlier slices: the uses of the minute before it, and each tenant's spend so far. Rounds go on until no choice
-changes. The first slice is right after one round, and so is whatever stands before the first change; this ends, after
-as many rounds as there are slices at most, in what one walk in order of time gives. As a minute is all that rates
-remember, a few rounds are usual.
-
-A task holds an Arrow batch, a minute of uses and the tenants met in its slice; no tenant, model or minute is one task,
-and each round is written.
+says of earlier slices: the uses of the minute before it, and each tenant's spend so far. What stands before the first
+change of a round was right, so the slice of that change is right now: all up to it are settled, written once and walked
+no more. This ends, after as many rounds as there are slices at most, in what one walk in order of time gives.
+
+Spend and scarce rates may hand an early difference on for ever, and then each round settles one slice. A round costs
+seconds whatever it walks, so slices are no more than their rows ask for (``SLICE_ROWS``; a few at least), nor more than
+the session's shuffle partitions. A task holds an Arrow batch, a minute of uses and the tenants met in its slice; no tenant, model or
+minute is one task, and each round is written.
 """
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict, deque
 
 import pandas as pd
@@ -21,9 +23,13 @@ from pyspark.sql import functions as F
 
 from ..catalog.gateway import USAGE_WINDOW_SECONDS
 from ..functions.scale import SLICE, slice_offsets, sliced
-from ..session import materialise, ship
+from ..session import fresh_path, materialise, ship, slices
 from .budget import KEYS, ORDER
 
+#: Rows that a slice is cut for: a walk over them takes less time than the jobs of a round.
+SLICE_ROWS = 4096
+#: Slices of small inputs, so that no one task has them all.
+LEAST_SLICES = 4
 _SPAN = USAGE_WINDOW_SECONDS * 1_000_000
 _STATE = f"{SLICE} int, request_id bigint, at bigint, tenant string, epoch string, total_tokens bigint, preference int, exhausted boolean, _before int"
 
@@ -89,7 +95,7 @@ def _walked(prefs: list[dict]):
     return run
 
 
-def route_shared(requests: DataFrame, prefs: list[dict]) -> DataFrame:
+def route_shared(requests: DataFrame, prefs: list[dict], slice_rows: int = SLICE_ROWS) -> DataFrame:
     """(request_id, preference, model, exhausted, rounds) of every request.
 
     ``requests``: tenant, epoch, ts, request_id (unique), required_context, total_tokens. A request that finds no
@@ -102,33 +108,39 @@ def route_shared(requests: DataFrame, prefs: list[dict]) -> DataFrame:
         *[F.col(c).cast("string").alias(c) for c in KEYS], *ORDER, F.unix_micros("ts").alias("at"),
         F.col("required_context").cast("long").alias("required_context"), F.col("total_tokens").cast("long").alias("total_tokens"),
     )
-    rows = sliced(needed, [], ORDER)
+    needed = materialise(needed, "requests")
+    n = min(slices(spark), max(LEAST_SLICES, math.ceil(needed.count() / slice_rows)))
+    rows = sliced(needed, [], ORDER, n)
     starts = [(r[SLICE], r.at) for r in rows.groupBy(SLICE).agg(F.min("at").alias("at")).orderBy(SLICE).collect()]  # one a slice
-    later = F.array(*[F.struct(F.lit(s).alias("slice"), F.lit(a).cast("long").alias("at")) for s, a in starts])
 
     guess = F.coalesce(*[F.when(F.col("required_context") <= p["tpr"], F.lit(i)) for i, p in enumerate(prefs)], F.lit(0))
     state = rows.select(SLICE, "request_id", "at", *KEYS, "total_tokens", guess.alias("preference"))
-    rounds = 0
-    while starts:
+    path, rounds, open_ = fresh_path(spark, "settled"), 0, starts
+    while open_:
         rounds += 1
+        later = F.array(*[F.struct(F.lit(s).alias("slice"), F.lit(a).cast("long").alias("at")) for s, a in open_])
         counted = {f"spent_{i}": F.when(F.col("preference") == i, F.col("total_tokens")).otherwise(F.lit(0).cast("long")) for i in range(k)}
         spent = slice_offsets(state, KEYS, counted)
         none = {f"_before_spent_{i}": F.lit(0).cast("long") for i in range(k)}
-        here = rows.join(spent, [*KEYS, SLICE]).join(state.select("request_id", "preference"), "request_id").select(
+        unsettled = rows.where(F.col(SLICE) >= open_[0][0])
+        here = unsettled.join(spent, [*KEYS, SLICE]).join(state.select("request_id", "preference"), "request_id").select(
             SLICE, F.lit(False).alias("past"), "at", "request_id", *KEYS, "required_context", "total_tokens",
             F.coalesce("preference", F.lit(-1)).alias("preference"), *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in none],
         )
         behind = F.filter(later, lambda s: (s["slice"] > F.col(SLICE)) & (s["at"] < F.col("at") + _SPAN))
-        carried = state.where("preference IS NOT NULL").select(
+        near = state.where((F.col("at") > open_[0][1] - _SPAN) & F.col("preference").isNotNull())
+        carried = near.select(
             F.explode(F.transform(behind, lambda s: s["slice"])).alias(SLICE), F.lit(True).alias("past"), "at", "request_id", *KEYS,
             F.lit(0).cast("long").alias("required_context"), "total_tokens", "preference", *[c.alias(n) for n, c in none.items()],
         )
-        line = here.unionByName(carried).repartition(len(starts), SLICE).sortWithinPartitions(SLICE, F.desc("past"), "at", "request_id")
+        line = here.unionByName(carried).repartition(len(open_), SLICE).sortWithinPartitions(SLICE, F.desc("past"), "at", "request_id")
         made = materialise(line.mapInPandas(_walked(prefs), _STATE), "choices")
-        state = made.drop("exhausted", "_before")
-        if not made.where("NOT (preference <=> _before)").limit(1).count():
-            break
-    else:
-        made = state.withColumn("exhausted", F.lit(False))
+        changed = made.where("NOT (preference <=> _before)").agg(F.min(SLICE)).first()[0]
+        last = open_[-1][0] if changed is None else changed
+        made.where(F.col(SLICE) <= last).drop("_before").write.mode("append").parquet(path)
+        settled = spark.read.schema(made.drop("_before").schema).parquet(path)
+        open_ = [(s, a) for s, a in open_ if s > last]
+        state = settled.unionByName(made.where(F.col(SLICE) > last).drop("_before")).drop("exhausted")
+    made = settled if starts else state.withColumn("exhausted", F.lit(False))
     model = F.element_at(F.array(*[F.lit(p["model"]) for p in prefs]), F.col("preference") + 1)
     return made.select("request_id", "preference", F.when(F.col("preference").isNotNull(), model).alias("model"), "exhausted", F.lit(rounds).alias("rounds"))

@@ -205,6 +205,24 @@ def test_rates_shared_by_ten_tenants(spark, order, seed):
     assert len({r.preference for r in out}) > 1 and 2 <= out[0].rounds <= 5
 
 
+def test_shared_rounds_grow_with_rows_not_with_partitions(spark):
+    """A scarce model hands every early choice on, so that each round settles one slice."""
+    eps = [("c", "a", 3, 900, 200, 1.0, "low"), ("c", "b", 2, 100_000, 1000, 2.0, "low")]
+    prefs = budget.preference_rows(["a", "b"], eps, {"a": 0.002, "b": 0.004})
+    rows = [(f"t{i % 10}", i // 60, T0 + dt.timedelta(seconds=7 * i), i, 100, 40 + i * 7 % 90) for i in range(200)]
+    df = spark.createDataFrame(rows, "tenant string, epoch int, ts timestamp, request_id long, required_context long, total_tokens long")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        few, many = shared_rates.route_shared(df, prefs).collect(), shared_rates.route_shared(df, prefs, slice_rows=20).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    wanted = walk_shared(rows, prefs)
+    for out in (few, many):
+        assert {r.request_id: (r.preference, r.exhausted) for r in out} == wanted and len(out) == 200
+    assert few[0].rounds <= 4 and many[0].rounds <= 10
+
+
 def test_failover_order(spark):
     rows = spark.createDataFrame([(i, "primary-cluster", 100, "low") for i in range(4)], "request_id long, cluster string, required_context long, complexity string")
     out = routing.route(rows, config.load_endpoints(spark), config.load_fallbacks(spark))
