@@ -1,7 +1,7 @@
-"""Span kernels on arrays: one row in, one row out, no shuffle and no Python.
+"""Span kernels on arrays: one row in, one row out, no shuffle.
 
-The kernels are SQL expressions over a named text column; a whole detection profile is one
-expression, sent to the JVM once.
+Detection and replacement are Python on Arrow batches, a whole detection profile in one call; the other kernels are SQL
+expressions.
 """
 
 from __future__ import annotations
@@ -10,15 +10,21 @@ import functools
 import re
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..schemas import ENTITIES_DDL, ENTITY
-from .regex import jvm_pattern, may_match_sql, sql_literal
+from ..schemas import ENTITIES, ENTITIES_DDL, ENTITY
+from .regex import jvm_pattern, may_match_sql, required_literals, sql_literal
 
 NO_ENTITIES = f"cast(array() as {ENTITIES_DDL})"
 #: Stands round matches while a text is cut; texts that hold it themselves are searched twice instead.
 MARK = "\\u0001"
+#: Characters of text whose spans are held as Python objects at once.
+BLOCK_CHARS = 4_000_000
 _RAW = "array<struct<start:int,end:int,value:string>>"
 
 
@@ -83,16 +89,66 @@ def raw_spans(column: str, pattern: str) -> Column:
     return F.expr(_fold(name(column), pattern, item, f"cast(array() as {_RAW})"))
 
 
-def entities_sql(text: str, found: list[tuple[str, str, float]]) -> str:
-    """All matches of (label, pattern, score), in the order given."""
-    parts = []
-    for label, pattern, score in found:
-        item = (
-            f"named_struct('label', {sql_literal(label).replace('{', '{{').replace('}', '}}')}, 'start', {{begin}}, "
-            f"'end', {{finish}}, 'score', {float(score)!r}D, 'value', p.value)"
-        )
-        parts.append(_fold(text, pattern, item, NO_ENTITIES))
-    return f"concat({', '.join(parts)})" if parts else NO_ENTITIES
+def found_entities(text: Column, found: list[tuple[str, str, float]], target: Column | None = None, overlaps: bool = False) -> Column:
+    """All matches of (label, pattern, score) sorted by start; ties keep the order in which patterns were given.
+
+    Without ``overlaps``, spans are resolved as by ``resolve``. Nothing is found in a null text. Python's own regexes on
+    Arrow batches: they take a small part of the time of the JVM's. A batch's spans become Arrow arrays after every
+    ``BLOCK_CHARS`` characters, so that few are held as objects.
+    """
+    for _, pattern, _ in found:
+        if re.compile(pattern).match(""):
+            raise ValueError(f"pattern matches the empty string: {pattern!r}")
+    # all names below are local: workers get the function itself and need no module of this package
+    labels, scores = [x[0] for x in found], [float(x[2]) for x in found]
+    sources, aimed, block = [(pattern, required_literals(pattern)) for _, pattern, _ in found], target is not None, BLOCK_CHARS
+    kind = pa.struct([("label", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("value", pa.string())])
+
+    def kept(es, aim):
+        out = []
+        for e in es:
+            last = out[-1] if out else None
+            if last is None or e[0] >= last[2]:
+                out.append(e)
+                continue
+            mine, its = aim is not None and labels[e[1]] == aim, aim is not None and labels[last[1]] == aim
+            if mine != its:
+                if mine:
+                    out[-1] = e
+            elif e[2] - e[0] > last[2] - last[0]:
+                out[-1] = e
+        return out
+
+    def arrays(spans, values, sizes):
+        at = np.array(spans, dtype=np.int32).reshape(-1, 3)
+        named = pa.array(labels, pa.string()).take(pa.array(at[:, 1]))
+        scored = pa.array(np.array(scores)[at[:, 1]])
+        fields = [named, pa.array(at[:, 0]), pa.array(at[:, 2]), scored, pa.array(values, pa.string())]
+        ends = pa.array(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int32))
+        return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(fields, fields=list(kind)))
+
+    def run(texts: pa.Array, targets: pa.Array) -> pa.Array:
+        patterns = [(i, re.compile(pattern), literals) for i, (pattern, literals) in enumerate(sources)]
+        parts, spans, values, sizes, chars = [], [], [], [], 0
+        for one, aim in zip(texts, targets):
+            value, es = one.as_py(), []
+            if value:
+                chars += len(value)
+                for i, pattern, literals in patterns:
+                    if literals is None or any(x in value for x in literals):
+                        es += [(m.start(), i, m.end()) for m in pattern.finditer(value)]
+                es.sort()
+                if not overlaps:
+                    es = kept(es, aim.as_py() if aimed else None)
+                spans += es
+                values += [value[e[0] : e[2]] for e in es]
+            sizes.append(len(es))
+            if chars > block:
+                parts.append(arrays(spans, values, sizes))
+                spans, values, sizes, chars = [], [], [], 0
+        return pa.concat_arrays([*parts, arrays(spans, values, sizes)])
+
+    return F.arrow_udf(run, ENTITIES)(text, F.lit(None).cast("string") if target is None else F.lower(target))
 
 
 def sort_sql(entities: str) -> str:
@@ -153,55 +209,37 @@ def replace_spans(text: Column, spans: Column, token) -> Column:
     """Struct of the new text and the given spans at their new offsets.
 
     ``spans`` must be sorted and free of overlaps; ``token(span)`` gives the substitute, and null leaves that span as it
-    is. Offsets count characters, so cutting at one reads the text up to there: spans are taken in chunks of about the
-    square root of their number, each on its own piece of the text.
+    is. The substitutes are an expression; texts are put together on Arrow batches, where cutting a text at a span does
+    not read it from its beginning, and offsets are prefix sums over a batch.
     """
-    no_spans = no_entities()
-    width = F.ceil(F.sqrt(F.size(spans))).cast("int")
-
-    def chunk(c):
-        own = F.slice(spans, c * width + 1, width)
-        begin = F.when(c == 0, F.lit(0)).otherwise(F.get(spans, c * width - 1)["end"])
-        piece = F.substring(text, begin + 1, F.element_at(own, -1)["end"] - begin)
-        return F.struct(own.alias("own"), begin.alias("begin"), piece.alias("piece"))
-
-    def replaced(ch):
-        start = F.struct(F.array().cast("array<string>").alias("parts"), ch["begin"].alias("last"), F.lit(0).alias("shift"), no_spans.alias("spans"))
-
-        def step(acc, e):
-            def put(new):
-                begin = e["start"] + acc["shift"]
-                gap = F.substring(ch["piece"], acc["last"] - ch["begin"] + 1, e["start"] - acc["last"])
-                return F.struct(
-                    F.concat(acc["parts"], F.array(gap, new)).alias("parts"),
-                    e["end"].alias("last"),
-                    (acc["shift"] + F.char_length(new) - (e["end"] - e["start"])).alias("shift"),
-                    F.concat(acc["spans"], F.array(entity(e["label"], begin, begin + F.char_length(new), e["score"], new))).alias("spans"),
-                )
-
-            return let(F.coalesce(token(e), e["value"]), put)
-
-        return F.aggregate(ch["own"], start, step, lambda acc: F.struct(F.array_join(acc["parts"], "").alias("text"), acc["shift"].alias("shift"), acc["spans"].alias("spans")))
-
-    def join(acc, ch):
-        def moved(e):
-            return entity(e["label"], e["start"] + acc["shift"], e["end"] + acc["shift"], e["score"], e["value"])
-
-        return F.struct(
-            F.concat(acc["parts"], F.array(ch["text"])).alias("parts"),
-            (acc["shift"] + ch["shift"]).alias("shift"),
-            F.concat(acc["spans"], F.array(F.transform(ch["spans"], moved))).alias("spans"),
-        )
-
-    def finish(acc):
-        last = F.element_at(spans, -1)["end"]
-        tail = F.substring(text, last + 1, F.char_length(text))
-        return F.struct(F.concat(F.array_join(acc["parts"], ""), tail).alias("text"), F.flatten(acc["spans"]).alias("spans"))
-
-    chunks = F.transform(F.sequence(F.lit(0), ((F.size(spans) - 1) / width).cast("int")), lambda c: let(chunk(c), replaced))
-    nothing = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("shift"), F.array().cast(f"array<{ENTITIES_DDL}>").alias("spans"))
-    untouched = F.struct(text.alias("text"), no_spans.alias("spans"))
-    return F.when(F.size(spans) > 0, F.aggregate(chunks, nothing, join, finish)).otherwise(untouched)
+    made = T.StructType([T.StructField("text", T.StringType()), T.StructField("spans", ENTITIES)])
+
+    def run(texts: pa.Array, given: pa.Array, news: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(given), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        label, start, end, score, _ = given.flatten().flatten()
+        value = news.flatten().cast(pa.string())
+        begin, finish = (pc.fill_null(x, 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (start, end))
+        width = pc.fill_null(pc.utf8_length(value), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        grown = np.concatenate([[0], np.cumsum(width - (finish - begin))])
+        moved = begin + grown[:-1] - np.repeat(grown[ends[:-1]], sizes)
+        out = []
+        for i, one in enumerate(texts):
+            old = one.as_py()
+            if old is not None and sizes[i]:
+                own, parts, last = slice(ends[i], ends[i + 1]), [], 0
+                for s, e, new in zip(begin[own].tolist(), finish[own].tolist(), value[own.start : own.stop].to_pylist()):
+                    parts += [old[last:s], new or ""]
+                    last = e
+                old = "".join(parts) + old[last:]
+            out.append(old)
+        fields = [label.cast(pa.string()), pa.array(moved, pa.int32()), pa.array(moved + width, pa.int32()), score, value]
+        placed = pa.StructArray.from_arrays(fields, names=["label", "start", "end", "score", "value"])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), placed)
+        return pa.StructArray.from_arrays([pa.array(out, pa.string()), lists], names=["text", "spans"])
+
+    news = F.transform(spans, lambda e: F.coalesce(token(e), e["value"]))
+    return F.arrow_udf(run, made)(text, spans, news)
 
 
 def lookup(keys: Column, table: dict, default: Column) -> Column:

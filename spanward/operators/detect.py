@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import pii
 from ..functions.regex import sql_literal
-from ..functions.spans import NO_ENTITIES, entities_sql, flatten, lookup, name, resolve_sql, sort_sql
+from ..functions.spans import NO_ENTITIES, flatten, found_entities, lookup, name, resolve_sql
 from ..schemas import ENTITIES, POLICY
 from ..session import small_table
 
@@ -78,9 +78,7 @@ def detected(
     ]
     if not usable:
         return F.expr(NO_ENTITIES)
-    found = entities_sql(name(text), usable)
-    found = sort_sql(found) if overlaps else resolve_sql(found, None if target is None else name(target))
-    return F.expr(f"CASE WHEN coalesce({name(text)}, '') <> '' THEN {found} ELSE {NO_ENTITIES} END")
+    return found_entities(F.col(name(text)), usable, None if target is None else F.col(name(target)), overlaps)
 
 
 def with_entities(df: DataFrame, text: str, detectors: list[Detector], **options) -> DataFrame:

@@ -32,6 +32,7 @@ def redact(
     spans = F.col(entities)
     labels = blocked_labels(spans, policy)
     touched = F.filter(spans, lambda e: policy.action(e["label"]).isin("MASK", "REWRITE"))
+    touched = F.when(F.size("_labels") == 0, touched)
     out = df.withColumn("_labels", labels)
     out = out.withColumn(
         "_clean",

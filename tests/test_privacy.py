@@ -222,3 +222,21 @@ def test_rules_are_a_table(spark):
     assert s.screen(messages, "text", rules=rules.where("false")).where("flagged").count() == 0
     report = {(r.guard, r.rule): (r.hits, r.blocked) for r in s.safety_report(s.screen(messages, "text", rules=rules), rules).collect()}
     assert report["house", 5000] == (2, 2) and report["house", 5001] == (0, 0)
+
+
+def test_a_profile_is_found_in_one_arrow_call_block_by_block(spark, monkeypatch, capsys):
+    """The regexes of the JVM took most of the time of all queries that detect."""
+    import re
+
+    from spanward.catalog import pii
+    from spanward.functions import spans as kernels
+
+    monkeypatch.setattr(kernels, "BLOCK_CHARS", 50)  # several blocks in one batch
+    texts = ["", None, "Anna Lee \U0001f600 a@b.org \u00e9t\u00e9 555-123-4567", "12 Oak St and 4111 1111 1111 1111", "\u0661\u0662\u0663-45-6789 \u00c9Anna Lee", "plain", "x" * 60 + " ABC1234567"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    out = df.withColumn("entities", d.detected("text", d.catalogue_detectors(), overlaps=True))
+    for r in out.collect():
+        wanted = [(m.start(), i, m.end(), label, m.group()) for i, (label, p) in enumerate(pii.PATTERNS.items()) for m in re.finditer(p, r.text or "")]
+        assert [(e.start, e.end, e.label, e.value) for e in r.entities] == [(s, e, x, v) for s, _, e, x, v in sorted(wanted)]
+    out.explain()
+    assert capsys.readouterr().out.count("ArrowEvalPython [") == 1
