@@ -11,16 +11,16 @@ from ..streaming import budget, feeds, guard, usage
 from . import gateway, privacy, sqltext as q
 
 
-#: Files, in no order of time, and so batches that a table is read in.
+#: Batches that a table is read in, in no order of time; each is as many files as there are cores.
 PARTS = 5
 
 
 def _stream(spark, sf, table: str, spread_by: str):
     """A table as a stream of several batches whose rows are in no order."""
     rows = spark.read.parquet(f"{sf}/{table}.parquet")
-    path = fresh_path(spark, f"{table}-files")
-    rows.repartition(PARTS, F.expr(f"xxhash64({spread_by})")).write.parquet(path)
-    return feeds.read_stream(spark, path, rows.schema, files_per_batch=1)
+    path, files = fresh_path(spark, f"{table}-files"), spark.sparkContext.defaultParallelism
+    rows.repartition(PARTS * files, F.expr(f"xxhash64({spread_by})")).write.parquet(path)
+    return feeds.read_stream(spark, path, rows.schema, files_per_batch=files)
 
 
 def stream_usage(spark, sf):

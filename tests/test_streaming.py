@@ -94,3 +94,14 @@ def test_budget_of_unordered_batches_loses_nothing(spark, tmp_path):
         assert sorted(r.request_id for r in live.collect()) == list(range(120))
         settled = stream_budget.settled_budget(feeds.read_stream(spark, path, df.schema, 1), prefs)
         assert {r.request_id: (r.preference, r.exhausted) for r in settled.collect()} == want
+
+
+def test_a_batch_of_a_table_is_dealt_over_files(spark, tmp_path):
+    """One file a batch was one task a batch."""
+    from spanward.plans import streams
+
+    spark.range(2000).write.parquet(f"{tmp_path}/numbers.parquet")
+    rows = feeds.to_table(streams._stream(spark, str(tmp_path), "numbers", "id").withColumn("file", F.input_file_name()))
+    got = rows.groupBy("batch").agg(F.count_distinct("file").alias("files")).collect()
+    assert rows.select("id").distinct().count() == rows.count() == 2000
+    assert len(got) == streams.PARTS and all(r.files > 1 for r in got)
