@@ -10,6 +10,12 @@ id, and the test postings of such a token are repeated for each shard: there are
 bounds what is broadcast. Copies among test texts count once, and training texts are taken in growing blocks: as only the
 first match of a test text is asked for, a test text leaves as soon as it has one, so that a large group of near-copies
 on both sides never meets in full.
+
+Posting lists grow with the texts on both sides, and what they join to with the product. From a threshold of ``SIGNED``
+on, signatures find the candidates instead: a signature is a parity bitmap of four to eight bits a token, and two of them
+differ in no more bits than the sets in tokens, which bounds the overlap from above. Texts are dealt to cells by size and
+block, and a cell compares all its signatures; nothing but signatures and the pairs left in doubt is shuffled or written.
+Their number of comparisons is the product of both sides all the same, at some nanoseconds each.
 """
 
 from __future__ import annotations
@@ -17,6 +23,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +39,10 @@ from ..session import materialise, slices
 BLOCKS = (1 / 64, 1 / 8, 1.0)
 #: A token is hot beyond this share of all postings, so no more tokens than its inverse can be.
 HOT_SHARE = 1 / 10_000
+#: Signatures tell texts apart from this threshold on.
+SIGNED = 0.4
+#: Texts of each side that a cell compares.
+CELL_ROWS = 8192
 
 
 def token_set(text: Column) -> Column:
@@ -47,6 +59,52 @@ def _sets(df: DataFrame, id_col: str, text: str) -> DataFrame:
     return rows.withColumn("n", F.size("tokens"))
 
 
+def signature(tokens: Column) -> Column:
+    """binary: the parity of the number of tokens in each cell; 16 to 256 words of 64 cells, by the number of tokens."""
+
+    def run(hashes: pa.Array) -> pa.Array:
+        out = []
+        for one in hashes:
+            if not one.is_valid:
+                out.append(None)
+                continue
+            h = one.values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            words = min(256, max(16, 1 << (len(h) // 16).bit_length()))
+            cell = h % np.uint64(words * 64)
+            bits = np.zeros(words, dtype=np.uint64)
+            np.bitwise_xor.at(bits, (cell >> np.uint64(6)).astype(np.int64), np.uint64(1) << (cell & np.uint64(63)))
+            out.append(bits.tobytes())
+        return pa.array(out, pa.binary())
+
+    return F.arrow_udf(run, "binary")(F.transform(tokens, lambda t: F.xxhash64(t)))
+
+
+def maybe_similar(a: Column, b: Column, total: Column, threshold: float) -> Column:
+    """False only where two signatures rule out a similarity above the threshold; ``total``: tokens of both sets."""
+
+    def run(left: pa.Array, right: pa.Array, totals: pa.Array) -> pa.Array:
+        out = []
+        for x, y, n in zip(left.to_pylist(), right.to_pylist(), totals.to_pylist()):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            while len(x) != len(y):  # the halves of a bitmap, xored, are the bitmap of half the cells
+                x, y = (x, y) if len(x) > len(y) else (y, x)
+                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+            overlap = (n - int(np.bitwise_count(x ^ y).sum())) / 2
+            out.append(overlap > threshold * (n - overlap) - 1e-9)
+        return pa.array(out, pa.bool_())
+
+    return F.arrow_udf(run, "boolean")(a, b, total)
+
+
+def plausible(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """The (test_id, train_id) whose signatures leave them in doubt; both sides: (id, n, sig)."""
+    a = left.select(F.col("id").alias("test_id"), F.col("n").alias("_n"), F.col("sig").alias("_a"))
+    b = right.select(F.col("id").alias("train_id"), F.col("n").alias("_m"), F.col("sig").alias("_b"))
+    met = pairs.join(a, "test_id").join(b, "train_id")
+    near = met.where(maybe_similar(F.col("_a"), F.col("_b"), F.col("_n") + F.col("_m"), threshold))
+    return materialise(near.select("test_id", "train_id"), "plausible")
+
+
 def _prefix_length(n: Column, threshold: float) -> Column:
     return n - F.floor(n * threshold).cast("int")
 
@@ -64,18 +122,27 @@ def leakage(
     printed = F.unhex(F.sha2(F.array_join(F.sort_array("tokens"), " "), 256))
     test_sets = materialise(_sets(test, test_id, test_text).withColumn("print", printed), "test-sets")
     first = test_sets.groupBy("print").agg(F.min("id").alias("id"))
-    known = materialise(test_sets.join(first.select("id"), "id", "left_semi").select("id", "n", "tokens"), "test-first")
+    known = materialise(test_sets.join(first.select("id"), "id", "left_semi").select("id", "n", "tokens", signature(F.col("tokens")).alias("sig")), "test-first")
     bounds = known.agg(F.min("n"), F.max("n")).first()
     low, high = bounds[0] or 0, bounds[1] or 0
 
-    lists = materialise(test_postings(known, threshold), "test-postings")
-    postings = train_postings(train, train_id, train_text, lists, lambda n: (n > low * threshold) & (n * threshold < high))
-    postings = materialise(postings, "train-postings")
-    hot = materialise(hot_tokens(postings), "hot-tokens")
-
-    open_test, found = lists, None
-    for block in _blocks(postings):
-        pairs = materialise(candidates(open_test, postings.where(block), hot, threshold), "candidates")
+    def fits(n: Column) -> Column:
+        return (n > low * threshold) & (n * threshold < high)
+
+    signed, hot = threshold >= SIGNED, None
+    if signed:
+        left = known.select("id", "n", "sig")
+        sets = _sets(train, train_id, train_text).select("id", "n", signature(F.col("tokens")).alias("sig"))
+        right = materialise(sets, "train-signatures").where(fits(F.col("n")))
+    else:
+        left = materialise(test_postings(known, threshold), "test-postings")
+        right = materialise(train_postings(train, train_id, train_text, left, fits), "train-postings")
+        hot = materialise(hot_tokens(right), "hot-tokens")
+
+    open_test, found = left, None
+    for block in _blocks(right):
+        some = right.where(block)
+        pairs = materialise(signed_candidates(open_test, some, threshold) if signed else candidates(open_test, some, hot, threshold), "candidates")
         hits = materialise(_verified(pairs, known, train, train_id, train_text, threshold), "matches")
         found = hits if found is None else found.unionByName(hits)
         open_test = open_test.join(hits.select("id"), "id", "left_anti")
@@ -151,11 +218,61 @@ def candidates(lists: DataFrame, postings: DataFrame, hot: DataFrame, threshold:
     return pairs.filter(F.col("c") + F.col("rest") > need - 1e-9).select("test_id", "train_id")
 
 
+def signed_candidates(test: DataFrame, train: DataFrame, threshold: float) -> DataFrame:
+    """(test_id, train_id) whose signatures leave them in doubt; both sides: (id, n, sig).
+
+    A band holds texts of sizes from one power of two to the next; a row goes to all blocks of the bands near its own.
+    """
+    spark, kinds = test.sparkSession, (test.schema["id"].dataType.simpleString(), train.schema["id"].dataType.simpleString())
+    cell, reach, parts = ["p", "q", "i", "j"], math.ceil(math.log2(1 / threshold)), slices(spark)
+
+    def banded(df: DataFrame) -> tuple[DataFrame, dict]:
+        rows = df.withColumn("band", F.length(F.bin("n")))  # binary digits
+        blocks = {r.band: -(-r.c // CELL_ROWS) for r in rows.groupBy("band").agg(F.count(F.lit(1)).alias("c")).collect()}  # a few bands
+        return rows, blocks
+
+    def dealt(rows: DataFrame, own: dict, other: dict, mine: tuple, theirs: tuple) -> DataFrame:
+        met = [(b, o, k) for b in own for o in other if abs(b - o) <= reach for k in range(other[o])]
+        places = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(o).alias("o"), F.lit(k).alias("k")) for b, o, k in met]) if met else F.array().cast("array<struct<b:int,o:int,k:int>>")
+        count = F.coalesce(*[F.when(F.col("band") == b, F.lit(c)) for b, c in own.items()], F.lit(1))
+        at = rows.withColumn("block", F.pmod(F.xxhash64("id"), count).cast("int"))
+        at = at.withColumn("at", F.explode(F.filter(places, lambda x: x["b"] == F.col("band"))))
+        named = at.select(F.col("band").alias(mine[0]), F.col("block").alias(mine[1]), F.col("at.o").alias(theirs[0]), F.col("at.k").alias(theirs[1]), "id", "n", "sig")
+        return named.repartition(parts, *cell)
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        firsts, seconds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if left.num_rows and right.num_rows:
+            x, y = (np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint64).reshape(t.num_rows, -1) for t in (left, right))
+            while x.shape[1] > y.shape[1]:  # the halves of a bitmap, xored, are the bitmap of half the cells
+                x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+            while y.shape[1] > x.shape[1]:
+                y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+            sizes, n = right["n"].to_numpy(), left["n"].to_numpy()
+            order = np.argsort(sizes, kind="stable")
+            m, y = sizes[order], y[order]
+            for k in range(len(n)):
+                begin, end = np.searchsorted(m, n[k] * threshold - 1e-9), np.searchsorted(m, n[k] / threshold + 1e-9)
+                total = n[k] + m[begin:end]
+                overlap = (total - np.bitwise_count(y[begin:end] ^ x[k]).sum(axis=1, dtype=np.int64)) / 2
+                hit = np.flatnonzero(overlap > threshold * (total - overlap) - 1e-9)
+                if len(hit):
+                    firsts.append(np.full(len(hit), k))
+                    seconds.append(order[begin + hit])
+        taken = left["id"].take(pa.array(np.concatenate(firsts))), right["id"].take(pa.array(np.concatenate(seconds)))
+        return pa.table(list(taken), names=["test_id", "train_id"])
+
+    (a, of_a), (b, of_b) = banded(test), banded(train)
+    a, b = dealt(a, of_a, of_b, ("p", "i"), ("q", "j")), dealt(b, of_b, of_a, ("q", "j"), ("p", "i"))
+    return a.groupBy(*cell).cogroup(b.groupBy(*cell)).applyInArrow(compare, f"test_id {kinds[0]}, train_id {kinds[1]}")
+
+
 def _verified(pairs: DataFrame, known: DataFrame, train: DataFrame, id_col: str, text: str, threshold: float) -> DataFrame:
     """First match of each test text among ``pairs``; only texts in a pair are read into tokens."""
     able = bitmap(pairs.select(F.xxhash64("train_id").alias("key")), "key")
     texts = maybe_members(train.select(F.col(id_col).alias("id"), F.col(text).alias("text")), F.xxhash64("id"), able)
-    right = materialise(_sets(texts, "id", "text"), "train-sets").select(F.col("id").alias("train_id"), F.col("n").alias("rn"), F.col("tokens").alias("rk"))
+    sets = materialise(_sets(texts, "id", "text"), "train-sets")
+    right = sets.select(F.col("id").alias("train_id"), F.col("n").alias("rn"), F.col("tokens").alias("rk"))
     left = known.select(F.col("id").alias("test_id"), F.col("n").alias("tn"), F.col("tokens").alias("tk"))
     shared = F.size(F.array_intersect("tk", "rk"))
     overlap = let(shared, lambda s: s / (F.col("tn") + F.col("rn") - s))

@@ -200,6 +200,25 @@ def test_near_duplicates_follow_the_plain_ratio():
         assert neardup.keep_first(batch, 0.7) == kept
 
 
+@pytest.mark.parametrize("threshold, rows", [(0.5, 7), (0.45, 8192), (0.8, 50)])
+def test_signatures_leave_few_pairs_in_doubt_and_miss_none(spark, monkeypatch, threshold, rows):
+    """Prefix postings met in every pair with a common word, which grew with the product of both sides."""
+    monkeypatch.setattr(leak, "CELL_ROWS", rows)
+    rng, sets = random.Random(5), []
+    for i in range(120):
+        base = {f"w{rng.randrange(3000)}" for _ in range(rng.choice([1, 7, 8, 15, 16, 31, 32, 63, 200, 700]))}
+        sets += [base, {*list(base)[: max(1, int(len(base) * rng.random()))], "every", "text"}]
+    kind = "id string, tokens array<string>, n int"
+    a, b = ([(f"{side}{i}", sorted(x), len(x)) for i, x in enumerate(sets) if i % 2 == side] for side in (0, 1))
+    signed = [spark.createDataFrame(x, kind).select("id", "n", leak.signature(F.col("tokens")).alias("sig")) for x in (a, b)]
+    got = {tuple(r) for r in leak.signed_candidates(*signed, threshold).collect()}
+    similar = {(i, j): len({*x} & {*y}) / len({*x} | {*y}) for i, x, _ in a for j, y, _ in b}
+    assert {k for k, s in similar.items() if s > threshold} <= got
+    assert len(got) < 3 * sum(s > threshold - 0.15 for s in similar.values()) + 30
+    met = signed[0].selectExpr("id AS test_id").crossJoin(signed[1].selectExpr("id AS train_id"))
+    assert {tuple(r) for r in leak.plausible(met, *signed, threshold).collect()} == got
+
+
 @pytest.mark.parametrize("threshold, shares", [(0.5, (1.0,)), (0.5, (0.25, 0.5, 0.75, 1.0)), (0.2, leak.BLOCKS), (0.8, (1.0,))])
 def test_leakage_equals_all_pairs(spark, monkeypatch, threshold, shares):
     """Random texts, copies, near-copies of one text on both sides; one block and several."""
