@@ -15,7 +15,7 @@ from ..functions.members import bitmap, maybe_members
 from ..functions.regex import NOT_SPACE
 from ..functions.spans import flatten, let
 from ..session import materialise
-from .leakage import _blocks, _sets, token_set
+from .leakage import _blocks, _sets, plausible, signature, token_set
 
 BANDS, ROWS = 32, 3
 
@@ -58,7 +58,10 @@ def likely_leakage(
     def side(pairs, df, id_col, text, name):
         able = bitmap(pairs.select(F.xxhash64(f"{name}_id").alias("cell")), "cell")
         texts = maybe_members(df.select(F.col(id_col).alias("id"), F.col(text).alias("text")), F.xxhash64("id"), able)
-        return materialise(_sets(texts, "id", "text"), f"{name}-sets").select(F.col("id").alias(f"{name}_id"), F.col("tokens").alias(name))
+        return materialise(_sets(texts, "id", "text").withColumn("sig", signature(F.col("tokens"))), f"{name}-sets")
+
+    def named(sets, name):
+        return sets.select(F.col("id").alias(f"{name}_id"), F.col("tokens").alias(name))
 
     shared = F.size(F.array_intersect("test", "train"))
     overlap = let(shared, lambda s: s / (F.size("test") + F.size("train") - s))
@@ -67,7 +70,8 @@ def likely_leakage(
         pairs = b.where(block).withColumnRenamed("id", "train_id").join(a.withColumnRenamed("id", "test_id"), ["band", "key"])
         pairs = materialise(pairs.select("test_id", "train_id").distinct(), "likely-pairs")
         left, right = side(pairs, test, test_id, test_text, "test"), side(pairs, train, train_id, train_text, "train")
-        compared = pairs.join(left, "test_id").join(right, "train_id").select("test_id", "train_id", overlap.alias("overlap"))
+        pairs = plausible(pairs, left, right, threshold)
+        compared = pairs.join(named(left, "test"), "test_id").join(named(right, "train"), "train_id").select("test_id", "train_id", overlap.alias("overlap"))
         found = materialise(compared, "overlaps").where(F.col("overlap") > threshold)
         first = found.groupBy("test_id").agg(F.min(F.struct("train_id", "overlap")).alias("m"))
         hits = materialise(first.select("test_id", "m.train_id", "m.overlap"), "matches")
