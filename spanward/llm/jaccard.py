@@ -296,15 +296,18 @@ def _alone_keys(buckets: int):
             kinds = [pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], ["bucket", "pairs", "x", "y"])
 
+        release()
         for batch in batches:
-            lists = batch.column(1)
-            sizes = np.diff(lists.offsets.to_numpy())
-            keys.append(lists.flatten().to_numpy().view(U))
-            owners.append(np.repeat(batch.column(0).to_numpy(), sizes))
-            held += len(keys[-1])
-            if held > FLUSH:
-                yield flush()
-                keys, owners, held = [], [], 0
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                lists = part.column(1)
+                sizes = np.diff(lists.offsets.to_numpy())
+                keys.append(lists.flatten().to_numpy().view(U))
+                owners.append(np.repeat(part.column(0).to_numpy(), sizes))
+                held += len(keys[-1])
+                if held > FLUSH:
+                    yield flush()
+                    keys, owners, held = [], [], 0
         yield flush()
 
     return run
@@ -312,6 +315,7 @@ def _alone_keys(buckets: int):
 
 def _alone(table: pa.Table) -> pa.Table:
     """How many shingles of one bucket each class has for itself."""
+    release()
     keys, owners = [], []
     for several, x, y in zip(table["pairs"].to_pylist(), table["x"].to_pylist(), table["y"].to_pylist()):
         keys.append(np.frombuffer(x, U))
@@ -414,21 +418,17 @@ def _past_failures(proposed: DataFrame, labels: DataFrame, reach: DataFrame, set
     mixed = members.groupBy("grp").agg(F.min("label").alias("one"), F.max("label").alias("other")).where("one <> other").select("grp")
     around = members.join(mixed, "grp").join(centres, "grp").join(sets, "fp").join(sets.selectExpr("fp AS centre", "shingles AS core"), "centre")
     changes = around.selectExpr(
-        "fp", "grp", "centre", "label", "n", "low", "high", "size(core) AS nc", "concat(array_except(shingles, core), array_except(core, shingles)) AS change"
-    ).withColumn("d", F.size("change"))
+        "fp", "grp", "centre", "label", "n", "low", "high", "size(core) AS nc", "array_except(shingles, core) AS own", "array_intersect(shingles, core) AS held"
+    ).withColumn("d", F.expr("size(own) + nc - size(held)"))
     changes = materialise(changes, "changes")
-    spread = changes.select("fp", "grp", F.explode("change").alias("e"))
-    common = spread.groupBy("grp", "e").agg(F.count(F.lit(1)).alias("f"))
-    ordered = spread.join(common, ["grp", "e"]).groupBy("fp").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("change"))
-    own = changes.drop("change").selectExpr("*", f"(n + n * {den} div {num}) * {rate} AS most", f"(n + nc) * {rate} AS reach_c")
-    own = own.selectExpr(
+    sized = changes.drop("own", "held").selectExpr("*", f"(n + n * {den} div {num}) * {rate} AS most", f"(n + nc) * {rate} AS reach_c")
+    sized = sized.selectExpr(
         "*", "d > reach_c AS far",
         f"CASE WHEN d > reach_c THEN most div 2 + 1 ELSE least(most div 2, (d + greatest(n - nc, 0) * {rate} + 1) div 2) + 1 END AS px",
-    )
+    ).withColumn("upto", F.expr("int(greatest(px, CASE WHEN far THEN most + 1 ELSE 0 END))"))
     first = materialise(
-        own.join(ordered, "fp").select(
-            "fp", "grp", "label", "n", "low", "high", "d", "far", "px",
-            F.posexplode(F.slice("change", F.lit(1), F.greatest(F.col("px"), F.when(F.col("far"), F.col("most") + 1).otherwise(0)).cast("int"))).alias("at", "c"),
+        sized.join(_ordered(changes, sized, centres.join(mixed, "grp"), sets), "fp").select(
+            "fp", "grp", "label", "n", "low", "high", "d", "far", "px", F.posexplode(F.slice("change", F.lit(1), F.col("upto"))).alias("at", "c"),
         ).where("c.f > 1").selectExpr("* EXCEPT (at, c)", "at + 1 AS place", "c.e AS e"),
         "first-changes",
     )
@@ -441,10 +441,30 @@ def _past_failures(proposed: DataFrame, labels: DataFrame, reach: DataFrame, set
         f"AND y_d - x_d <= {k} AND x_place <= (x_d - y_d + {k}) div 2 + 1 AND y_place <= (y_d - x_d + {k}) div 2 + 1"
     )
     pairs = x.join(y, ["grp", "e"]).where(able).selectExpr("least(x_fp, y_fp) AS a", "greatest(x_fp, y_fp) AS b")
-    near = own.where("NOT far AND fp <> centre").selectExpr("least(fp, centre) AS a", "greatest(fp, centre) AS b")
+    near = sized.where("NOT far AND fp <> centre").selectExpr("least(fp, centre) AS a", "greatest(fp, centre) AS b")
     return pairs.unionByName(near).distinct()
 
 
+def _ordered(changes: DataFrame, sized: DataFrame, centres: DataFrame, sets: DataFrame) -> DataFrame:
+    """(fp, change): the differences of a class from its centre from rare to common, whole in its first ``upto``.
+
+    What classes lack of a centre can be many times what they hold themselves, and almost all of it is common. It is
+    counted by those that hold it, put in order once for each centre, and a class takes the first it lacks: no more
+    rows are made than there are shingles in the sets.
+    """
+    extra = changes.select("fp", "grp", F.explode("own").alias("e"))
+    common = extra.groupBy("grp", "e").agg(F.count(F.lit(1)).alias("f"))
+    holders = changes.select("grp", F.explode("held").alias("e")).groupBy("grp", "e").agg(F.count(F.lit(1)).alias("h"))
+    core = centres.join(sets.selectExpr("fp AS centre", "shingles"), "centre").select("grp", F.explode("shingles").alias("e"))
+    lacking = core.join(holders, ["grp", "e"], "left").join(changes.groupBy("grp").agg(F.count(F.lit(1)).alias("m")), "grp")
+    lacking = materialise(lacking.selectExpr("grp", "e", "m - coalesce(h, 0) AS f").where("f > 0"), "lacking")
+    order = lacking.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("core"))
+    held = changes.select("fp", "grp", "held").join(sized.select("fp", "upto"), "fp").join(order, "grp")
+    lacked = held.select("fp", "grp", F.explode(F.expr("slice(array_except(core.e, held), 1, upto)")).alias("e"))
+    found = extra.join(common, ["grp", "e"]).unionByName(lacked.join(lacking, ["grp", "e"]))
+    return found.groupBy("fp").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("change"))
+
+
 def _labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     """``nodes`` (fp) with the label of their component, or their own."""
     return nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"))

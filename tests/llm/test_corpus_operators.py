@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from spanward.llm import decontam, jaccard, packing, queries, suffix
+from spanward.session import materialise
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SHINGLED = re.compile(r"[^\x20\x09-\x0D]+")
@@ -234,6 +235,34 @@ def test_links_of_nested_texts_equal_brute_force(spark):
         assert sorted([tuple(r) for r in got.collect()], key=str) == brute_components(docs, width, num, 100)
 
 
+def test_a_long_centre_is_not_repeated_for_every_class(spark, monkeypatch):
+    """Tables of differences hold no more than the sets, and what they propose has all similar pairs."""
+    rng = np.random.default_rng(7)
+    core = rng.integers(0, 1 << 62, 3000)
+    sets = {0: set(core.tolist())}
+    for family in range(15):
+        base = rng.integers(0, 1 << 62, 40).tolist() + core[family : family + 5].tolist()
+        for i in range(4):
+            sets[10 + 4 * family + i] = set(base) - set(base[3 * i : 3 * i + 1 + i % 2]) | set(rng.integers(0, 1 << 62, i % 3).tolist())
+    fps = sorted(sets)
+    rows = [(fp, len(sets[fp]), -(-len(sets[fp]) * 80 // 100), len(sets[fp]) * 100 // 80) for fp in fps]
+    written = {}
+
+    def kept(df, name):
+        written[name] = materialise(df, name)
+        return written[name]
+
+    monkeypatch.setattr(jaccard, "materialise", kept)
+    got = jaccard._past_failures(
+        spark.createDataFrame([(0, fp, 1) for fp in fps[1:]], "a long, b long, n long"), spark.createDataFrame([], "node long, label long"),
+        spark.createDataFrame(rows, "fp long, n long, low long, high long"), spark.createDataFrame([(fp, sorted(sets[fp])) for fp in fps], "fp long, shingles array<long>"), 80, 100,
+    )
+    similar = {(a, b) for a in fps for b in fps if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert len(similar) > 20 and similar <= {tuple(r) for r in got.select("a", "b").collect()}
+    arrays = [c for c, kind in written["changes"].dtypes if kind == "array<bigint>"]
+    assert arrays and sum(len(r[c]) for r in written["changes"].collect() for c in arrays) <= sum(map(len, sets.values()))
+
+
 def test_links_of_the_tables(spark, data):
     docs = [tuple(r) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()]
     got = queries.QUERIES["op7_ngram_jaccard_join"](spark, data)
