@@ -313,22 +313,42 @@ def _alone_keys(buckets: int):
     return run
 
 
-def _alone(table: pa.Table) -> pa.Table:
-    """How many shingles of one bucket each class has for itself."""
+def _alone(buckets: int):
+    """How many shingles of one bucket each class has for itself, packed by ranges of the classes.
+
+    A class can have some in every bucket: as rows they would be as many as classes times buckets.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        release()
+        keys, owners = [], []
+        for several, x, y in zip(table["pairs"].to_pylist(), table["x"].to_pylist(), table["y"].to_pylist()):
+            keys.append(np.frombuffer(x, U))
+            owners.append(np.zeros(len(keys[-1]), np.int64) if several else np.frombuffer(y, np.int64))
+            if several:  # twice: never alone
+                keys.append(keys[-1])
+                owners.append(owners[-1])
+        k, o = np.concatenate(keys), np.concatenate(owners)
+        order = np.argsort(k)
+        k, o = k[order], o[order]
+        at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        mine, n = np.unique(o[at[np.diff(np.append(at, len(k))) == 1]].view(U), return_counts=True)
+        ends = np.concatenate([[0], np.searchsorted(mine, _cuts(buckets)), [len(mine)]])
+        rows = [(i, binary(mine[a:b]), binary(n[a:b].astype(np.int64))) for i, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if b > a]
+        columns = list(zip(*rows)) or [[]] * 3
+        return pa.table({c: pa.array(list(v), t) for c, v, t in zip(("part", "x", "y"), columns, (pa.int32(), pa.binary(), pa.binary()))})
+
+    return run
+
+
+def _alone_sums(table: pa.Table) -> pa.Table:
+    """The counts of all buckets added up, for one range of the classes."""
     release()
-    keys, owners = [], []
-    for several, x, y in zip(table["pairs"].to_pylist(), table["x"].to_pylist(), table["y"].to_pylist()):
-        keys.append(np.frombuffer(x, U))
-        owners.append(np.zeros(len(keys[-1]), np.int64) if several else np.frombuffer(y, np.int64))
-        if several:  # twice: never alone
-            keys.append(keys[-1])
-            owners.append(owners[-1])
-    k, o = np.concatenate(keys), np.concatenate(owners)
-    order = np.argsort(k)
-    k, o = k[order], o[order]
-    at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    mine, n = np.unique(o[at[np.diff(np.append(at, len(k))) == 1]], return_counts=True)
-    return pa.table({"fp": pa.array(mine, pa.int64()), "alone": pa.array(n, pa.int64())})
+    classes, n = (np.concatenate([np.frombuffer(b, np.int64) for b in table[c].to_pylist()]) for c in "xy")
+    order = np.argsort(classes)
+    classes, n = classes[order], n[order]
+    at = np.flatnonzero(np.concatenate([[True], classes[1:] != classes[:-1]]))
+    return pa.table({"fp": classes[at], "alone": np.add.reduceat(n, at)})
 
 
 def _reach(sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -340,7 +360,8 @@ def _reach(sets: DataFrame, num: int, den: int) -> DataFrame:
     """
     n = slices(sets.sparkSession)
     packed = sets.select("fp", "shingles").mapInArrow(_alone_keys(n), "bucket int, pairs boolean, x binary, y binary")
-    alone = packed.groupBy("bucket").applyInArrow(_alone, "fp bigint, alone bigint").groupBy("fp").agg(F.sum("alone").alias("alone"))
+    counts = packed.groupBy("bucket").applyInArrow(_alone(n), "part int, x binary, y binary")
+    alone = counts.groupBy("part").applyInArrow(_alone_sums, "fp bigint, alone bigint")
     sized = sets.select("fp", F.size("shingles").cast("long").alias("n")).join(alone, "fp", "left")
     shared = f"(n - coalesce(alone, 0)) * {num + den} div {num} - n"
     return sized.selectExpr("fp", "n", f"(n * {num} + {den - 1}) div {den} AS low", f"least(n * {den} div {num}, {shared}) AS high")
@@ -458,7 +479,8 @@ def _ordered(changes: DataFrame, sized: DataFrame, centres: DataFrame, sets: Dat
     core = centres.join(sets.selectExpr("fp AS centre", "shingles"), "centre").select("grp", F.explode("shingles").alias("e"))
     lacking = core.join(holders, ["grp", "e"], "left").join(changes.groupBy("grp").agg(F.count(F.lit(1)).alias("m")), "grp")
     lacking = materialise(lacking.selectExpr("grp", "e", "m - coalesce(h, 0) AS f").where("f > 0"), "lacking")
-    order = lacking.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("core"))
+    # written, so that a large group can be dealt to several tasks in the join
+    order = materialise(lacking.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("core")), "order")
     held = changes.select("fp", "grp", "held").join(sized.select("fp", "upto"), "fp").join(order, "grp")
     lacked = held.select("fp", "grp", F.explode(F.expr("slice(array_except(core.e, held), 1, upto)")).alias("e"))
     found = extra.join(common, ["grp", "e"]).unionByName(lacked.join(lacking, ["grp", "e"]))

@@ -235,6 +235,22 @@ def test_links_of_nested_texts_equal_brute_force(spark):
         assert sorted([tuple(r) for r in got.collect()], key=str) == brute_components(docs, width, num, 100)
 
 
+def test_counts_of_own_shingles_make_no_row_per_class_and_bucket(spark):
+    rng = np.random.default_rng(8)
+    common = rng.integers(0, 1 << 62, 30).tolist()
+    sets = {fp: set(rng.integers(0, 1 << 62, 20 + i % 7).tolist()) | set(common[: i % 11]) for i, fp in enumerate(rng.integers(-(1 << 62), 1 << 62, 300).tolist())}
+    count = collections.Counter(e for s in sets.values() for e in s)
+    want = {}
+    for fp, s in sets.items():
+        n, alone = len(s), sum(count[e] == 1 for e in s)
+        want[fp] = (n, (n * 80 + 99) // 100, min(n * 100 // 80, (n - alone) * 180 // 80 - n))
+    rows = spark.createDataFrame([(fp, sorted(s)) for fp, s in sets.items()], "fp long, shingles array<long>")
+    assert {r.fp: (r.n, r.low, r.high) for r in jaccard._reach(rows, 80, 100).collect()} == want
+    owners, keys = zip(*[(fp, e) for fp, s in sets.items() for e in s if count[e] == 1])
+    bucket = pa.table({"pairs": [False], "x": [np.array(keys, np.uint64).tobytes()], "y": [np.array(owners, np.int64).tobytes()]})
+    assert jaccard._alone(4)(bucket).num_rows <= 4
+
+
 def test_a_long_centre_is_not_repeated_for_every_class(spark, monkeypatch):
     """Tables of differences hold no more than the sets, and what they propose has all similar pairs."""
     rng = np.random.default_rng(7)
