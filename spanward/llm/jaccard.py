@@ -5,12 +5,13 @@ cut into n1 * n2 cells; in each group of n2 cells every choice of n2 - k2 cells
 n1 * (k2 + 1) > k, some group differs in k2 cells at most, so similar sets share a signature. Bands hold sizes up to
 1 / threshold times their smallest, and a set signs for its own band and the next, so no pair is missed.
 
-Equal sets are one class from the start. Signatures meet in hash buckets as packed arrays: a task keeps the smallest
-class of each of its signatures and proposes pairs of it with the others, and the bucket does the same with what the
-tasks send, so a signature that a third of all documents share is a row per task and nobody forms all pairs. Proposed
-pairs that can be similar by their sizes are checked exactly. Where a proposed pair fails, by its sizes or by the check,
-members of that signature may be linked in other ways; those are found by their differences from a centre
-(``_past_failures``).
+Equal sets are one class from the start. Signatures meet in hash buckets as packed arrays. A signature of up to
+``SHARED`` classes proposes all their pairs, so that it hides none. One of more classes is open: it proposes pairs of
+its smallest class with the others. A task sends the first ``SHARED`` + 1 classes of each signature and proposes the
+pairs of the rest itself, so a signature that a third of all documents share is a few entries per task and nobody forms
+all its pairs. Proposed pairs that can be similar by their sizes are checked exactly. Where a pair of an open signature
+fails, by its sizes or by the check, members of it may be linked in other ways; those are found by their differences
+from a centre (``_past_failures``).
 
 Defined cases: null or empty text, or text without words, has an empty set and is linked with nothing; repeated rows
 are documents of their own; null ids are carried and never name a component unless all are null; no rows give no
@@ -37,6 +38,8 @@ from .graph import components
 #: sorted at once is a bucket.
 FLUSH = 500_000
 BUCKETS = 4
+#: A signature of up to so many classes proposes all their pairs; of more, a star.
+SHARED = 16
 #: Sets of up to so many different shingles use one group of cells.
 SMALL_DISTANCE = 3
 #: Below so many shingles a cell, cells sign in groups of three, two at a time: single ones are often empty or common.
@@ -184,20 +187,33 @@ def _meta(width: int):
     return run
 
 
-def _star(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys with their smallest owner, and (smallest, other) owners of keys that have several."""
+def _by_key(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (key, owner) in order, where the key of each begins and how many owners it has."""
     order = np.lexsort((owners, keys))
     keys, owners = keys[order], owners[order]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])
+    keys, owners = keys[fresh], owners[fresh]
     head = np.ones(len(keys), bool)
     head[1:] = keys[1:] != keys[:-1]
     at = np.flatnonzero(head)
-    lead = np.repeat(owners[at], np.diff(np.append(at, len(keys))))
-    other = owners != lead
-    return keys[at], owners[at], lead[other], owners[other]
+    n = np.diff(np.append(at, len(keys)))
+    return keys, owners, np.repeat(at, n), np.repeat(n, n)
+
+
+def _pairs(keys: np.ndarray, owners: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(a, b, open): all pairs of owners of a key that has up to ``SHARED``, the smallest with the others of an open one."""
+    _, owners, first, n = _by_key(keys, owners)
+    place, few = np.arange(len(owners)), n <= SHARED
+    for gap in range(1, SHARED):
+        at = np.flatnonzero(few & (place - first >= gap))
+        yield owners[at - gap], owners[at], False
+    at = np.flatnonzero(~few & (place > first))
+    yield owners[first[at]], owners[at], True
 
 
 def _sign(width: int, num: int, den: int, buckets: int):
-    """Packed signatures per bucket (pairs = false) and proposed pairs (pairs = true) of one task."""
+    """Packed signatures per bucket (pairs = false) and pairs proposed by open ones (pairs = true) of one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, part = Signatures(num, den), TaskContext.get().partitionId()
@@ -206,7 +222,9 @@ def _sign(width: int, num: int, den: int, buckets: int):
         def flush() -> pa.RecordBatch:
             k = np.concatenate(keys) if keys else np.zeros(0, U)
             o = np.concatenate(owners) if owners else np.zeros(0, np.int64)
-            k, o, a, b = _star(k, o)
+            k, o, first, _ = _by_key(k, o)
+            more = np.arange(len(k)) - first > SHARED  # the bucket sees from the others that the signature is open
+            a, b, k, o = o[first[more]], o[more], k[~more], o[~more]
             ends = np.searchsorted(k, np.array([(i << 64) // buckets for i in range(1, buckets)], U))
             ends = np.concatenate([[0], ends, [len(k)]])
             full = [i for i in range(buckets) if ends[i + 1] > ends[i]]
@@ -236,25 +254,26 @@ def _sign(width: int, num: int, den: int, buckets: int):
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """Proposed pairs of one bucket with the number of signatures behind them."""
+    """Proposed pairs of one bucket with the number of signatures behind them, and whether an open one is among these."""
     release()
     proposed, keys, owners = [], [], []
     for pairs, x, y in zip(table["pairs"].to_pylist(), table["x"].to_pylist(), table["y"].to_pylist()):
         if pairs:
-            proposed.append((np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)))
+            proposed.append((np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), True))
         else:
             keys.append(np.frombuffer(x, U))
             owners.append(np.frombuffer(y, np.int64))
     if keys:
-        _, _, a, b = _star(np.concatenate(keys), np.concatenate(owners))
-        proposed.append((a, b))
+        proposed += _pairs(np.concatenate(keys), np.concatenate(owners))
     a, b = (np.concatenate([p[i] for p in proposed]) for i in (0, 1))
+    opened = np.repeat([p[2] for p in proposed], [len(p[0]) for p in proposed])
     order = np.lexsort((b, a))
-    a, b = a[order], b[order]
+    a, b, opened = a[order], b[order], opened[order]
     head = np.ones(len(a), bool)
     head[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     at = np.flatnonzero(head)
-    return pa.table({"a": a[at], "b": b[at], "n": np.diff(np.append(at, len(a)))})
+    some = np.maximum.reduceat(opened, at) if len(at) else opened
+    return pa.table({"a": a[at], "b": b[at], "n": np.diff(np.append(at, len(a))), "open": some})
 
 
 def _set_rows(width: int):
@@ -390,9 +409,9 @@ def link_components(
     meta = materialise(keyed.mapInArrow(_meta(width), "doc_key bigint, doc_id bigint, n bigint, fp bigint"), "shingle-meta")
 
     packed = rows.select("text").mapInArrow(_sign(width, num, den, BUCKETS * slices(spark)), "bucket int, pairs boolean, x binary, y binary")
-    met = packed.groupBy("bucket").applyInArrow(_meet, "a bigint, b bigint, n bigint")
+    met = packed.groupBy("bucket").applyInArrow(_meet, "a bigint, b bigint, n bigint, open boolean")
     # all of them, whatever their sizes: a star edge between sets that cannot be similar still leads to those that can
-    proposed = materialise(met.groupBy("a", "b").agg(F.sum("n").alias("n")), "proposed")
+    proposed = materialise(met.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("open").alias("open")), "proposed")
     sizes = meta.where("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_key").alias("doc_key"))
 
     classes = proposed.selectExpr("a AS fp").unionByName(proposed.selectExpr("b AS fp")).distinct()
@@ -408,8 +427,9 @@ def link_components(
 
     links = materialise(_checked(fitting, sets, num, den), "links")
     labels = components(links)
-    # a pair that is still apart has failed its check: members of its signatures can be linked past it
-    third = materialise(_checked(_past_failures(proposed, labels, reach, sets, num, den).join(fitting, ["a", "b"], "left_anti"), sets, num, den), "links")
+    # a pair that is still apart has failed its check: members of its open signatures can be linked past it
+    stars = proposed.where("open").select("a", "b", "n")
+    third = materialise(_checked(_past_failures(stars, labels, reach, sets, num, den).join(fitting, ["a", "b"], "left_anti"), sets, num, den), "links")
     labels = components(links.unionByName(third))
 
     classed = meta.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select(
@@ -424,8 +444,9 @@ def link_components(
 def _past_failures(proposed: DataFrame, labels: DataFrame, reach: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of different components that can be similar though no proposal joins them.
 
-    Similar classes share a signature, so proposals connect them, passed, failed or of sizes that do not fit. Each such
-    group has a centre, the class with most proposals, and a class is its difference from it: two classes differ in as
+    Similar classes that no proposal joins share an open signature, so proposals of open ones (``proposed``) connect
+    them, passed, failed or of sizes that do not fit. Those that a few classes share connect nothing here: they would
+    chain what is unlike into one group that grows with the table. Each such group has a centre, the class with most proposals, and a class is its difference from it: two classes differ in as
     much as their differences do. Those near the centre are linked by it. A class y further away, with d(y) different shingles, can
     be similar to x with d(x) <= d(y) only if (d(x) + d(y) - k) / 2 of these are common, k being the most that
     similar sets of their sizes differ in. So they share one of the first few of either in the order from rare to

@@ -19,6 +19,8 @@ TABLES = (
 
 #: Partitions that per-row jobs deal small test tables out to; unset on a cluster.
 SPREAD = "spark.spanward.spread"
+#: Remove shuffle files when the statement that wrote them ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(app: str = "spanward", cores: str = "*", **conf: str) -> SparkSession:
@@ -75,10 +77,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage so that what depends on one physical layout (such as
     range-partition bounds) is computed exactly once and survives lost executors.
+    What was shuffled for it goes at once, not when the driver next collects garbage.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

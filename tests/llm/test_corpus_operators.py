@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from spanward.llm import decontam, jaccard, packing, queries, suffix
-from spanward.session import materialise
+from spanward.session import CLEAN_UP, materialise
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SHINGLED = re.compile(r"[^\x20\x09-\x0D]+")
@@ -279,6 +280,55 @@ def test_a_long_centre_is_not_repeated_for_every_class(spark, monkeypatch):
     assert arrays and sum(len(r[c]) for r in written["changes"].collect() for c in arrays) <= sum(map(len, sets.values()))
 
 
+def test_signatures_of_few_classes_chain_no_group(spark, monkeypatch):
+    """Each text shares half its words with the next one: proposals chain them all, but hide no pair."""
+    rng, written = random.Random(6), {}
+    blocks = [[f"w{rng.randrange(10**9)}" for _ in range(20)] for _ in range(301)]
+    docs = [(i, " ".join(a + b)) for i, (a, b) in enumerate(zip(blocks, blocks[1:]))] + [(1000, " ".join(blocks[0] + blocks[1][:-1]))]
+
+    def kept(df, name):
+        written[name] = materialise(df, name)
+        return written[name]
+
+    monkeypatch.setattr(jaccard, "materialise", kept)
+    got = jaccard.link_components(docs_of(spark, docs), 5, 80, 100).select("doc_id", "n_shingles", "component_id")
+    assert sorted([tuple(r) for r in got.collect()], key=str) == brute_components(docs, 5, 80, 100)
+    assert written["proposed"].count() > 30 and written["changes"].count() == 0
+
+
+def test_a_signature_of_few_classes_proposes_all_pairs_and_one_of_many_a_star(spark):
+    few, many, apart = 1, 2, 3  # signatures; the last one has its classes in two tasks
+    n = jaccard.SHARED
+
+    def row(key, owners):
+        return False, np.full(len(owners), key, np.uint64).tobytes(), np.array(owners, np.int64).tobytes()
+
+    rows = [row(few, range(n)), row(many, range(100, 101 + n)), row(many, [100]), row(apart, range(200, 200 + n)), row(apart, [190])]
+    rows.append((True, np.array([100], np.int64).tobytes(), np.array([999], np.int64).tobytes()))
+    met = jaccard._meet(pa.table({c: pa.array(list(v)) for c, v in zip(("pairs", "x", "y"), zip(*rows))})).to_pylist()
+    want = {(a, b, 1, False) for a in range(n) for b in range(a + 1, n)} | {(100, b, 1, True) for b in [*range(101, 101 + n), 999]}
+    want |= {(190, b, 1, True) for b in range(200, 200 + n)}
+    assert sorted(tuple(r.values()) for r in met) == sorted(want)
+
+
+def test_what_was_shuffled_for_a_written_table_goes_at_once(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        return {b for b in re.findall(r"shuffle_\d+", blocks.getAllBlocks().mkString(" "))}
+
+    before, setting = shuffles(), spark.conf.get(CLEAN_UP, "false")
+    kept = materialise(spark.range(5000).selectExpr("id % 977 AS k").groupBy("k").count(), "counts")
+    for _ in range(50):
+        if not shuffles() - before:
+            break
+        time.sleep(0.1)
+    else:
+        raise AssertionError(shuffles() - before)
+    assert kept.count() == 977
+    assert spark.conf.get(CLEAN_UP, "false") == setting
+
+
 def test_links_of_the_tables(spark, data):
     docs = [tuple(r) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()]
     got = queries.QUERIES["op7_ngram_jaccard_join"](spark, data)
