@@ -219,6 +219,30 @@ def test_signatures_leave_few_pairs_in_doubt_and_miss_none(spark, monkeypatch, t
     assert {tuple(r) for r in leak.plausible(met, *signed, threshold).collect()} == got
 
 
+@pytest.mark.parametrize("threshold, rows, wave, top", [(0.5, 9, 1, 2000), (0.5, 32768, 2_000_000_000, 2000), (0.45, 40, 30_000, 300), (0.8, 32768, 2_000_000_000, 20)])
+def test_marks_of_rare_tokens_miss_no_similar_pair(spark, monkeypatch, threshold, rows, wave, top):
+    """All signatures of a cell met before; few blocks or many, one wave or many, rare tokens or none."""
+    monkeypatch.setattr(leak, "CELL_ROWS", rows)
+    monkeypatch.setattr(leak, "WAVE", wave)
+    rng, sets = random.Random(3), []
+    for _ in range(90):
+        size = rng.choice([1, 2, 3, 7, 8, 12, 31, 48, 90, 200, 400])
+        base = [f"w{int(top * rng.random() ** 3)}" for _ in range(size)]
+        near = [w for w in base if rng.random() < 0.85] + [f"w{rng.randrange(top)}" for _ in range(size // 8)]
+        sets += [{*base}, {*near, "every"}]
+    kind = "id string, tokens array<string>, n int"
+    rows = [[(f"{side}-{i}", sorted(x), len(x)) for i, x in enumerate(sets) if i % 2 == side] for side in (0, 1)]
+    a, b = (spark.createDataFrame(x, kind) for x in rows)
+    counts = leak.token_counts(a)
+    sides = [x.select("id", "n", leak.signature(F.col("tokens")).alias("sig"), leak.rare_marks(F.col("tokens"), counts, threshold).alias("marks")) for x in (a, b)]
+    got = [tuple(r) for r in leak.signed_candidates(*sides, threshold).collect()]
+    similar = {(i, j) for i, x, _ in rows[0] for j, y, _ in rows[1] if len({*x} & {*y}) / len({*x} | {*y}) > threshold}
+    assert len(similar) > 20 and similar <= {*got} and len(got) == len({*got})
+    unmarked = {tuple(r) for r in leak.signed_candidates(*(x.drop("marks") for x in sides), threshold).collect()}
+    assert {*got} <= unmarked
+    assert leak.signed_candidates(sides[0].limit(0), sides[1], threshold).collect() == []
+
+
 @pytest.mark.parametrize("threshold, shares", [(0.5, (1.0,)), (0.5, (0.25, 0.5, 0.75, 1.0)), (0.2, leak.BLOCKS), (0.8, (1.0,))])
 def test_leakage_equals_all_pairs(spark, monkeypatch, threshold, shares):
     """Random texts, copies, near-copies of one text on both sides; one block and several."""
