@@ -262,8 +262,9 @@ def _labelled_and_other(spark, sf) -> tuple[DataFrame, DataFrame]:
 def leakage_likely(spark, sf):
     """Recall of the banded search against the exact join, per language of the test text."""
     test, train = _labelled_and_other(spark, sf)
-    exact = leak.leakage(test, train, "doc_id", "doc_id")
-    likely = minhash.likely_leakage(test, train, "doc_id", "doc_id")
+    sets = leak.token_sets(test, "doc_id"), leak.token_sets(train, "doc_id")
+    exact = leak.leakage(test, train, "doc_id", "doc_id", sets=sets)
+    likely = minhash.likely_leakage(test, train, "doc_id", "doc_id", sets=sets)
     return minhash.recall(exact, likely, test, "doc_id", "lang").select("lang", "leaked", (F.col("recall") >= 0.9).alias("recalled"))
 
 

@@ -243,6 +243,32 @@ def test_marks_of_rare_tokens_miss_no_similar_pair(spark, monkeypatch, threshold
     assert leak.signed_candidates(sides[0].limit(0), sides[1], threshold).collect() == []
 
 
+def test_band_keys_are_those_of_sql_and_pairs_share_one(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "PERMUTED", 64)
+    rng = random.Random(4)
+    texts = []
+    for _ in range(60):
+        texts.append([f"w{rng.randrange(500)}" for _ in range(rng.choice([1, 5, 20, 40]))])
+        texts.append([w if rng.random() < 0.8 else f"w{rng.randrange(500)}" for w in texts[-1]])
+    rows = [(i, sorted({*x}), len({*x})) for i, x in enumerate(texts)]
+    bands, per = 4, 2
+
+    def least(k):
+        return F.array_min(F.transform("tokens", lambda t: F.xxhash64(F.xxhash64(t), F.lit(k))))
+
+    keys = F.array(*[F.xxhash64(F.lit(b).cast("long"), *[least(b * per + j) for j in range(per)]) for b in range(bands)])
+    want, sides = {}, []
+    for side in (0, 1):
+        df = spark.createDataFrame(rows[side::2], "id long, tokens array<string>, n int")
+        sides.append(df.select("id", "n", keys.alias("want"), minhash.band_keys(F.col("tokens"), bands, per).alias("marks"), leak.signature(F.col("tokens")).alias("sig")))
+        for r in sides[-1].collect():
+            assert r.marks == b"".join(k.to_bytes(8, "little", signed=True) for k in r.want)
+            want[r.id] = {*r.want}
+    got = {tuple(r) for r in leak.signed_candidates(*(x.select("id", "n", "sig", "marks") for x in sides), 0.5, banded=True).collect()}
+    every = {tuple(r) for r in leak.signed_candidates(*(x.select("id", "n", "sig") for x in sides), 0.5).collect()}
+    assert {*()} < got == {(i, j) for i, j in every if want[i] & want[j]} < every
+
+
 @pytest.mark.parametrize("threshold, shares", [(0.5, (1.0,)), (0.5, (0.25, 0.5, 0.75, 1.0)), (0.2, leak.BLOCKS), (0.8, (1.0,))])
 def test_leakage_equals_all_pairs(spark, monkeypatch, threshold, shares):
     """Random texts, copies, near-copies of one text on both sides; one block and several."""
